@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, page_text, quality_rules, token_counts, weak_quality
+from tidemark.llm import decontaminate, line_spread, page_text, quality_rules, source_mix, token_counts, weak_quality
 from tidemark.llm.common import read_table
 
 
+#: Sites from which on a line is boilerplate.
+MIN_SITES = 10
+
+#: Weights of the mix, by level of the tree; what isn't named weighs 1.
+MIX_WEIGHTS = {"domain": {"web": 4, "news": 3, "books": 2, "forum": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 3, 17
+MIX_DOMAIN_SQL = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN 'web' WHEN source IN ('src5', 'src6', 'src7', 'src8', 'src9') THEN 'news' WHEN source IN ('src10', 'src11', 'src12', 'src13', 'src14') THEN 'books' ELSE 'forum' END"
+
+
+def mix_domain() -> Column:
+    return F.expr(MIX_DOMAIN_SQL)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_digest(decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
@@ -19,10 +33,21 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(docs, weak_quality.train(docs)).select("doc_id", "n_votes", "posterior", "score", "kept")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = source_mix.mix(docs, mix_domain(), MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "n_tokens_before")
+
+
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_spread.remove_boilerplate(docs, MIN_SITES).select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.train(docs, read_table(spark, sf_dir, "labels"))
@@ -38,9 +63,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_classifier": op3_quality_classifier,
+    "op6_source_mix": op6_source_mix,
     "op7_page_text": op7_page_text,
+    "op8_line_spread": op8_line_spread,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL expresses.
+ORACLES: dict[str, str] = {
+    "op6_source_mix": source_mix.oracle(MIX_DOMAIN_SQL, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    "op8_line_spread": line_spread.oracle(MIN_SITES),
+}
