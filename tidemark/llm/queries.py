@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_spread, page_text, quality_rules, source_mix, token_counts, weak_quality
+from tidemark.llm import decontaminate, line_spread, page_text, quality_rules, source_mix, token_counts, toxic_spans, weak_quality
 from tidemark.llm.common import read_table
 
 
@@ -33,6 +33,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(docs, weak_quality.train(docs)).select("doc_id", "n_votes", "posterior", "score", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic_spans.train(docs, read_table(spark, sf_dir, "labels"), wanted=lambda c: ~toxic_spans.held_out(c))
+    scored = toxic_spans.score_toxicity(docs, model)
+    return scored.select("doc_id", toxic_spans.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     mixed = source_mix.mix(docs, mix_domain(), MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
@@ -63,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
     "op7_page_text": op7_page_text,
     "op8_line_spread": op8_line_spread,
