@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_spread, page_text, quality_rules, source_mix, token_counts, toxic_spans, weak_quality
+from tidemark.llm import decontaminate, line_spread, order_minhash, page_text, quality_rules, source_mix, token_counts, toxic_spans, weak_quality
 from tidemark.llm.common import read_table
 
 
@@ -33,6 +33,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(docs, weak_quality.train(docs)).select("doc_id", "n_votes", "posterior", "score", "kept")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    grouped = order_minhash.with_groups(docs)
+    return grouped.select("doc_id", F.col("group_id").alias("class_id"), F.col("is_first").alias("kept"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxic_spans.train(docs, read_table(spark, sf_dir, "labels"), wanted=lambda c: ~toxic_spans.held_out(c))
@@ -70,6 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_order_minhash": op4_order_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
     "op7_page_text": op7_page_text,
