@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType
 from tidemark.llm.common import ship_package, utf8_length, whole_text
 
 #: Entries a worker's memo may hold before it is started afresh.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 250_000
 #: Texts that are looked up together.
 BLOCK_TEXTS = 256
 #: Longest piece that is remembered.
