@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_spread, order_minhash, page_text, quality_rules, source_mix, token_counts, toxic_spans, weak_quality
+from tidemark.llm import decontaminate, line_spread, order_minhash, page_text, quality_rules, source_mix, suffix_dedup, token_counts, toxic_spans, weak_quality
 from tidemark.llm.common import read_table
 
-
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
 
@@ -22,6 +21,11 @@ def mix_domain() -> Column:
     return F.expr(MIX_DOMAIN_SQL)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.with_digest(decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")))
@@ -74,6 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_order_minhash": op4_order_minhash,
