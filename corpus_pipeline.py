@@ -3,10 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import decontaminate, line_spread, order_minhash, quality_rules, queries, source_mix
 from tidemark.llm.common import read_table, written
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, as they are."""
+    model = quality_rules.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality_rules.judge_quality(docs, model).where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without boilerplate lines; ``n_chars`` follows the text."""
+    freed = line_spread.remove_boilerplate(docs, queries.MIN_SITES)
+    return freed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return order_minhash.keep_one_of_each(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontaminate.remove_documents(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token-prefixes that fill the target weights."""
+    mixed = source_mix.mix(docs, queries.mix_domain(), queries.MIX_WEIGHTS, share=queries.MIX_SHARE, max_epochs=queries.MIX_EPOCHS, seed=queries.MIX_SEED)
+    return mixed.select(*docs.columns, "domain", "epoch", "n_tokens", "n_tokens_before")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", contamination),
+    ("mixing sources to target weights", weighted_mix),
+]
 
 #: Stages 9 (trained trees) and 4 (minimum sketches) have no SQL form.
 ORACLE_SQL = None
