@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or abstain on every document.
-Spark counts the vote patterns of the whole corpus (at most 3**9 of them);
+Spark counts the vote patterns of the whole corpus (at most 3**10 of them);
 expectation-maximisation over those counts estimates the prior and each
 labeller's accuracy, without any true label.  Posterior labels of at most
 ``FIT_ROWS`` documents then train a linear scorer over hashed byte 4-grams,
@@ -35,20 +35,24 @@ def labellers() -> dict[str, Column]:
     """Votes over the columns of ``doc_stats``; each is ABSTAIN, BAD or GOOD."""
     words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+    def bad(when: Column) -> Column:
+        return F.when(when, BAD).otherwise(ABSTAIN)
 
-    symbols, repeated, upper = F.col("n_symbols") / words, F.col("n_repeat_words") / words, F.col("n_upper") / chars
+    def vote(bad_when: Column, good_when: Column) -> Column:
+        return F.when(bad_when, BAD).when(good_when, GOOD).otherwise(ABSTAIN)
+
+    stops = F.col("n_stops") / words
     return {
-        "symbols": vote(symbols > 0.3, symbols < 0.05),
-        "symbol_share": vote(F.col("n_symbols") / chars > 0.08, F.col("n_symbols") / chars < 0.01),
-        "repeats": vote(repeated > 0.3, repeated < 0.05),
-        "duplicate_lines": vote(F.col("n_dup_lines") / lines > 0.3, F.col("n_dup_lines") == 0),
-        "capitals": vote(upper > 0.4, upper < 0.15),
-        "length": vote(F.col("n_words") < 20, F.col("n_words") >= 60),
-        "word_length": vote((chars / words < 2.5) | (chars / words > 9), chars / words < 7.5),
-        "sentences": vote((F.col("n_stops") / words < 0.01) & (F.col("n_words") >= 20), F.col("n_stops") / words > 0.04),
-        "marks": vote((F.col("n_pipes") + F.col("n_bangs")) / words > 0.3, (F.col("n_pipes") + F.col("n_bangs")) / words < 0.05),
+        "symbols": bad(F.col("n_symbols") / words > 0.3),
+        "symbol_share": bad(F.col("n_symbols") / chars > 0.05),
+        "pipes": bad(F.col("n_pipes") / words > 0.2),
+        "bangs": bad(F.col("n_bangs") / words > 0.2),
+        "capitals": bad(F.col("n_upper") / chars > 0.3),
+        "repeats": bad(F.col("n_repeat_words") / words > 0.3),
+        "duplicate_lines": bad(F.col("n_dup_lines") / lines > 0.3),
+        "variety": vote((F.col("n_distinct") / words < 0.25) & (F.col("n_words") >= 40), F.col("n_distinct") / words > 0.5),
+        "word_length": vote((chars / words < 2.5) | (chars / words > 9), (chars / words > 3.5) & (chars / words < 6.5)),
+        "sentences": vote((stops < 0.01) & (F.col("n_words") >= 20), (stops > 0.03) & (stops < 0.25)),
     }
 
 
@@ -72,12 +76,12 @@ class LabelModel:
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns and their counts.
 
-    It starts from the belief that labellers are right more often than wrong,
-    and adds one pseudo-count so that no rate is zero.
+    It starts from the belief that a vote for bad is rarely wrong and one for
+    good often is, and adds one pseudo-count so that no rate is zero.
     """
     k = votes.shape[1]
-    rates = np.tile(np.array([[0.4, 0.4], [0.45, 0.15], [0.15, 0.45]]), (k, 1, 1))
-    model = LabelModel(np.array([0.3, 0.7]), rates)
+    rates = np.tile(np.array([[0.4, 0.5], [0.4, 0.01], [0.2, 0.49]]), (k, 1, 1))
+    model = LabelModel(np.array([0.2, 0.8]), rates)
     for _ in range(rounds):
         good = model.posterior(votes)
         weight = np.stack([(1 - good) * counts, good * counts], axis=1)
