@@ -21,9 +21,9 @@ only windows whose anchor occurs twice can repeat:
 * an anchor whose contexts exceed ``HOT_BYTES`` isn't gathered at all: each of
   its windows becomes a context of its own, so (anchor, digest) groups settle it.
 
-A fixed bitmap of ``FILTER_BITS`` bits over repeated anchors is broadcast to
-leave out single ones early; where it is too full it lets more pass, and the
-groups stay right.
+Bitmaps of ``FILTER_BITS`` bits over hashes are broadcast to leave out single
+anchors, and texts without repeats, before a shuffle; where a bitmap is full it
+lets more pass, and results stay the same.
 
 Edge cases: null and empty texts have no bytes; texts of under ``LENGTH`` bytes
 lose nothing; rows of equal id and text are one document and get equal results;
@@ -43,14 +43,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship_package, utf8_length, whole_text, written
+from tidemark.llm.common import ship_package, whole_text, written
 
 LENGTH = 100
 GRAM = 24
 #: Bytes of contexts in a block, and of one anchor from which on it is split up.
 BLOCK_BYTES = 1 << 18
 HOT_BYTES = 1 << 20
-#: Bits of the anchor filter; its bitmap takes an eighth of that in bytes.
+#: Bits of a filter; its bitmap takes an eighth of that in bytes.
 FILTER_BITS = 1 << 26
 #: Bytes of text that are hashed at once.
 CHUNK_BYTES = 1 << 15
@@ -248,8 +248,6 @@ def context_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
     """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "anchor long" if wanted is None else f"id {fields['id']}, version long, anchor long, digest long, lo int, hi int"
-    shift = _U(64 - (FILTER_BITS.bit_length() - 1))
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("body").cast(pa.binary()).to_pylist()
@@ -258,8 +256,7 @@ def context_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
                 if wanted is None:
                     yield pa.RecordBatch.from_arrays([_signed(anchor)], ["anchor"])
                     continue
-                slot = (anchor >> shift).astype(np.int64)
-                used = np.flatnonzero(wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                used = np.flatnonzero(in_bitmap(wanted.value, anchor))
                 at = pa.array(doc[used] + start)
                 columns = [batch.column("id").take(at), batch.column("version").take(at), _signed(anchor[used]), _signed(digest[used]), pa.array(low[used].astype(np.int32)), pa.array(high[used].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi"])
@@ -267,20 +264,38 @@ def context_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
     return docs.mapInArrow(rows, schema)
 
 
-def anchor_filter(docs: DataFrame) -> np.ndarray:
-    """The bitmap of anchors that occur twice: ``FILTER_BITS`` bits, whatever the corpus.
+def slot_bitmap(rows: DataFrame, key: Column) -> np.ndarray:
+    """The trailing bits of the hash ``key`` that occur: ``FILTER_BITS`` bits, however many rows.
 
     The driver gets at most one bitmap of 4 KiB for each 32,768 bits.
     """
-    repeated = context_rows(docs).groupBy("anchor").count().where("count > 1")
-    slot = F.shiftrightunsigned("anchor", 64 - (FILTER_BITS.bit_length() - 1)) + 1
-    parts = repeated.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    slot = key.bitwiseAND(FILTER_BITS - 1) + 1
+    parts = rows.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     bitmap = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
     for part, bits in parts.collect():
         bitmap[(part - 1) * len(bits) :][: len(bits)] = np.frombuffer(bits, dtype=np.uint8)
     return bitmap
 
 
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = (keys & keys.dtype.type(FILTER_BITS - 1)).astype(np.int64)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def documents_of(rows: DataFrame) -> Column:
+    """Whether a document (id, version) may have rows in ``rows``; never false for one that has.
+
+    It keeps texts that have none out of a shuffle.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(slot_bitmap(rows, F.xxhash64("id", "version")))
+
+    @F.pandas_udf("boolean")
+    def may_have(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, keys.to_numpy(dtype=np.int64)))
+
+    return may_have(F.xxhash64("id", "version"))
+
+
 def _cut(texts: pd.Series, wanted: pd.Series) -> Iterator[list[tuple]]:
     for text, items in zip(texts, wanted, strict=True):
         yield [(x["anchor"], x["lo"], bytes(text[x["lo"] : x["hi"] + LENGTH])) for x in items]
@@ -295,7 +310,7 @@ def with_pieces(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         return pd.Series(list(_cut(texts, wanted)), dtype=object)
 
     keys = lists.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "wanted")
-    met = docs.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
+    met = docs.where(documents_of(firsts)).join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
     return met.select("id", "version", F.explode(cut(F.col("body").cast("binary"), "wanted")).alias("p")).select("id", "version", "p.*")
 
 
@@ -337,7 +352,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     ``docs`` has (id, version, body), and no two rows of one id and version.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(anchor_filter(docs))
+    repeated = context_rows(docs).groupBy("anchor").count().where("count > 1")
+    shared = spark.sparkContext.broadcast(slot_bitmap(repeated, F.col("anchor")))
     rows = written(context_rows(docs, shared))
     first = F.min(F.struct("id", "version", "lo", "hi")).alias("first")
     groups = written(rows.groupBy("anchor", "digest").agg(first, F.count("*").alias("n")))
@@ -345,7 +361,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = written(groups.groupBy("anchor").agg(F.count("*").alias("k"), size.alias("bytes")).where("k > 1").select("anchor", "bytes"))
     total = several.where(F.col("bytes") <= HOT_BYTES).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     met = groups.select(F.col("anchor").alias("a"), "first").join(several, F.col("a") == F.col("anchor"))
-    pieces = with_pieces(docs, met.select("first.*", "anchor"))
+    pieces = with_pieces(docs, written(met.select("first.*", "anchor")))
     hot = several.where(F.col("bytes") > HOT_BYTES)
     whole = later_ones(rows, groups, ["anchor", "digest"])
     if hot.isEmpty():
@@ -390,22 +406,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     version = F.xxhash64(whole_text(text)) if ids_repeat else F.lit(0).cast("long")  # tells rows of one id apart
     bodies = rest.select(F.col(doc_id).alias("id"), version.alias("version"), whole_text(text).alias("body"))
     bodies = bodies.dropDuplicates(["id", "version"]) if ids_repeat else bodies
-    ranges = repeats(bodies).groupBy("id", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("_tm_ranges"))
-    ranges = ranges.select(F.col("id").alias("_tm_id"), F.col("version").alias("_tm_version"), "_tm_ranges")
-    keyed = rest.withColumn("_tm_own", version)
-    met = keyed.join(ranges, F.col(doc_id).eqNullSafe(F.col("_tm_id")) & (F.col("_tm_own") == F.col("_tm_version")), "left")
-    body = whole_text(text).cast("binary")
+    ranges = written(repeats(bodies).groupBy("id", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
+    keyed = rest.select(*(F.col(f"`{c}`").alias(f"_tm{i}") for i, c in enumerate(rest.columns)), F.col(doc_id).alias("id"), version.alias("version"))
+    keyed = keyed.withColumn("_own", documents_of(ranges))
+    sent = ranges.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "ranges")
+    met = keyed.where("_own").join(sent, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").drop("_id", "_version")
+    body = whole_text(f"_tm{rest.columns.index(text)}").cast("binary")
     removal = F.pandas_udf(_removal, "removed_spans array<array<long>>, kept binary")
-    found = met.withColumn("_tm_found", removal(F.when(F.col("_tm_ranges").isNotNull(), body), "_tm_ranges"))
-    spans = F.col("_tm_found.removed_spans")
-    lengths = F.transform(spans, lambda s: s[1] - s[0])
-    return found.select(
-        *(F.col(f"`{c}`") for c in rest.columns),
-        utf8_length(text).alias("n_bytes"),
+    met = met.withColumn("found", removal(F.when(F.col("ranges").isNotNull(), body), "ranges"))
+    met = met.withColumns({"spans": F.col("found.removed_spans"), "kept": F.when(F.col("ranges").isNull(), body).otherwise(F.col("found.kept"))})
+    untouched = keyed.where("not _own").withColumns({"spans": F.array().cast("array<array<long>>"), "kept": body})
+    columns = [*(f"_tm{i}" for i in range(len(rest.columns))), "spans", "kept"]
+    both = met.select(*columns).unionByName(untouched.select(*columns))
+    lengths = F.transform("spans", lambda s: s[1] - s[0])
+    return both.select(
+        *(F.col(f"_tm{i}").alias(c) for i, c in enumerate(rest.columns)),
+        F.octet_length(body).cast("long").alias("n_bytes"),
         F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
-        F.size(spans).cast("long").alias("n_spans"),
-        spans.alias("removed_spans"),
-        F.when(F.col("_tm_ranges").isNull(), body).otherwise(F.col("_tm_found.kept")).alias("kept"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.col("spans").alias("removed_spans"),
+        "kept",
     )
 
 
