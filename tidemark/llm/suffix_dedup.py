@@ -18,8 +18,10 @@ only windows whose anchor occurs twice can repeat:
   round k are the strings of k bytes, their right ends are where neighbours in
   the suffix order share fewer than k bytes.  After ``LENGTH`` rounds, neighbours
   that are still not told apart share ``LENGTH`` bytes or more;
-* an anchor whose contexts exceed ``HOT_BYTES`` isn't gathered at all: each of
-  its windows becomes a context of its own, so (anchor, digest) groups settle it.
+* an anchor whose contexts exceed ``HOT_BYTES`` isn't gathered at all: its
+  contexts are cut again by anchors of another hash order, and what is still too
+  much after ``ORDERS`` orders becomes one context a window, which (anchor,
+  digest) groups settle.
 
 Bitmaps of ``FILTER_BITS`` bits over hashes are broadcast to leave out single
 anchors, and texts without repeats, before a shuffle; where a bitmap is full it
@@ -50,6 +52,8 @@ GRAM = 24
 #: Bytes of contexts in a block, and of one anchor from which on it is split up.
 BLOCK_BYTES = 1 << 18
 HOT_BYTES = 1 << 20
+#: Hash orders in which hot contexts are cut before their windows stand alone.
+ORDERS = 3
 #: Bits of a filter; its bitmap takes an eighth of that in bytes.
 FILTER_BITS = 1 << 26
 #: Bytes of text that are hashed at once.
@@ -101,8 +105,11 @@ class Powers:
 _POWERS = Powers()
 
 
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, anchor, digest, first and last window start of every context."""
+def contexts(texts: list[bytes], order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, anchor, digest, first and last window start of every context.
+
+    ``order`` picks the hash order in which anchors are least.
+    """
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -112,7 +119,7 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         return (np.zeros(0, dtype=np.int64),) * 5
     h = gram_hashes(data)
     wide = LENGTH - GRAM + 1
-    least, step = h, 1
+    least, step = _mixed(h ^ _U(order * _MULTIPLIER & _WRAP)) if order else h, 1
     while step * 2 <= wide:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
@@ -330,49 +337,72 @@ def block_repeats(pieces: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("block").applyInPandas(repeats, f"id {kind}, version long, lo int, hi int")
 
 
+def split_rows(pieces: DataFrame, order: int) -> DataFrame:
+    """The contexts of ``pieces`` cut by anchors of another order: rows as from ``context_rows``."""
+    kind = pieces.schema["id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, above = (batch.column(c).to_numpy() for c in ("lo", "anchor"))
+            for start, chunk in _chunks(batch.column("piece").to_pylist()):
+                piece, anchor, digest, low, high = contexts(chunk, order)
+                at = piece + start
+                anchor = _mixed(anchor ^ (above[at].view(np.uint64) * _U(_MULTIPLIER)))
+                taken = pa.array(at)
+                columns = [batch.column("id").take(taken), batch.column("version").take(taken), _signed(anchor), _signed(digest), pa.array((low + base[at]).astype(np.int32)), pa.array((high + base[at]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi"])
+
+    return pieces.mapInArrow(rows, f"id {kind}, version long, anchor long, digest long, lo int, hi int")
+
+
 def window_rows(pieces: DataFrame) -> DataFrame:
     """Each window of ``pieces`` as a context of its own."""
     at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)).alias("at")
-    single = pieces.select("id", "version", "anchor", "lo", "piece", at)
+    single = pieces.select("id", "version", "lo", "piece", at)
     window = F.substring("piece", F.col("at") + 1, F.lit(LENGTH))
-    return single.select("id", "version", "anchor", F.xxhash64(window).alias("digest"), F.crc32(window).alias("second"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"))
+    return single.select("id", "version", F.xxhash64(window).alias("anchor"), F.xxhash64(F.lit(1), window).alias("digest"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"))
 
 
-def later_ones(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def context_groups(rows: DataFrame) -> DataFrame:
+    """Rows (anchor, digest, first, n): equal contexts, and where they stand first."""
+    return rows.groupBy("anchor", "digest").agg(F.min(F.struct("id", "version", "lo", "hi")).alias("first"), F.count("*").alias("n"))
+
+
+def later_ones(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (id, version, lo, hi) of contexts that are not the first of their group."""
-    many = groups.where("n > 1").select(*(F.col(k).alias(f"_{k}") for k in keys), "first")
-    met = rows.join(many, [F.col(k) == F.col(f"_{k}") for k in keys])
+    many = groups.where("n > 1").select(F.col("anchor").alias("_anchor"), F.col("digest").alias("_digest"), "first")
+    met = rows.join(many, (F.col("anchor") == F.col("_anchor")) & (F.col("digest") == F.col("_digest")))
     is_first = F.struct("id", "version", "lo").eqNullSafe(F.struct("first.id", "first.version", "first.lo"))
     return met.where(~is_first).select("id", "version", "lo", "hi")
 
 
+def settle(docs: DataFrame, rows: DataFrame, order: int = 0) -> DataFrame:
+    """Rows (id, version, lo, hi): windows in contexts ``rows`` that start earlier in another one."""
+    groups = written(context_groups(rows))
+    whole = later_ones(rows, groups)
+    size = F.sum(F.col("first.hi") - F.col("first.lo") + LENGTH)
+    several = written(groups.groupBy("anchor").agg(F.count("*").alias("k"), size.alias("bytes")).where("k > 1").select("anchor", "bytes"))
+    mild, hot = F.col("bytes") <= HOT_BYTES, F.col("bytes") > HOT_BYTES
+    total, most = several.agg(F.coalesce(F.sum(F.when(mild, F.col("bytes"))), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    met = written(groups.select(F.col("anchor").alias("a"), "first").join(several, F.col("a") == F.col("anchor")).select("first.*", "anchor", "bytes"))
+    found = whole.unionByName(block_repeats(with_pieces(docs, met.where(mild)), int(total // BLOCK_BYTES) + 1))
+    if most <= HOT_BYTES:
+        return found
+    pieces = with_pieces(docs, met.where(hot))
+    if order + 1 < ORDERS:
+        return found.unionByName(settle(docs, written(split_rows(pieces, order + 1)), order + 1))
+    single = written(window_rows(pieces))
+    return found.unionByName(later_ones(single, context_groups(single)))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Rows (id, version, lo, hi): starts of ``LENGTH``-byte strings that also start earlier.
 
     ``docs`` has (id, version, body), and no two rows of one id and version.
     """
-    spark = docs.sparkSession
     repeated = context_rows(docs).groupBy("anchor").count().where("count > 1")
-    shared = spark.sparkContext.broadcast(slot_bitmap(repeated, F.col("anchor")))
-    rows = written(context_rows(docs, shared))
-    first = F.min(F.struct("id", "version", "lo", "hi")).alias("first")
-    groups = written(rows.groupBy("anchor", "digest").agg(first, F.count("*").alias("n")))
-    size = F.sum(F.col("first.hi") - F.col("first.lo") + LENGTH)
-    several = written(groups.groupBy("anchor").agg(F.count("*").alias("k"), size.alias("bytes")).where("k > 1").select("anchor", "bytes"))
-    total = several.where(F.col("bytes") <= HOT_BYTES).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    met = groups.select(F.col("anchor").alias("a"), "first").join(several, F.col("a") == F.col("anchor"))
-    pieces = with_pieces(docs, written(met.select("first.*", "anchor")))
-    hot = several.where(F.col("bytes") > HOT_BYTES)
-    whole = later_ones(rows, groups, ["anchor", "digest"])
-    if hot.isEmpty():
-        return whole.unionByName(block_repeats(pieces, int(total // BLOCK_BYTES) + 1))
-    pieces = written(pieces)
-    split = hot.select(F.col("anchor").alias("_hot"))
-    mild = pieces.join(split, F.col("anchor") == F.col("_hot"), "left_anti")
-    single = window_rows(pieces.join(split, F.col("anchor") == F.col("_hot"), "left_semi"))
-    keys = ["anchor", "digest", "second"]
-    single_groups = single.groupBy(*keys).agg(first, F.count("*").alias("n"))
-    return whole.unionByName(block_repeats(mild, int(total // BLOCK_BYTES) + 1)).unionByName(later_ones(single, single_groups, keys))
+    shared = docs.sparkSession.sparkContext.broadcast(slot_bitmap(repeated, F.col("anchor")))
+    return settle(docs, written(context_rows(docs, shared)))
 
 
 def merged_spans(ranges: list) -> np.ndarray:
