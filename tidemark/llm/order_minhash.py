@@ -10,8 +10,10 @@ a candidate pair is a link if an alignment of the two shingle sequences, inside
 the band that the threshold allows, matches m of a + b - m with a share of at
 least ``SIMILARITY``.  First every node is compared with the least node of each
 of its buckets, so a bucket of n equal-looking texts costs n comparisons; then
-the pairs of a bucket that are still in different groups are compared, within
-lengths that can reach the threshold.  Groups are the connected components.
+the pairs of a bucket that are still in different groups are compared, if their
+lengths and the bits set by their shingles allow the threshold at all (a bit set
+in one text alone stands for a shingle that can't match).  Groups are the
+connected components.
 
 Edge cases: null and empty texts have no words, and each is a group of its own;
 texts of one to four words have one shingle and group only with equal words;
@@ -39,6 +41,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 30
 SAMPLED = 5
+#: 64-bit words of the bits that a text's shingles set.
+BIT_WORDS = 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = np.random.default_rng(20240229).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,11 +66,8 @@ def labelled_shingles(words: list[bytes]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def order_sketches(words: list[bytes]) -> list[int]:
-    """One signed 64-bit value for each hash order; none for texts of under five words."""
-    if len(words) < SHINGLE:
-        return []
-    h = labelled_shingles(words)
+def order_sketches(h: np.ndarray) -> list[int]:
+    """One signed 64-bit value for each hash order, from the labelled shingles."""
     if len(h) > SAMPLED:
         least = np.sort(np.argpartition(h[None, :] * _ORDERS[:, None], SAMPLED, axis=1)[:, :SAMPLED], axis=1)
         picked = h[least]
@@ -78,6 +79,13 @@ def order_sketches(words: list[bytes]) -> list[int]:
     return value.view(np.int64).tolist()
 
 
+def shingle_bits(h: np.ndarray) -> list[int]:
+    """The bits that the labelled shingles set, as signed 64-bit words."""
+    flags = np.zeros(64 * BIT_WORDS, dtype=bool)
+    flags[h % np.uint64(len(flags))] = True
+    return np.packbits(flags).view(np.int64).tolist()
+
+
 def shingle_list(words: list[bytes]) -> list[tuple[bytes, ...]]:
     if len(words) < SHINGLE:
         return [tuple(words)] if words else []
@@ -133,20 +141,27 @@ def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
 
 
 def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, version, n, digest, sketch): one for each row of ``docs``."""
+    """Rows (id, version, n, digest, sketch, bits): one for each row of ``docs``.
+
+    Texts of under five words have neither sketch nor bits.
+    """
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("n int, digest binary, sketch array<long>")
+    @F.pandas_udf("n int, digest binary, sketch array<long>, bits array<long>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             words = normal_words(t)
             digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
-            rows.append((max(len(words) - SHINGLE + 1, min(len(words), 1)), digest, order_sketches(words)))
-        return pd.DataFrame(rows, columns=["n", "digest", "sketch"])
+            if len(words) < SHINGLE:
+                rows.append((min(len(words), 1), digest, [], []))
+                continue
+            h = labelled_shingles(words)
+            rows.append((len(h), digest, order_sketches(h), shingle_bits(h)))
+        return pd.DataFrame(rows, columns=["n", "digest", "sketch", "bits"])
 
     found = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("version"), sketched(text).alias("s"))
-    return found.select("id", "version", "s.n", "s.digest", "s.sketch")
+    return found.select("id", "version", "s.n", "s.digest", "s.sketch", "s.bits")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,7 +208,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     sketched = written(sketch_documents(docs, doc_id, text))
     rows = sketched.groupBy("id", "version", "digest").agg(F.count("*").alias("copies"))
-    words = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "version")).alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    words = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "version")).alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     nodes = written(words)
     bands = nodes.select("node", "n", F.posexplode("sketch").alias("band", "value"))
     heads = bands.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
@@ -212,10 +227,12 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     open_rows = shared.join(groups, "node", "left").select("band", "value", "node", "n", F.coalesce("root", "node").alias("root"))
     split = open_rows.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
     step = math.log(1 / least)
-    open_rows = open_rows.join(split, ["band", "value"]).withColumn("size", F.floor(F.log("n") / step).cast("int"))
-    left = open_rows.select("band", "value", "size", F.col("node").alias("x"), F.col("n"), F.col("root").alias("rx"))
-    right = open_rows.select("band", "value", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("ry"))
-    cross = left.join(right, ["band", "value", "size"]).where("rx <> ry and x <> y").where(reach)
+    open_rows = open_rows.join(split, ["band", "value"]).join(nodes.select("node", "bits"), "node").withColumn("size", F.floor(F.log("n") / step).cast("int"))
+    left = open_rows.select("band", "value", "size", F.col("node").alias("x"), F.col("n"), F.col("root").alias("rx"), F.col("bits").alias("bx"))
+    right = open_rows.select("band", "value", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("ry"), F.col("bits").alias("by"))
+    only_x, only_y = (" + ".join(f"bit_count({one}[{i}] & ~{other}[{i}])" for i in range(BIT_WORDS)) for one, other in (("bx", "by"), ("by", "bx")))
+    matched = f"least(n - ({only_x}), m - ({only_y})) * {1 + least} + 1e-6 >= {least} * (n + m)"
+    cross = left.join(right, ["band", "value", "size"]).where("rx <> ry and x <> y").where(reach).where(matched)
     more = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more_links = written(verified(written(more), texts, least))
     if not more_links.isEmpty():
