@@ -1,19 +1,20 @@
 """Near-duplicate groups by order MinHash and banded alignment.
 
 Documents are sequences of five-word shingles.  Each shingle is labelled by its
-occurrence number, and each of ``SKETCHES`` hash orders samples the ``SAMPLED``
-least labelled shingles and keeps them in text order, so that two texts share a
+occurrence number, and each of some hash orders samples the ``SAMPLED`` least
+(``SHORT_SAMPLED`` in short texts) labelled shingles and keeps them in text order, so that two texts share a
 sketch only if they agree on what is sampled and on its order.
 
 Texts with equal words are one node.  Nodes that share a sketch are candidates;
 a candidate pair is a link if an alignment of the two shingle sequences, inside
 the band that the threshold allows, matches m of a + b - m with a share of at
 least ``SIMILARITY``.  First every node is compared with the least node of each
-of its buckets, so a bucket of n equal-looking texts costs n comparisons; then
-the pairs of a bucket that are still in different groups are compared, if their
-lengths and the bits set by their shingles allow the threshold at all (a bit set
-in one text alone stands for a shingle that can't match).  Groups are the
-connected components.
+of its buckets, so a bucket of n equal-looking texts costs n comparisons.  In
+``HUB_ROUNDS`` further rounds the node with most links so far stands in for it
+where a bucket is still split, which joins the copies of one text that are less
+alike among themselves; at last all pairs of a bucket that are still in different
+groups are compared, within lengths that can reach the threshold, so no link
+between groups is lost.  Groups are the connected components.
 
 Edge cases: null and empty texts have no words, and each is a group of its own;
 texts of one to four words have one shingle and group only with equal words;
@@ -39,13 +40,17 @@ from tidemark.llm.decontaminate import normal_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 30
-SAMPLED = 5
-#: 64-bit words of the bits that a text's shingles set.
-BIT_WORDS = 16
+#: Sketches of a text, and labelled shingles in each.
+SKETCHES, SAMPLED = 36, 8
+#: The same for short texts, where few shingles must do; ``SHORT`` gives the shingles
+#: up to which a text has short sketches and from which on it has long ones.  Lengths
+#: of a pair within the threshold fall on the same side of at least one of them.
+SHORT_SKETCHES, SHORT_SAMPLED = 18, 3
+SHORT = (15, 12)
+HUB_ROUNDS = 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ORDERS = np.random.default_rng(20240229).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ORDERS = np.random.default_rng(20240229).integers(1, 2**63, SKETCHES + SHORT_SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def labelled_shingles(words: list[bytes]) -> np.ndarray:
@@ -66,24 +71,25 @@ def labelled_shingles(words: list[bytes]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def order_sketches(h: np.ndarray) -> list[int]:
-    """One signed 64-bit value for each hash order, from the labelled shingles."""
-    if len(h) > SAMPLED:
-        least = np.sort(np.argpartition(h[None, :] * _ORDERS[:, None], SAMPLED, axis=1)[:, :SAMPLED], axis=1)
-        picked = h[least]
+def sampled_values(h: np.ndarray, orders: np.ndarray, size: int) -> list[int]:
+    """One signed 64-bit value for each hash order: the least shingles in text order."""
+    if len(h) > size:
+        picked = h[np.sort(np.argpartition(h[None, :] * orders[:, None], size, axis=1)[:, :size], axis=1)]
     else:
-        picked = np.tile(h, (SKETCHES, 1))
-    value = np.zeros(SKETCHES, dtype=np.uint64)
+        picked = np.tile(h, (len(orders), 1))
+    value = np.zeros(len(orders), dtype=np.uint64)
     for column in picked.T:
         value = (value ^ (value >> np.uint64(31))) * _MIX + column
     return value.view(np.int64).tolist()
 
 
-def shingle_bits(h: np.ndarray) -> list[int]:
-    """The bits that the labelled shingles set, as signed 64-bit words."""
-    flags = np.zeros(64 * BIT_WORDS, dtype=bool)
-    flags[h % np.uint64(len(flags))] = True
-    return np.packbits(flags).view(np.int64).tolist()
+def order_sketches(words: list[bytes]) -> list[int | None]:
+    """The values of the long, then of the short sketches; null where a text has none of a kind."""
+    if len(words) < SHINGLE:
+        return []
+    h = labelled_shingles(words)
+    long = sampled_values(h, _ORDERS[:SKETCHES], SAMPLED) if len(h) >= SHORT[1] else [None] * SKETCHES
+    return long + sampled_values(h, _ORDERS[SKETCHES:], SHORT_SAMPLED) if len(h) <= SHORT[0] else long
 
 
 def shingle_list(words: list[bytes]) -> list[tuple[bytes, ...]]:
@@ -141,27 +147,20 @@ def similarity(a: list, b: list, least: float = SIMILARITY) -> float:
 
 
 def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, version, n, digest, sketch, bits): one for each row of ``docs``.
-
-    Texts of under five words have neither sketch nor bits.
-    """
+    """Rows (id, version, n, digest, sketch): one for each row of ``docs``."""
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("n int, digest binary, sketch array<long>, bits array<long>")
+    @F.pandas_udf("n int, digest binary, sketch array<long>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             words = normal_words(t)
             digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
-            if len(words) < SHINGLE:
-                rows.append((min(len(words), 1), digest, [], []))
-                continue
-            h = labelled_shingles(words)
-            rows.append((len(h), digest, order_sketches(h), shingle_bits(h)))
-        return pd.DataFrame(rows, columns=["n", "digest", "sketch", "bits"])
+            rows.append((max(len(words) - SHINGLE + 1, min(len(words), 1)), digest, order_sketches(words)))
+        return pd.DataFrame(rows, columns=["n", "digest", "sketch"])
 
     found = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("version"), sketched(text).alias("s"))
-    return found.select("id", "version", "s.n", "s.digest", "s.sketch", "s.bits")
+    return found.select("id", "version", "s.n", "s.digest", "s.sketch")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,9 +207,9 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     sketched = written(sketch_documents(docs, doc_id, text))
     rows = sketched.groupBy("id", "version", "digest").agg(F.count("*").alias("copies"))
-    words = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "version")).alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    words = sketched.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "version")).alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(words)
-    bands = nodes.select("node", "n", F.posexplode("sketch").alias("band", "value"))
+    bands = nodes.select("node", "n", F.posexplode("sketch").alias("band", "value")).where("value is not null")
     heads = bands.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared = written(bands.join(heads, ["band", "value"]))
     reach = f"least(n, m) >= {least} * greatest(n, m)"
@@ -223,20 +222,38 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     links = written(verified(tested, texts, least))
     groups = components(links)
 
+    def still_split() -> DataFrame:
+        """Rows (band, value, node, n, root) of buckets that hold several groups."""
+        named = shared.join(groups, "node", "left").select("band", "value", "node", "n", F.coalesce("root", "node").alias("root"))
+        split = named.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
+        return named.join(split, ["band", "value"])
+
+    def tried(pairs: DataFrame) -> bool:
+        """Verify new pairs and take their links in; false if there are none."""
+        nonlocal tested, links, groups
+        fresh = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        more = written(verified(fresh, texts, least))
+        if more.isEmpty():
+            return False
+        tested, links = tested.unionByName(fresh), links.unionByName(more)
+        groups = components(links)
+        return True
+
+    for _ in range(HUB_ROUNDS):
+        ends = links.select(F.explode(F.array("a", "b")).alias("node"))
+        open_rows = written(still_split().join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left"))
+        hub = F.max_by(F.struct("node", "n", "root"), F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("node"))).alias("hub")
+        met = open_rows.join(open_rows.groupBy("band", "value").agg(hub), ["band", "value"]).select(F.col("node").alias("x"), "n", "root", F.col("hub.node").alias("y"), F.col("hub.n").alias("m"), F.col("hub.root").alias("ry"))
+        if not tried(met.where("root <> ry").where(reach)):
+            break
+
     # What is left: pairs of a bucket in different groups, of lengths within reach.
-    open_rows = shared.join(groups, "node", "left").select("band", "value", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = open_rows.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "value")
     step = math.log(1 / least)
-    open_rows = open_rows.join(split, ["band", "value"]).join(nodes.select("node", "bits"), "node").withColumn("size", F.floor(F.log("n") / step).cast("int"))
-    left = open_rows.select("band", "value", "size", F.col("node").alias("x"), F.col("n"), F.col("root").alias("rx"), F.col("bits").alias("bx"))
-    right = open_rows.select("band", "value", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("ry"), F.col("bits").alias("by"))
-    only_x, only_y = (" + ".join(f"bit_count({one}[{i}] & ~{other}[{i}])" for i in range(BIT_WORDS)) for one, other in (("bx", "by"), ("by", "bx")))
-    matched = f"least(n - ({only_x}), m - ({only_y})) * {1 + least} + 1e-6 >= {least} * (n + m)"
-    cross = left.join(right, ["band", "value", "size"]).where("rx <> ry and x <> y").where(reach).where(matched)
-    more = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more_links = written(verified(written(more), texts, least))
-    if not more_links.isEmpty():
-        groups = components(links.unionByName(more_links))
+    open_rows = written(still_split().withColumn("size", F.floor(F.log("n") / step).cast("int")))
+    left = open_rows.select("band", "value", "size", F.col("node").alias("x"), F.col("n"), F.col("root").alias("rx"))
+    right = open_rows.select("band", "value", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("ry"))
+    cross = left.join(right, ["band", "value", "size"]).where("rx <> ry and (own < size or x < y)").where(reach)
+    tried(cross)
 
     named = nodes.join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     joined = rows.join(named, "digest", "left").withColumn("root", F.coalesce("root", F.struct("id", "version")))
