@@ -13,6 +13,7 @@ an empty table gives an empty result.  Extra columns are kept.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,8 @@ from tidemark.llm.common import ship_package, utf8_length, whole_text
 MEMO_ENTRIES = 250_000
 #: Texts that are looked up together.
 BLOCK_TEXTS = 256
+#: New pieces that are encoded together.
+ENCODE_PIECES = 2_000
 #: Longest piece that is remembered.
 MEMO_PIECE = 64
 
@@ -86,7 +89,10 @@ class TokenCounter:
         parts = {p: _PRE_TOKEN.findall(p) if _LATIN.match(p) else [p] for p in pieces}
         known = self.bare
         rest = list({t for ts in parts.values() for t in ts if t not in known})
-        counts = {t: len(e.ids) for t, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True)}
+        counts = {}
+        for start in range(0, len(rest), ENCODE_PIECES):
+            some = rest[start : start + ENCODE_PIECES]
+            counts.update((t, len(e.ids)) for t, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
         return {p: sum(counts[t] if t in counts else known[t] for t in ts) for p, ts in parts.items()}
 
     def pieces(self, text: str) -> tuple[list[str], list[str]]:
@@ -160,6 +166,7 @@ class TokenizerFile:
         self.name = name
 
     def __call__(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one worker a core already
         import public_tokenizers
         from tokenizers import Tokenizer
 
