@@ -22,7 +22,6 @@ and aren't learnt from; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +42,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 LABEL_ODDS, LABEL_DOCS = 2.5, 8
 FEATURE_DOCS = 3
 MEMO_WORDS = 300_000
+#: Tokens that the fit works on at once.
+BLOCK_TOKENS = 100_000
 MARKED = 0.5
 
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -96,6 +97,19 @@ def marginal_odds(u: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> tuple[np
     return forward, backward
 
 
+def chain_errors(u: np.ndarray, tags: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seen less expected: the tag of each token, and the four pairs of neighbours in total."""
+    f, b = marginal_odds(u, lengths, t)
+    odds = np.minimum(f * b, 1e30)
+    inner = np.ones(len(u), dtype=bool)
+    inner[np.cumsum(lengths)[lengths > 0] - 1] = False
+    left = np.flatnonzero(inner)
+    seen = np.bincount(tags[left] * 2 + tags[left + 1], minlength=4)
+    before, after = np.minimum(f[left], 1e30), np.minimum(np.exp(np.clip(u[left + 1], -30, 30)) * b[left + 1], 1e30)
+    joint = np.stack([np.full(len(left), t[0, 0]), t[0, 1] * after, t[1, 0] * before, t[1, 1] * before * after])
+    return tags - odds / (1 + odds), seen - (joint / joint.sum(axis=0)).sum(axis=1)
+
+
 def fit_chain(u_rows: tuple[np.ndarray, np.ndarray], words: np.ndarray, tags: np.ndarray, lengths: np.ndarray, n_words: int, n_features: int, rounds: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
     """Adam ascent of the mean conditional log-likelihood; returns weights, bias, log transitions.
 
@@ -105,23 +119,19 @@ def fit_chain(u_rows: tuple[np.ndarray, np.ndarray], words: np.ndarray, tags: np
     w, bias, log_t = np.zeros(n_features), -4.0, np.zeros((2, 2))
     theta = np.concatenate([w, [bias], log_t.ravel()])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    ends = np.cumsum(lengths)
-    inner = np.ones(len(words), dtype=bool)
-    inner[ends[lengths > 0] - 1] = False
-    left = np.flatnonzero(inner)
-    seen_pairs = np.bincount(tags[left] * 2 + tags[left + 1], minlength=4)
+    parts = blocks(lengths)
     for k in range(1, rounds + 1):
         w, bias, log_t = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
         by_word = np.bincount(word_of, w[feature_of], n_words) + bias
-        u, t = by_word[words], np.exp(log_t)
-        f, b = marginal_odds(u, lengths, t)
-        odds = np.minimum(f * b, 1e30)
-        error = tags - odds / (1 + odds)
-        own = np.bincount(words, error, n_words)
-        fa, after = np.minimum(f[left], 1e30), np.minimum(np.exp(np.clip(u[left + 1], -30, 30)) * b[left + 1], 1e30)
-        joint = np.stack([np.full(len(left), t[0, 0]), t[0, 1] * after, t[1, 0] * fa, t[1, 1] * fa * after])
-        expected = (joint / joint.sum(axis=0)).sum(axis=1)
-        grad = np.concatenate([np.bincount(feature_of, own[word_of], n_features), [error.sum()], seen_pairs - expected])
+        t = np.exp(log_t)
+        own, total, pairs = np.zeros(n_words), 0.0, np.zeros(4)
+        for at, block in parts:
+            some, truth = words[at : at + block.sum()], tags[at : at + block.sum()].astype(np.int64)
+            error, change = chain_errors(by_word[some], truth, block, t)
+            own += np.bincount(some, error, n_words)
+            total += error.sum()
+            pairs += change
+        grad = np.concatenate([np.bincount(feature_of, own[word_of], n_features), [total], pairs])
         grad -= np.concatenate([0.3 * w, [0.0], 0.3 * log_t.ravel()])
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
@@ -148,39 +158,63 @@ def fit_document_map(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
+def blocks(lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Runs of chains with ``BLOCK_TOKENS`` tokens or so, and where each run begins."""
+    ends = np.cumsum(lengths)
+    cuts = np.flatnonzero(np.diff(ends // BLOCK_TOKENS)) + 1
+    parts = np.split(lengths, cuts)
+    starts = np.concatenate([[0], ends[cuts - 1]]).astype(np.int64)
+    return list(zip(starts.tolist(), parts, strict=True))
+
+
+def indexed(texts: list[str]) -> tuple[list[np.ndarray], dict[str, int], list[np.ndarray]]:
+    """The word ids of each text, the ids of features, and the features of each word."""
+    words: dict[bytes, int] = {}
+    features: dict[str, int] = {}
+    ids = []
+    for text in texts:
+        found = normal_words(text)
+        ids.append(np.fromiter((words.setdefault(w, len(words)) for w in found), dtype=np.int32, count=len(found)))
+    per_word = [np.array([features.setdefault(f, len(features)) for f in word_features(w)], dtype=np.int32) for w in words]
+    return ids, features, per_word
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> ChainModel:
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         constant = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return ChainModel({}, -8.0, np.ones((2, 2)), np.array([constant, 0.0, 0.0]))
-    docs = [normal_words(t) for t in texts]
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], dtype=np.int64) for d in docs]
-    features = [word_features(w) for w in vocabulary]
-    counts = (Counter(), Counter())
-    for d, y in zip(ids, toxic, strict=True):
-        counts[int(y)].update({f for w in set(d.tolist()) for f in features[w]})
-    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
-
-    def log_odds(f: str) -> float:
-        return float(np.log((counts[1][f] + 0.5) / (n[1] + 1)) - np.log((counts[0][f] + 0.5) / (n[0] + 1)))
-
-    used = {f: k for k, f in enumerate(f for f, c in counts[1].items() if c >= FEATURE_DOCS)}
-    telling = {f for f in used if counts[1][f] >= LABEL_DOCS and log_odds(f) >= LABEL_ODDS}
-    marked = np.array([any(f in telling for f in fs) for fs in features], dtype=bool)
-    pairs = [(w, used[f]) for w, fs in enumerate(features) for f in fs if f in used]
-    rows = tuple(np.array(p, dtype=np.int64) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
-    words = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+    ids, feature_ids, per_word = indexed(texts)
+    n_words, n_features = len(per_word), len(feature_ids)
+    counts = np.zeros((2, n_features), dtype=np.int64)
+    for d, y in zip(ids, toxic.tolist(), strict=True):
+        if len(d):
+            counts[y, np.unique(np.concatenate([per_word[w] for w in np.unique(d).tolist()]))] += 1
+    n = np.bincount(toxic, minlength=2)
+    odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
+    kept = counts[1] >= FEATURE_DOCS
+    telling = kept & (counts[1] >= LABEL_DOCS) & (odds >= LABEL_ODDS)
+    word_of = np.repeat(np.arange(n_words, dtype=np.int32), [len(f) for f in per_word])
+    feature_of = np.concatenate([*per_word, np.zeros(0, dtype=np.int32)])
+    del per_word
+    marked = np.bincount(word_of[telling[feature_of]], minlength=n_words) > 0
+    names = [f for f, k in feature_ids.items() if kept[k]]
+    new_id = np.cumsum(kept) - 1
+    rows = (word_of[kept[feature_of]], new_id[feature_of[kept[feature_of]]])
+    del word_of, feature_of, feature_ids
+    words = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
     lengths = np.array([len(d) for d in ids], dtype=np.int64)
-    tags = (marked[words] & np.repeat(toxic.astype(bool), lengths)).astype(np.int64)
+    tags = (marked[words] & np.repeat(toxic.astype(bool), lengths)).astype(np.int8)
     chains = np.concatenate([[min(CHAIN, k - s) for s in range(0, k, CHAIN)] for k in lengths.tolist() if k] or [[]]).astype(np.int64)
-    w, bias, log_t = fit_chain(rows, words, tags, chains, len(vocabulary), len(used))
-    weights = {f: float(w[k]) for f, k in used.items() if abs(w[k]) > 1e-4}
-    u = (np.bincount(rows[0], w[rows[1]], len(vocabulary)) + bias)[words]
-    forward, backward = marginal_odds(u, lengths, np.exp(log_t))
-    odds = np.minimum(forward * backward, 1e30)
-    x = document_features(odds / (1 + odds), lengths)
-    return ChainModel(weights, bias, np.exp(log_t), fit_document_map(x, toxic.astype(np.float64)))
+    w, bias, log_t = fit_chain(rows, words, tags, chains, n_words, len(names))
+    weights = {f: float(w[k]) for k, f in enumerate(names) if abs(w[k]) > 1e-4}
+    by_word = np.bincount(rows[0], w[rows[1]], n_words) + bias
+    x = []
+    for at, block in blocks(lengths):
+        forward, backward = marginal_odds(by_word[words[at : at + block.sum()]], block, np.exp(log_t))
+        odds = np.minimum(forward * backward, 1e30)
+        x.append(document_features(odds / (1 + odds), block))
+    return ChainModel(weights, bias, np.exp(log_t), fit_document_map(np.concatenate(x), toxic.astype(np.float64)))
 
 
 def train(docs: DataFrame, labels: DataFrame, wanted=None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ChainModel:
