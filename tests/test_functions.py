@@ -47,3 +47,39 @@ def test_confidence(spark):
         lifecycle.fact_confidence(F.lit("low"), F.lit("long evidence"), F.lit("2026"), F.lit("d")).alias("b"),
     ).first()
     assert (sure.a, sure.b) == ("high", "low")
+
+
+def packed(value, most):
+    """Segments as a plain loop makes them."""
+    done, current = [], ""
+    for part in (" ".join(p.split()) for p in value.replace("。", "。\n").split("\n")):
+        if not part:
+            continue
+        if current and len(current) + len(part) > most:
+            done.append(current)
+            current = ""
+        if len(part) > most:
+            done += [part[i : i + most] for i in range(0, len(part), most)]
+        else:
+            current = f"{current} {part}" if current else part
+    return done + [current] * bool(current)
+
+
+def test_segments(spark):
+    for value in ("", " \n ", "ab cd\nef\n\ngh。ij", "x" * 25, "abc\n" + "y" * 21 + "\nz", "a b。" * 9, "一二三四五六七八九十。" * 3):
+        for most in (7, 10):
+            assert one(spark, value, lambda c, most=most: text.segments(c, most)) == packed(value, most)
+    assert one(spark, None, text.segments) == []
+
+
+def test_registration_dates(spark):
+    day = lambda k: dt.datetime(2026, 6, k)
+    cases = {
+        "报名时间：2026年6月1日至6月9日": (day(1), day(9)),
+        "报名开始：2026年6月1日。报名截止：2026年6月5日": (day(1), day(5)),
+        "报名时间：2026年6月9日至6月1日": (None, None),
+        "报名截止：2026年6月5日。注册截止：2026年6月6日": (None, None),
+        "nothing": (None, None),
+    }
+    for value, want in cases.items():
+        assert tuple(one(spark, value, dates.registration_dates)) == want, value

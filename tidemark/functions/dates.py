@@ -59,3 +59,31 @@ def next_delivery(now: Column, frequency: Column, hour: Column, minute: Column,
 
 def next_retry(status: Column, now: Column, retry_hours: int = 6, unresolved_hours: int = 72) -> Column:
     return F.when(status == "retryable", now + F.make_interval(hours=F.lit(retry_hours))).when(status == "unresolved", now + F.make_interval(hours=F.lit(unresolved_hours)))
+
+
+#: What introduces registration dates.
+REGISTRATION = r"(?:报名|注册)"
+LABELS = {
+    "range": REGISTRATION + r"(?:开始)?(?:时间)?\s*[：:]?\s*",
+    "start": REGISTRATION + r"(?:开始|开放)(?:时间)?\s*[：:]?\s*",
+    "end": REGISTRATION + r"(?:截止|结束)(?:时间)?\s*[：:]?\s*",
+    "loose": REGISTRATION + r"[^。；;\n]{0,80}?(?:截止(?:时间)?(?:为|至|到|于)?|结束(?:时间)?(?:为|至|到|于)?|即日起(?:至|到))\s*[：:]?\s*",
+}
+
+
+def registration_dates(text: Column) -> Column:
+    """Struct (start, end) of the registration.
+
+    A labelled range counts first, and if it isn't valid there are no dates;
+    else start and end are looked for apart.  One loose deadline replaces the
+    end, several different ones clear it.
+    """
+    whole = F.regexp_extract(text, f"{LABELS['range']}({DATE}{BETWEEN}{SHORT})", 1)
+    ranged = date_range(whole)
+    alone = lambda k: parse_date(F.regexp_extract(text, LABELS[k] + f"({DATE})", 1))
+    start = F.when(whole != "", ranged["start"]).otherwise(alone("start"))
+    end = F.when(whole != "", ranged["end"]).otherwise(alone("end"))
+    hints = F.regexp_extract_all(text, F.lit(f"{LABELS['loose']}({DATE})"), F.lit(1))
+    ends = F.array_distinct(F.array_compact(F.transform(hints, parse_date)))
+    last = F.when(F.size(ends) == 1, F.element_at(ends, 1)).when(F.size(ends) == 0, end)
+    return F.struct(start.alias("start"), last.alias("end"))

@@ -101,3 +101,26 @@ def keyword_list(c: Column) -> Column:
 
 def content_hash(c: Column) -> Column:
     return F.sha2(normalize_space(c), 256)
+
+
+def segments(c: Column, most: int = 2_800) -> Column:
+    """Paragraphs packed, in order, into segments of ``most`` characters or so.
+
+    Paragraphs end at line ends and full stops.  One that would make a segment
+    longer than ``most`` (the joining space isn't counted) begins the next; one
+    that is longer by itself ends the open segment and is cut into pieces.
+    Null and blank texts have no segments.
+    """
+    parts = F.filter(F.transform(F.split(F.replace(c, F.lit("。"), F.lit("。\n")), "\n"), normalize_space), lambda p: p != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    closed = lambda done, text: F.when(text == "", done).otherwise(F.concat(done, F.array(text)))
+
+    def add(state, part):
+        done, text, size = state["done"], state["open"], F.char_length(part)
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / most).cast("int")), lambda i: F.substring(part, i * most + 1, F.lit(most)))
+        cut = F.struct(F.concat(closed(done, text), pieces).alias("done"), F.lit("").alias("open"))
+        fresh = F.struct(closed(done, text).alias("done"), part.alias("open"))
+        joined = F.struct(done.alias("done"), F.when(text == "", part).otherwise(F.concat(text, F.lit(" "), part)).alias("open"))
+        return F.when(size > most, cut).when((text != "") & (F.char_length(text) + size > most), fresh).otherwise(joined)
+
+    return F.coalesce(F.aggregate(parts, start, add, lambda s: closed(s["done"], s["open"])), F.array().cast("array<string>"))

@@ -78,3 +78,32 @@ def history(notifications: DataFrame, competitions: DataFrame, user: int, most:
     most = most if 1 <= most <= 100 else 20
     own = notifications.where(F.col("user_id") == user).join(competitions.select(F.col("id").alias("competition_id"), F.col("status").alias("entity_status")), "competition_id")
     return own.orderBy(F.desc("due_at"), "competition_id", "event_key").limit(most)
+
+
+def reschedule(outbox: DataFrame, plans: DataFrame) -> DataFrame:
+    """Open rows of the users in ``plans`` (user_id, due_at, delivery_group) move to that time and group."""
+    plan = plans.select("user_id", F.col("due_at").alias("_due"), F.col("delivery_group").alias("_group"))
+    hit = F.col("_group").isNotNull() & F.col("status").isin(*OPEN)
+    moved = {"due_at": F.when(hit, F.col("_due")).otherwise(F.col("due_at")), "delivery_group": F.when(hit, F.col("_group")).otherwise(F.col("delivery_group"))}
+    return outbox.join(plan, "user_id", "left").withColumns(moved).drop("_due", "_group")
+
+
+def cancel_declined(outbox: DataFrame, choices: DataFrame) -> DataFrame:
+    """Open rows about what their user has declined become cancelled."""
+    pair = ["user_id", "competition_id"]
+    declined = choices.where("decision = 'declined'").select(*pair).distinct().withColumn("_declined", F.lit(True))
+    hit = F.col("_declined").isNotNull() & F.col("status").isin(*OPEN)
+    return outbox.join(declined, pair, "left").withColumn("status", F.when(hit, "cancelled").otherwise(F.col("status"))).drop("_declined")
+
+
+def render(items: DataFrame) -> DataFrame:
+    """One message for each delivery group of ``items`` (delivery_group, competition_id, event_key, label).
+
+    A line names an entity and its labels in order of the event keys; the
+    subject counts the entities.  A group holds what one user is told at once.
+    """
+    labels = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("event_key", "label"))), lambda x: x["label"]), ", ")
+    lines = items.groupBy("delivery_group", "competition_id").agg(labels.alias("labels"))
+    line = F.struct("competition_id", F.format_string("%d: %s", "competition_id", "labels").alias("text"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n")
+    return lines.groupBy("delivery_group").agg(F.format_string("%d updates", F.count("*")).alias("subject"), body.alias("body"))

@@ -6,30 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, lifecycle, text, urls
-from tidemark.operators import changes, consensus, health, match, merge, outbox, research, resolve, retention, scoring, views
+from tidemark.operators import changes, consensus, health, match, merge, outbox, records, research, resolve, retention, scoring, views
+from tidemark.plans import state_queries, stream_queries  # noqa: F401  (they add their queries)
+from tidemark.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from tidemark.sources import fixtures as fx
 
 FLAGSHIP = "actionable_list"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 _NOW = f"TIMESTAMP '{fx.NOW}'"
 _E, _E2, _N, _O = fx.entities_sql(), fx.entities_sql(1), fx.NOTIFICATIONS_SQL, fx.OBSERVATIONS_SQL
 _DASH = "CASE status WHEN 'registration_open' THEN 0 WHEN 'upcoming' THEN 1 WHEN 'preview' THEN 2 ELSE 3 END"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _seconds(name: str):
     return F.unix_timestamp(name).alias(name)
 
@@ -169,6 +157,12 @@ def link_priority_topk(spark: SparkSession, d: str) -> DataFrame:
     return scoring.page_links(fx.table(spark, d, "pages"), fx.LEXICON, 3).select("page_id", "href", F.col("place").cast("long").alias("place"))
 
 
+@query(f"SELECT href, page_id, CAST(pos AS BIGINT) AS pos, title FROM (SELECT *, row_number() OVER (PARTITION BY href ORDER BY page_id, pos) AS r FROM ({_LINKS})) WHERE r = 1")
+def distinct_candidates(spark: SparkSession, d: str) -> DataFrame:
+    links = scoring.page_links(fx.table(spark, d, "pages"), fx.LEXICON, 500).select("href", "page_id", F.col("pos").cast("long").alias("pos"), "title")
+    return records.first_by(links, ["href"], ["page_id", "pos"])
+
+
 _BASELINE = f"(SELECT source_id, url, any_value(CASE WHEN id % 10 = 0 THEN 'x' ELSE content_hash END) AS last_hash, any_value(version) AS version FROM (SELECT id, source_id, 'doc/' || id AS url, content_hash, version FROM {_O}) WHERE id % 2 = 0 GROUP BY source_id, url)"
 
 
