@@ -51,6 +51,32 @@ def test_suffix_dedup_of_repeated_ids(spark):
     assert {r.n_removed for r in rows if r.doc_id == 1} == {150}
 
 
+@pytest.mark.parametrize("hot, orders", [(1 << 20, 3), (400, 1), (400, 3)])
+def test_suffix_dedup_of_periods(spark, monkeypatch, hot, orders):
+    """Texts that repeat inside themselves only, down to one window more than a period."""
+    rng = random.Random(8)
+    unit = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    ring = lambda u, n: (u * (n // len(u) + 1))[:n]
+    twice = ring(unit(31), 300)
+    texts = ["Lorem ipsum dolor sit amet. " * 20, twice, twice]
+    texts += [ring(unit(p), 100 + p + more) for p in (1, 2, 5, 24, 27, 50, 76, 77, 78, 99, 100, 130) for more in (-1, 0, 1, 90)]
+    texts += [unit(90) + ring(unit(p), 100 + p + 3) + unit(90) for p in (3, 40, 77, 90)]
+    for name, value in (("HOT_BYTES", hot), ("BLOCK_BYTES", 4_000), ("ORDERS", orders)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    got = [(found[i].n_removed, found[i].n_spans, hashlib.sha256(bytes(found[i].kept)).hexdigest()) for i in range(len(texts))]
+    assert got == suffix_dedup.removed_by_brute_force([t.encode() for t in texts])
+    assert found[0].n_removed == 532 and min(found[1].n_removed, found[2].n_removed) > 0
+
+
+def test_suffix_dedup_rows_of_sf01(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
+    want = {i: w for (i, _), w in zip(texts, suffix_dedup.removed_by_brute_force([t for _, t in texts]), strict=True)}
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.sha) for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()}
+    assert got == want
+
+
 def test_intervals():
     rng = np.random.default_rng(1)
     for _ in range(60):

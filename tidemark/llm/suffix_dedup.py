@@ -8,12 +8,14 @@ A whole-corpus suffix array would have to stand in one place, so windows of
 ``LENGTH`` bytes are first dealt out by content.  The least hash of the byte
 grams in a window is its anchor; equal windows have equal anchors, and
 neighbouring windows with one anchor form a context.  Spark counts anchors, and
-only windows whose anchor occurs twice can repeat:
+only windows whose anchor occurs twice can repeat.  A run whose period is so short
+that every window of it holds all phases is one context; such a folded context,
+in which the anchor's gram comes twice, counts as a repeated anchor by itself:
 
 * equal contexts are one group by (anchor, digest); all but the first are
   removed whole;
-* the first contexts of an anchor with several different ones are gathered in
-  blocks of bounded size.  In each block the transform of the joined contexts is
+* the first contexts of an anchor with several different ones, or with a folded
+  one, are gathered in blocks of bounded size.  In each block the transform of the joined contexts is
   built, and intervals are extended backwards breadth-first: the intervals of
   round k are the strings of k bytes, their right ends are where neighbours in
   the suffix order share fewer than k bytes.  After ``LENGTH`` rounds, neighbours
@@ -105,10 +107,13 @@ class Powers:
 _POWERS = Powers()
 
 
-def contexts(texts: list[bytes], order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, anchor, digest, first and last window start of every context.
+def contexts(texts: list[bytes], order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, anchor, digest, first and last window start of every context, and whether it is folded.
 
-    ``order`` picks the hash order in which anchors are least.
+    ``order`` picks the hash order in which anchors are least.  Two equal windows
+    of one context are a period apart, so one from the first up to before the
+    second begins with the anchor's gram, and the window after it still has it:
+    the context is folded.
     """
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -116,10 +121,11 @@ def contexts(texts: list[bytes], order: int = 0) -> tuple[np.ndarray, np.ndarray
     data = np.frombuffer(bytes([_SEPARATOR]).join([*texts, b""]), dtype=np.uint8)
     n = len(data) - LENGTH + 1
     if n < 1:
-        return (np.zeros(0, dtype=np.int64),) * 5
+        return *(np.zeros(0, dtype=np.int64),) * 5, np.zeros(0, dtype=bool)
     h = gram_hashes(data)
     wide = LENGTH - GRAM + 1
-    least, step = _mixed(h ^ _U(order * _MULTIPLIER & _WRAP)) if order else h, 1
+    ranks = _mixed(h ^ _U(order * _MULTIPLIER & _WRAP)) if order else h
+    least, step = ranks, 1
     while step * 2 <= wide:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
@@ -130,7 +136,9 @@ def contexts(texts: list[bytes], order: int = 0) -> tuple[np.ndarray, np.ndarray
     edge[ends[long] - LENGTH] -= 1
     inside = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
     least = np.where(inside, np.maximum(least, _U(1)), _U(0))
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
+    differs = least[1:] != least[:-1]
+    cut = np.flatnonzero(differs) + 1
+    again = np.concatenate([[0], np.cumsum(~differs & (ranks[: n - 1] <= least[:-1]))])
     low, high = np.concatenate([[0], cut]), np.concatenate([cut, [n]]) - 1
     used = least[low] > 0
     low, high = low[used], high[used]
@@ -138,7 +146,7 @@ def contexts(texts: list[bytes], order: int = 0) -> tuple[np.ndarray, np.ndarray
     sums = np.concatenate([[_U(0)], np.cumsum(h * up[: len(h)])])
     digest = _mixed((sums[high + wide] - sums[low]) * down[low] + (high - low).astype(np.uint64))
     doc = np.searchsorted(ends, low, side="right")
-    return doc, least[low], digest, low - starts[doc], high - starts[doc]
+    return doc, least[low], digest, low - starts[doc], high - starts[doc], again[high] > again[low]
 
 
 def backward_intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,25 +256,25 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def context_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
-    """Rows (id, version, anchor, digest, lo, hi) of ``docs`` (id, version, body).
+    """Rows (id, version, anchor, digest, lo, hi, folded) of ``docs`` (id, version, body).
 
     With ``wanted``, a bitmap over the leading bits of anchors, only of anchors in it;
-    without it, ``anchor`` alone.
+    without it, ``anchor`` alone, and once more for a folded context.
     """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = "anchor long" if wanted is None else f"id {fields['id']}, version long, anchor long, digest long, lo int, hi int"
+    schema = "anchor long" if wanted is None else f"id {fields['id']}, version long, anchor long, digest long, lo int, hi int, folded boolean"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("body").cast(pa.binary()).to_pylist()
             for start, chunk in _chunks(texts):
-                doc, anchor, digest, low, high = contexts(chunk)
+                doc, anchor, digest, low, high, folded = contexts(chunk)
                 if wanted is None:
-                    yield pa.RecordBatch.from_arrays([_signed(anchor)], ["anchor"])
+                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate([anchor, anchor[folded]]))], ["anchor"])
                     continue
                 used = np.flatnonzero(in_bitmap(wanted.value, anchor))
                 at = pa.array(doc[used] + start)
-                columns = [batch.column("id").take(at), batch.column("version").take(at), _signed(anchor[used]), _signed(digest[used]), pa.array(low[used].astype(np.int32)), pa.array(high[used].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi"])
+                columns = [batch.column("id").take(at), batch.column("version").take(at), _signed(anchor[used]), _signed(digest[used]), pa.array(low[used].astype(np.int32)), pa.array(high[used].astype(np.int32)), pa.array(folded[used])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi", "folded"])
 
     return docs.mapInArrow(rows, schema)
 
@@ -322,7 +330,7 @@ def with_pieces(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def block_repeats(pieces: DataFrame, blocks: int) -> DataFrame:
-    """Rows (id, version, lo, hi): windows of first contexts that start earlier in another one."""
+    """Rows (id, version, lo, hi): windows of first contexts that start earlier in another one or the same."""
     kind = pieces.schema["id"].dataType.simpleString()
 
     def repeats(rows: pd.DataFrame) -> pd.DataFrame:
@@ -345,14 +353,14 @@ def split_rows(pieces: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             base, above = (batch.column(c).to_numpy() for c in ("lo", "anchor"))
             for start, chunk in _chunks(batch.column("piece").to_pylist()):
-                piece, anchor, digest, low, high = contexts(chunk, order)
+                piece, anchor, digest, low, high, folded = contexts(chunk, order)
                 at = piece + start
                 anchor = _mixed(anchor ^ (above[at].view(np.uint64) * _U(_MULTIPLIER)))
                 taken = pa.array(at)
-                columns = [batch.column("id").take(taken), batch.column("version").take(taken), _signed(anchor), _signed(digest), pa.array((low + base[at]).astype(np.int32)), pa.array((high + base[at]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi"])
+                columns = [batch.column("id").take(taken), batch.column("version").take(taken), _signed(anchor), _signed(digest), pa.array((low + base[at]).astype(np.int32)), pa.array((high + base[at]).astype(np.int32)), pa.array(folded)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi", "folded"])
 
-    return pieces.mapInArrow(rows, f"id {kind}, version long, anchor long, digest long, lo int, hi int")
+    return pieces.mapInArrow(rows, f"id {kind}, version long, anchor long, digest long, lo int, hi int, folded boolean")
 
 
 def window_rows(pieces: DataFrame) -> DataFrame:
@@ -360,12 +368,12 @@ def window_rows(pieces: DataFrame) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH)).alias("at")
     single = pieces.select("id", "version", "lo", "piece", at)
     window = F.substring("piece", F.col("at") + 1, F.lit(LENGTH))
-    return single.select("id", "version", F.xxhash64(window).alias("anchor"), F.xxhash64(F.lit(1), window).alias("digest"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"))
+    return single.select("id", "version", F.xxhash64(window).alias("anchor"), F.xxhash64(F.lit(1), window).alias("digest"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("lo") + F.col("at")).alias("hi"), F.lit(False).alias("folded"))
 
 
 def context_groups(rows: DataFrame) -> DataFrame:
-    """Rows (anchor, digest, first, n): equal contexts, and where they stand first."""
-    return rows.groupBy("anchor", "digest").agg(F.min(F.struct("id", "version", "lo", "hi")).alias("first"), F.count("*").alias("n"))
+    """Rows (anchor, digest, first, n, folded): equal contexts, and where they stand first."""
+    return rows.groupBy("anchor", "digest").agg(F.min(F.struct("id", "version", "lo", "hi")).alias("first"), F.count("*").alias("n"), F.bool_or("folded").alias("folded"))
 
 
 def later_ones(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -377,11 +385,11 @@ def later_ones(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def settle(docs: DataFrame, rows: DataFrame, order: int = 0) -> DataFrame:
-    """Rows (id, version, lo, hi): windows in contexts ``rows`` that start earlier in another one."""
+    """Rows (id, version, lo, hi): windows in contexts ``rows`` that start earlier in another one or the same."""
     groups = written(context_groups(rows))
     whole = later_ones(rows, groups)
     size = F.sum(F.col("first.hi") - F.col("first.lo") + LENGTH)
-    several = written(groups.groupBy("anchor").agg(F.count("*").alias("k"), size.alias("bytes")).where("k > 1").select("anchor", "bytes"))
+    several = written(groups.groupBy("anchor").agg(F.count("*").alias("k"), size.alias("bytes"), F.bool_or("folded").alias("folded")).where("k > 1 or folded").select("anchor", "bytes"))
     mild, hot = F.col("bytes") <= HOT_BYTES, F.col("bytes") > HOT_BYTES
     total, most = several.agg(F.coalesce(F.sum(F.when(mild, F.col("bytes"))), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     met = written(groups.select(F.col("anchor").alias("a"), "first").join(several, F.col("a") == F.col("anchor")).select("first.*", "anchor", "bytes"))
