@@ -164,6 +164,29 @@ def test_near_duplicates(spark):
     assert kept.count() == len(set(got.values())) and kept.columns == ["doc_id", "text", "lang", "source", "group_id"]
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.82: common words, then own words of each text."""
+    rng, words = random.Random(80), iter(range(10**9))
+    fresh = lambda n: ["w%d" % next(words) for _ in range(n)]
+
+    def pair(common, left, right):
+        own = fresh(common + 4)
+        a, b = own + fresh(left), own + fresh(right)
+        return (a, b) if rng.random() < 0.5 else (a[::-1], b[::-1])
+
+    encoded = lambda own: [w.encode() for w in own]
+    for common, left, right in ((16, 2, 2), (16, 0, 4), (13, 0, 3), (20, 0, 5), (40, 5, 5), (41, 0, 9), (80, 10, 10)):
+        pairs = [pair(common, left, right) for _ in range(1000)]
+        shingles = [order_minhash.shingle_list(encoded(x)) for x in pairs[0]]
+        assert 0.8 <= order_minhash.similarity(*shingles) < 0.825
+        sketches = [[order_minhash.order_sketches(encoded(x)) for x in both] for both in pairs]
+        lost = sum(not any(x is not None and x == y for x, y in zip(a, b, strict=False)) for a, b in sketches)
+        assert lost == 0, (common, left, right)
+    texts = [" ".join(x) for _ in range(300) for x in pair(16, 2, 2)]
+    got = {r.doc_id: r.group_id for r in order_minhash.with_groups(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_line_spread(spark):
     docs = frame(spark, ["same line\nown %d\nsame line" % i for i in range(8)] + [None, "", "same line"])
     out = {r.doc_id: r for r in line_spread.remove_boilerplate(docs, 4).collect()}

@@ -14,7 +14,10 @@ of its buckets, so a bucket of n equal-looking texts costs n comparisons.  In
 where a bucket is still split, which joins the copies of one text that are less
 alike among themselves; at last all pairs of a bucket that are still in different
 groups are compared, within lengths that can reach the threshold, so no link
-between groups is lost.  Groups are the connected components.
+between groups is lost among candidates.  A pair at the threshold with distinct
+shingles shares no sketch, and so is no candidate, with a chance of 4e-5 at most
+(18 and 18 shingles; 4 and 5 in short texts), and less the longer or the more
+alike the texts are.  Groups are the connected components.
 
 Edge cases: null and empty texts have no words, and each is a group of its own;
 texts of one to four words have one shingle and group only with equal words;
@@ -41,11 +44,11 @@ from tidemark.llm.decontaminate import normal_words
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches of a text, and labelled shingles in each.
-SKETCHES, SAMPLED = 36, 8
+SKETCHES, SAMPLED = 64, 7
 #: The same for short texts, where few shingles must do; ``SHORT`` gives the shingles
 #: up to which a text has short sketches and from which on it has long ones.  Lengths
 #: of a pair within the threshold fall on the same side of at least one of them.
-SHORT_SKETCHES, SHORT_SAMPLED = 18, 3
+SHORT_SKETCHES, SHORT_SAMPLED = 20, 3
 SHORT = (15, 12)
 HUB_ROUNDS = 2
 
