@@ -29,6 +29,27 @@ def dice_pairs(names: DataFrame, name: str = "name", least: float = DICE) -> Dat
     return shared.withColumn("dice", F.round(2.0 * F.col("shared") / (F.col("a") + F.col("b")), 6)).where(F.col("dice") >= least).select("left_name", "right_name", "dice")
 
 
+def contained_pairs(names: DataFrame, name: str = "name") -> DataFrame:
+    """Pairs (left_name, right_name, dice) of distinct names of which one stands in the other.
+
+    A name that holds another has all of its bigrams, so the rarest one blocks the
+    pairs, and all bigrams of the shorter are shared.  Names under ``LEAST_NAME``
+    are left out.
+    """
+    distinct = names.select(F.col(name).alias("name")).where(F.char_length(name) >= LEAST_NAME).distinct()
+    index = distinct.select("name", F.explode(F.array_distinct(bigrams(F.col("name")))).alias("gram"))
+    held = index.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = index.join(held, "gram").groupBy("name").agg(F.min(F.struct("n", "gram")).alias("key")).select(F.col("name").alias("inner"), F.col("key.gram").alias("gram"))
+    met = rarest.join(index.select("gram", F.col("name").alias("outer")), "gram").where((F.col("inner") != F.col("outer")) & F.contains("outer", F.col("inner")))
+    a, b = F.char_length("inner") - 1, F.char_length("outer") - 1
+    return met.select(F.least("inner", "outer").alias("left_name"), F.greatest("inner", "outer").alias("right_name"), F.round(2.0 * a / (a + b), 6).alias("dice"))
+
+
+def identity_pairs(names: DataFrame, name: str = "name", least: float = DICE) -> DataFrame:
+    """Pairs (left_name, right_name, dice) that are alike enough or contained."""
+    return dice_pairs(names, name, least).unionByName(contained_pairs(names, name)).dropDuplicates(["left_name", "right_name"])
+
+
 def same_identity(pairs: DataFrame, least: float = DICE) -> DataFrame:
     """Pairs whose years and editions don't conflict and whose names are long enough."""
     l, r = F.col("left_name"), F.col("right_name")

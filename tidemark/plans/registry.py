@@ -334,7 +334,7 @@ def dice_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_DICE} SELECT left_name, right_name FROM pairs WHERE dice >= 0.78 AND length(left_name) >= 6 AND length(right_name) >= 6")
 def identity_match(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.same_identity(resolve.dice_pairs(fx.table(spark, d, "part"), "p_name")).select("left_name", "right_name")
+    return resolve.same_identity(resolve.identity_pairs(fx.table(spark, d, "part"), "p_name")).select("left_name", "right_name")
 
 
 @query(f"""SELECT id, CASE WHEN n.fee = '' THEN o.fee WHEN o.fee = '' OR o.fee = n.fee OR nt > ot THEN n.fee WHEN ot > nt THEN o.fee END AS fee FROM (SELECT id, CASE trust WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS ot, CASE WHEN id % 4 = 0 THEN '' ELSE CAST(id % 3 AS VARCHAR) END AS fee FROM {_E}) o JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN 3 ELSE 1 END AS nt, CASE WHEN id % 5 = 0 THEN '' ELSE CAST(id % 2 AS VARCHAR) END AS fee FROM {_E}) n USING (id)""")
