@@ -1,6 +1,6 @@
 """Operators on small tables, where the fixtures don't reach a case."""
 
-from tidemark.operators import resolve
+from tidemark.operators import match, resolve
 
 
 def test_identity_of_contained_names(spark):
@@ -13,3 +13,14 @@ def test_identity_of_contained_names(spark):
     want = {(a, b): dice[a, b] for a in own for b in own if a < b and (a, b) != years and (a in b or b in a or dice.get((a, b), 0) >= 0.78)}
     assert found == want
     assert found["national spring cup final 2026", "spring cup"] < 0.78
+
+
+def test_keywords_beyond_a_thousand(spark):
+    words = ["k%04d" % i for i in range(1_500)] + ["z", "yy", "zebra crossing", "!?"]
+    texts = [(1, "x K0003, k1499 z"), (2, "Zebra-crossing K1 200"), (3, None), (4, ""), (5, "alias other")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    keywords = spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = {(1, "k0003"), (1, "k1499"), (1, "z"), (2, "z"), (2, "zebra crossing"), (2, "k1200"), (5, "k1400")}
+    for block in ({}, {"block_chars": 2_000}):
+        found = match.keyword_match(rows, keywords, [["k1400", "other"]], "id", "text", **block)
+        assert sorted((r.id, r.keyword) for r in found.collect()) == sorted(want)
