@@ -1,6 +1,6 @@
 """Operators on small tables, where the fixtures don't reach a case."""
 
-from tidemark.operators import match, resolve
+from tidemark.operators import consensus, match, resolve
 
 
 def test_identity_of_contained_names(spark):
@@ -24,3 +24,13 @@ def test_keywords_beyond_a_thousand(spark):
     for block in ({}, {"block_chars": 2_000}):
         found = match.keyword_match(rows, keywords, [["k1400", "other"]], "id", "text", **block)
         assert sorted((r.id, r.keyword) for r in found.collect()) == sorted(want)
+
+
+def test_quotes_of_any_length(spark):
+    fold = lambda x: " ".join((x or "").split())
+    quotes = ["报名截止", "报名截止时间为六月一日", "open  now", "x", "one two three four", "ne two three four five", "absent", "", None, " "]
+    texts = ["大赛报名截止时间为六月一日。", "it is open\nnow, one two three four five", "one two  three fours", "", None]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    want = sorted((i, j) for i, a in enumerate(quotes) for j, b in enumerate(texts) if fold(a) and fold(a) in fold(b))
+    assert sorted((r.quote_id, r.text_id) for r in consensus.quoted(q, t).collect()) == want and len(want) == 6

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lifecycle import TRUST, rank
 from tidemark.functions.text import normalize_space
+from tidemark.operators.match import contained_forms
 
 
 def consensus(votes: DataFrame, doc: str = "doc") -> DataFrame:
@@ -32,18 +33,20 @@ def quoted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (quote_id, text_id): the quote stands in the text, white space folded.
 
     Candidates share three inner words of the quote, which must be whole words
-    of a text that holds it; quotes of under five words are compared by any one
-    word run they have.
+    of a text that holds it; quotes of under five words, and so all in scripts
+    without spaces, are looked for in every text, in broadcast blocks.
     """
     q = quotes.select("quote_id", normalize_space(F.col("quote")).alias("quote")).where("quote <> ''")
     words = F.split("quote", " ")
+    short = q.where(F.size(words) < 5).select(F.col("quote_id").alias("key"), F.col("quote").alias("form"))
     q = q.where(F.size(words) >= 5).withColumn("key", F.array_join(F.slice(words, 2, 3), " "))
     t = texts.select("text_id", normalize_space(F.col("text")).alias("body"))
     w = F.split("body", " ")
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
     found = t.select("text_id", F.explode(F.array_distinct(keys)).alias("key")).join(q.select("quote_id", "key"), "key").select("text_id", "quote_id").distinct()
     met = found.join(q.select("quote_id", "quote"), "quote_id").join(t, "text_id")
-    return met.where(F.contains("body", F.col("quote"))).select("quote_id", "text_id")
+    long = met.where(F.contains("body", F.col("quote"))).select("quote_id", "text_id")
+    return long.unionByName(contained_forms(t, short).select(F.col("key").alias("quote_id"), "text_id"))
 
 
 def single_proposals(proposals: DataFrame, keys: list[str]) -> DataFrame:
