@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARED_CONF = "spark.checkpoint.dir"
+from tidemark import common
+
 VERSION = "batch="
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    top = spark.conf.get(SHARED_CONF, None) or spark.sparkContext.getConf().get(SHARED_CONF)
-    if not top:
-        top = tempfile.mkdtemp(prefix="tidemark-stream-")
-        atexit.register(shutil.rmtree, top, ignore_errors=True)
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder under the one that driver and executors share."""
+    return f"{common.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 class Snapshots:
