@@ -1,20 +1,11 @@
-"""Shared helpers: reading tables, shipping this package, cutting lineage."""
+"""Helpers of this subpackage: reading tables, whole texts, and the shared ones."""
 
 from __future__ import annotations
 
-import atexit
-import io
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from tidemark.common import release, shared_folder, ship_package, written  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,51 +13,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the executors once per application.
-
-    Worker functions are pickled by reference, so executors need the modules.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, f"{root.name}/{path.relative_to(root)}")
-    folder = tempfile.mkdtemp(prefix="tidemark-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, f"tidemark_{uuid.uuid4().hex[:8]}.zip")
-    Path(target).write_bytes(buffer.getvalue())
-    sc.addPyFile(target)
-    sc._tidemark_shipped = True
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a temporary folder made and set.
-    """
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not folder:
-        folder = getattr(spark.sparkContext, "_tidemark_folder", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext._tidemark_folder = folder
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole_text(column: str = "text"):
     """The text, with null read as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))
