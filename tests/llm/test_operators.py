@@ -235,3 +235,26 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     assert differences(spark, connect(), queries.QUERIES[name], queries.ORACLES[name]) == ""
+
+
+def test_prefix_pairs_lose_none(spark):
+    """Texts that share a long passage, near copies of one text and lone ones: all pairs at the threshold, by a plain loop."""
+    rng = random.Random(11)
+    fresh = lambda n, tag: ["%s%d" % (tag, rng.randrange(10**6)) for _ in range(n)]
+    passage, base = fresh(60, "p"), fresh(50, "b")
+    texts = [passage + fresh(n, "o") for n in (2, 4, 5, 6, 8, 10, 12, 15, 20, 40) for _ in range(3)]
+    for _ in range(25):
+        own = list(base)
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(50)] = "z%d" % rng.randrange(10**6)
+        texts.append(own[: rng.randrange(44, 51)])
+    texts += [fresh(30, "l") for _ in range(5)] + [["la"] * n for n in (9, 10, 12, 14)]
+    encoded = [[w.encode() for w in t] for t in texts]
+    shingles = [order_minhash.shingle_list(t) for t in encoded]
+    for roots in (list(range(len(texts))), [0 if 30 <= i < 50 else i for i in range(len(texts))]):
+        rows = [(i, len(shingles[i]), roots[i], int(h)) for i, t in enumerate(encoded) for h in order_minhash.labelled_shingles(t).view(np.int64)]
+        found = order_minhash.prefix_pairs(spark.createDataFrame(rows, "node long, n int, root long, token long"), 0.8).collect()
+        got = {tuple(sorted((r.x, r.y))) for r in found}
+        want = {(i, j) for j in range(len(texts)) for i in range(j) if roots[i] != roots[j] and order_minhash.similarity(shingles[i], shingles[j]) >= 0.8}
+        assert len(got) == len(found) and want <= got
+        assert len(got) < 3 * len(want)

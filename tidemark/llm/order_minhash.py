@@ -12,18 +12,20 @@ least ``SIMILARITY``.  First every node is compared with the least node of each
 of its buckets, so a bucket of n equal-looking texts costs n comparisons.  In
 ``HUB_ROUNDS`` further rounds the node with most links so far stands in for it
 where a bucket is still split, which joins the copies of one text that are less
-alike among themselves; at last all pairs of a bucket that are still in different
-groups are compared, within lengths that can reach the threshold, so no link
-between groups is lost among candidates.  A pair at the threshold with distinct
-shingles shares no sketch, and so is no candidate, with a chance of 4e-5 at most
-(18 and 18 shingles; 4 and 5 in short texts), and less the longer or the more
-alike the texts are.  Groups are the connected components.
+alike among themselves.  At last the nodes of buckets that are still split are
+compared with each other wherever a link between groups is possible at all
+(``prefix_pairs``), so no link among them is lost however full a bucket is.  A pair
+at the threshold with distinct shingles shares no sketch, and so is no candidate,
+with a chance of 4e-5 at most (18 and 18 shingles; 4 and 5 in short texts), and
+less the longer or the more alike the texts are.  Groups are the connected
+components.
 
 Edge cases: null and empty texts have no words, and each is a group of its own;
 texts of one to four words have one shingle and group only with equal words;
 case of ASCII letters and characters between words don't count; rows of equal
 id and text are one node and share its group; null ids come first; an empty
-table gives an empty result; extra columns are kept.
+table gives an empty result; extra columns are kept, and columns named as a result
+are replaced by ``with_groups`` and kept by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship_package, whole_text, written
+from tidemark.llm.common import field, named, packed, release, ship_package, unpacked, whole_text, written
 from tidemark.llm.decontaminate import normal_words
 
 SHINGLE = 5
@@ -179,8 +181,11 @@ def components(edges: DataFrame) -> DataFrame:
         spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         roots = labels.select(F.col("node").alias("via"), F.col("root").alias("onward"))
         jumped = written(spread.join(roots, F.col("root") == F.col("via"), "left").select("node", "old", F.least("root", F.coalesce("onward", "root")).alias("root")))
-        labels = jumped.select("node", "root")
+        before, labels = labels, jumped.select("node", "root")
+        labels._tidemark_path = jumped._tidemark_path
+        release(before)
         if jumped.where("root <> old").isEmpty():
+            release(both)
             return labels
 
 
@@ -202,6 +207,46 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return met.where(aligned("body_a", "body_b") >= least).select("a", "b")
 
 
+def shingle_rows(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (node, n, root, token): the labelled shingles of ``nodes`` (node, n, root)."""
+
+    @F.pandas_udf("array<long>")
+    def tokens(bodies: pd.Series) -> pd.Series:
+        return pd.Series([labelled_shingles(normal_words(b)).view(np.int64).tolist() for b in bodies], dtype=object)
+
+    return nodes.join(texts, "node").select("node", "n", "root", F.explode(tokens("body")).alias("token"))
+
+
+def prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (x, y) of nodes in different groups that may reach ``least``; no such pair is left out.
+
+    ``rows`` has (node, n, root, token).  A similarity of ``least`` asks for a share
+    of common tokens.  In any one order of tokens, the first common token then
+    stands near the front of both, so only these prefixes are joined.  Tokens of
+    one group alone can't be common to two and come first, then rare ones before
+    frequent ones, so a passage that many texts hold is in the prefix only of
+    texts that are almost nothing else.  The shorter text of a pair needs the
+    shorter prefix.  Rows of a token's largest group meet only those of its other
+    groups, so copies of one text aren't paired among themselves.
+    """
+    both = 2 * least / (1 + least)  # of the shorter one's tokens, those that must be common
+    rows = written(rows)
+    spread = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "df")
+    place = Window.partitionBy("node").orderBy("df", "token")
+    shared = rows.join(spread, "token").withColumns({"at": F.row_number().over(place), "k": F.count("*").over(Window.partitionBy("node"))})
+    prefix = shared.withColumn("pos", F.col("n") - F.col("k") + F.col("at")).where(f"pos <= n - ceil({least} * n - 1e-9) + 1")
+    prefix = prefix.select("token", "node", "n", "root", "pos")
+    main = prefix.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    prefix = written(prefix.join(main, "token").withColumn("in_main", F.col("root") == F.col("main")).drop("main"))
+
+    short = prefix.where(f"pos <= n - ceil({both} * n - 1e-9) + 1").select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("root").alias("rx"), F.col("pos").alias("i"), F.col("in_main").alias("mx"))
+    long = prefix.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("root").alias("ry"), F.col("pos").alias("j"), F.col("in_main").alias("my"))
+    fits = f"rx <> ry and (a < b or a = b and x < y) and a >= {least} * b - 1e-9 and least(a - i, b - j) + 1 >= {both / 2} * (a + b) - 1e-9"
+    # (a = b and x > y is met with the roles changed: both prefixes of equal lengths hold the first common token.)
+    pairs = [left.join(right, "token").where(fits).select("x", "y") for left, right in ((short.where("not mx"), long), (short.where("mx"), long.where("not my")))]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Rows (id, version, copies, group_id, group_version): one for each distinct row of ``docs``.
 
@@ -250,31 +295,34 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         if not tried(met.where("root <> ry").where(reach)):
             break
 
-    # What is left: pairs of a bucket in different groups, of lengths within reach.
-    step = math.log(1 / least)
-    open_rows = written(still_split().withColumn("size", F.floor(F.log("n") / step).cast("int")))
-    left = open_rows.select("band", "value", "size", F.col("node").alias("x"), F.col("n"), F.col("root").alias("rx"))
-    right = open_rows.select("band", "value", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("ry"))
-    cross = left.join(right, ["band", "value", "size"]).where("rx <> ry and (own < size or x < y)").where(reach)
-    tried(cross)
+    # What is left: nodes of split buckets, compared wherever a link is possible at all.
+    open_nodes = written(still_split().select("node", "n", "root").distinct())
+    tried(prefix_pairs(shingle_rows(open_nodes, texts), least))
 
-    named = nodes.join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    joined = rows.join(named, "digest", "left").withColumn("root", F.coalesce("root", F.struct("id", "version")))
+    rooted = nodes.join(groups, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    joined = rows.join(rooted, "digest", "left").withColumn("root", F.coalesce("root", F.struct("id", "version")))
     return joined.select("id", "version", "copies", F.col("root.id").alias("group_id"), F.col("root.version").alias("group_version"))
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """``docs`` packed, with group_id, is_first and copies beside each row."""
+    groups = written(near_duplicate_groups(docs, doc_id, text, least))
+    match = field(doc_id).eqNullSafe(F.col("id")) & (F.xxhash64(whole_text(field(text))) == F.col("version"))
+    first = F.col("id").eqNullSafe(F.col("group_id")) & (F.col("version") == F.col("group_version"))
+    return packed(docs).join(groups, match).select("row", "group_id", "version", first.alias("is_first"), "copies")
+
+
 def with_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``group_id`` and ``is_first`` (the document that stands for its group)."""
-    groups = written(near_duplicate_groups(docs, doc_id, text, least)).select(*(F.col(c).alias(f"_tm_{c}") for c in ("id", "version", "copies", "group_id", "group_version")))
-    rest = docs.drop("group_id", "is_first")
-    match = F.col(doc_id).eqNullSafe(F.col("_tm_id")) & (F.xxhash64(whole_text(text)) == F.col("_tm_version"))
-    first = F.col("_tm_id").eqNullSafe(F.col("_tm_group_id")) & (F.col("_tm_version") == F.col("_tm_group_version"))
-    return rest.join(groups, match).select(*(F.col(f"`{c}`") for c in rest.columns), F.col("_tm_group_id").alias("group_id"), first.alias("is_first"), F.col("_tm_copies").alias("_tm_copies"))
+    return unpacked(_grouped(docs, doc_id, text, least), group_id=F.col("group_id"), is_first=F.col("is_first"))
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
-    first = with_groups(docs, doc_id, text, least).where("is_first")
-    single = first.where("_tm_copies = 1").select(*docs.columns)
-    repeated = first.where("_tm_copies > 1").select(*docs.columns).dropDuplicates([doc_id, text])
-    return single.unionByName(repeated)
+    """One document of each group, with exactly the columns of ``docs``.
+
+    Of rows of equal id and text, any one stays.
+    """
+    first = _grouped(docs, doc_id, text, least).where("is_first")
+    single = first.where("copies = 1").select("row")
+    repeated = first.where("copies > 1").groupBy(field(doc_id), "version").agg(F.first("row").alias("row")).select("row")
+    return unpacked(single.unionByName(repeated))
