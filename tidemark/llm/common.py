@@ -37,7 +37,3 @@ def unpacked(df: DataFrame, **added: Column) -> DataFrame:
 def whole_text(column: str | Column = "text") -> Column:
     """The text, with null read as the empty string."""
     return F.coalesce(named(column) if isinstance(column, str) else column, F.lit(""))
-
-
-def utf8_length(column: str = "text") -> Column:
-    return F.octet_length(whole_text(column)).cast("long")
