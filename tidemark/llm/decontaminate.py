@@ -6,28 +6,36 @@ is one window.  The windows of a block of items are broadcast as sorted hashes,
 every document is scanned once against each block, and each hash hit is
 verified word by word.
 
-The set is broadcast in blocks of at most ``BLOCK_WORDS`` item words, so what is
-sent at once has a fixed bound (about 16 bytes a word) whatever the benchmark's
-size; a benchmark of B words takes ceil(B / BLOCK_WORDS) passes, and the passes'
-hits are merged by position.
+The set is broadcast in blocks of ``BLOCK_WORDS`` item words or so (a longer item
+is cut into overlapping parts), so what is sent at once has a fixed bound (about
+16 bytes a word) whatever the benchmark's size.  A benchmark of one block takes
+one pass.  Of a larger one each block is a pass of its own, whose hits are
+written and whose broadcast is released before the next; the hits of all passes
+are merged by position.
 
 Edge cases: null and empty texts have no words; items without words never match;
-repeated items and items with equal text all count; rows are independent, so
-repeated documents agree; extra columns are kept.
+repeated items and items with equal text all count; a null item id is an item,
+comes first in ``items`` and isn't in the digest; rows are independent, so
+repeated documents agree; an empty benchmark hits nothing; an empty table gives
+an empty result; extra columns are kept, and columns named as a result are
+replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import field, named, packed, ship_package, unpacked, written
 
 WINDOW = 10
 #: Item words that are broadcast at once.
@@ -35,6 +43,7 @@ BLOCK_WORDS = 2_000_000
 
 #: ASCII bytes outside words become spaces, capitals become small.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,64 +119,77 @@ def covered(spans: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, most_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, item: str, text: str, most_words: int, window: int = WINDOW) -> Iterator[list[tuple[object, list[bytes]]]]:
     """Blocks of items, streamed to the driver one partition at a time."""
     block, size = [], 0
-    for row in benchmark.where(F.col(text).isNotNull()).select(item, text).toLocalIterator():
+    for row in benchmark.where(named(text).isNotNull()).select(named(item), named(text)).toLocalIterator():
         words = normal_words(row[1])
-        if words:
-            block.append((row[0], words))
-            size += len(words)
-        if size >= most_words:
-            yield block
-            block, size = [], 0
+        for start in range(0, max(min(len(words), 1), len(words) - window + 1), most_words):
+            part = words[start : start + most_words + window - 1]
+            block.append((row[0], part))
+            size += len(part)
+            if size >= most_words:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Add ``n_words``, ``n_hit``, ``items`` and ``hit_spans`` to ``docs``.
+    """``docs`` with ``n_words``, ``n_hit``, ``items`` and ``hit_spans``.
 
     ``hit_spans`` are the maximal runs of hit words as (first, last + 1).
     """
+    return unpacked(_found(docs, benchmark, block_words, text, item, item_text), **{c: F.col(f"hits.{c}") for c in ("n_words", "n_hit", "items", "hit_spans")})
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows (row, hits)."""
     spark = docs.sparkSession
     ship_package(spark)
-    names = ["n_words", "n_hit", "items", "hit_spans"]
-    schema = f"n_words long, n_hit long, items array<{benchmark.schema[item].dataType.simpleString()}>, hit_spans array<array<long>>"
-    found = docs.drop(*names, "_tm_hits")
-    plain = found.columns
+    kind = benchmark.schema[item].dataType.simpleString()
+    schema = f"n_words long, n_hit long, items array<{kind}>, hit_spans array<array<long>>"
     blocks = map(build_block, item_blocks(benchmark, item, item_text, block_words))
-    hits = _scanner(spark.sparkContext.broadcast(next(blocks, GramBlock({}, {}))), schema)(F.col(text))
-    for block in blocks:  # each pass adds to what the passes before it found
-        hits = _scanner(spark.sparkContext.broadcast(block), schema)(F.col(text), hits["items"], hits["hit_spans"])
-    return found.withColumn("_tm_hits", hits).select(*(F.col(f"`{c}`") for c in plain), *(F.col(f"_tm_hits.{c}").alias(c) for c in names))
+    first, second = next(blocks, GramBlock({}, {})), next(blocks, None)
+    if second is None:
+        return packed(docs).withColumn("hits", _scanner(spark.sparkContext.broadcast(first), schema)(field(text)))
+    rows = written(packed(docs).withColumn("key", F.monotonically_increasing_id()))
+    passes = []
+    for block in chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)
+        own = rows.select("key", _scanner(shared, schema)(field(text)).alias("h")).where("h.n_hit > 0").select("key", "h.items", "h.hit_spans")
+        passes.append(written(own))
+        shared.destroy()
+    hits = reduce(DataFrame.unionByName, passes).groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hit_spans")).alias("spans"))
 
+    @F.pandas_udf(schema)
+    def merged(texts: pd.Series, items: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = ((normal_words(t), set() if i is None else set(i), [] if s is None else [list(x) for x in s]) for t, i, s in zip(texts, items, spans, strict=True))
+        return _result([(len(w), covered(np.array(s, dtype=np.int64).reshape(-1, 2), len(w)), i) for w, i, s in rows])
 
-def _scanner(shared, schema: str):
-    def rows(texts, items_before, spans_before) -> pd.DataFrame:
-        block, out = shared.value, []
-        for text, items, spans in zip(texts, items_before, spans_before, strict=True):
-            words = normal_words(text)
-            own, hit = scan(words, block)
-            if not len(own) and not len(items):
-                out.append((len(words), 0, [], []))
-                continue
-            old = np.array([list(x) for x in spans], dtype=np.int64).reshape(-1, 2)
-            flags = covered(np.concatenate([old, own]), len(words))
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).reshape(-1, 2)
-            out.append((len(words), int(flags.sum()), sorted(hit.union(items)), turns.tolist()))
-        return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "hit_spans"])
+    return rows.join(hits, "key", "left").select("row", merged(field(text), "items", "spans").alias("hits"))
+
+
+def _result(rows: list[tuple[int, np.ndarray, set]]) -> pd.DataFrame:
+    """Results from the number of words, which of them are hit, and the items."""
+    out = []
+    for n, flags, items in rows:
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).reshape(-1, 2)
+        out.append((n, int(flags.sum()), sorted(items, key=lambda x: (x is not None, x)), turns.tolist()))
+    return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "hit_spans"])
 
-    @F.pandas_udf(schema)
-    def first(texts: pd.Series) -> pd.DataFrame:
-        nothing = [()] * len(texts)
-        return rows(texts, nothing, nothing)
 
+def _scanner(shared, schema: str):
     @F.pandas_udf(schema)
-    def later(texts: pd.Series, items: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        return rows(texts, items, spans)
+    def scanned(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            words = normal_words(text)
+            spans, items = scan(words, shared.value)
+            rows.append((len(words), covered(spans, len(words)) if len(spans) else np.zeros(0, dtype=bool), items))
+        return _result(rows)
 
-    return lambda *columns: (first if len(columns) == 1 else later)(*columns)
+    return scanned
 
 
 def with_digest(found: DataFrame) -> DataFrame:
@@ -176,7 +198,25 @@ def with_digest(found: DataFrame) -> DataFrame:
     return found.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(listed, 256), "contaminated": F.col("n_hit") > 0})
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, most_hit_share: float = 0.0) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, most_hit_share: float = 0.0, **names: str) -> DataFrame:
     """Documents of which no more than ``most_hit_share`` of the words are hit, unchanged."""
-    found = find_contamination(docs, benchmark)
-    return found.where(F.col("n_hit") <= most_hit_share * F.col("n_words")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(_found(docs, benchmark, **names).where(F.col("hits.n_hit") <= most_hit_share * F.col("hits.n_words")))
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names: str) -> DataFrame:
+    """All documents without their hit spans: from the first to the last word of each, as it stands."""
+
+    @F.pandas_udf("string")
+    def freed(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(texts, spans, strict=True):
+            if len(own):
+                at = [m.span() for m in _WORD.finditer(t)]
+                edges = [0, *(e for a, b in own for e in (at[a][0], at[b - 1][1])), len(t)]
+                t = "".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    found = _found(docs, benchmark, text=text, **names)
+    clean = F.when(F.size("hits.hit_spans") > 0, freed(field(text), "hits.hit_spans")).otherwise(field(text))
+    return found.select(*(clean.alias(c) if c == text else field(c).alias(c) for c in docs.columns))
