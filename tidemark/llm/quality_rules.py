@@ -8,7 +8,8 @@ raise a score.  Scoring covers every whole text.
 Edge cases: null and empty texts have no words and fail the base limits; rows
 are independent, so repeated rows agree; without labels of both classes the
 trees give no verdict and the base limits alone decide; rows with null labels
-or null ids aren't learnt from.
+or null ids aren't learnt from; an empty table gives an empty result; extra
+columns are kept, and columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import boosted_trees
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import field, packed, ship_package, unpacked
 from tidemark.llm.doc_stats import COLUMNS, FEATURES, SCHEMA, document_stats, document_stats_udf, ratio_features
 
 TRAIN_ROWS = 20_000
@@ -34,25 +35,26 @@ MONOTONE = {"symbol_rate": -1, "dup_line_rate": -1, "repeat_rate": -1}
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, wanted=None) -> DataFrame:
     """``text`` and ``label`` of at most ``rows`` labelled documents, lowest id hash first.
 
-    The chosen ids are bounded by ``rows``, so they are broadcast.
+    The chosen ids are bounded by ``rows``, so they are broadcast; where ids repeat,
+    at most twice as many rows stay, in order of id and text.
     """
     picked = labels.select(F.col("doc_id").alias("_tm_id"), F.col(label).cast("int").alias("label")).where("_tm_id is not null and label in (0, 1)")
     if wanted is not None:
         picked = picked.where(wanted(F.col("_tm_id")))
     picked = picked.groupBy("_tm_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_tm_id"), "_tm_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_tm_id")).select("doc_id", "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_tm_id")).select("doc_id", "text", "label").orderBy("doc_id", "text").limit(2 * rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> boosted_trees.TreeArrays | None:
     ship_package(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", rows)
-    table = sample.select("doc_id", "label", document_stats_udf()("text").alias("s")).select("doc_id", "label", "s.*").orderBy("doc_id", "n_words").limit(2 * rows).toPandas()
+    table = sample.select("doc_id", "label", document_stats_udf()("text").alias("s")).select("doc_id", "label", "s.*").toPandas()
     signs = np.array([MONOTONE.get(f, 0) for f in FEATURES])
     return boosted_trees.fit(ratio_features(table), table["label"].to_numpy(dtype=np.float64), signs)
 
 
-def judge_quality(docs: DataFrame, model: boosted_trees.TreeArrays | None, keep_score: float = KEEP_SCORE) -> DataFrame:
-    """Add the statistics, ``base_failed``, ``score`` and ``kept`` to ``docs``."""
+def judge_quality(docs: DataFrame, model: boosted_trees.TreeArrays | None, keep_score: float = KEEP_SCORE, text: str = "text") -> DataFrame:
+    """``docs`` with the statistics, ``score``, ``base_failed`` and ``kept``."""
     ship_package(docs.sparkSession)
 
     @F.pandas_udf(SCHEMA + ", score double")
@@ -61,9 +63,7 @@ def judge_quality(docs: DataFrame, model: boosted_trees.TreeArrays | None, keep_
         stats["score"] = model.score(ratio_features(stats)) if model is not None and len(stats) else 1.0
         return stats
 
-    names = [*COLUMNS, "score"]
-    rest = docs.drop(*names, "base_failed", "kept", "_tm_stats")
-    found = rest.withColumn("_tm_stats", scored("text"))
-    found = found.select(*(F.col(f"`{c}`") for c in rest.columns), *(F.col(f"_tm_stats.{c}").alias(c) for c in names))
-    found = found.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= keep_score))
+    found = packed(docs).withColumn("s", scored(field(text)))
+    stats = {c: F.col(f"s.{c}") for c in (*COLUMNS, "score")}
+    failed = (stats["n_words"] < LEAST_WORDS) | (100 * stats["n_repeat_words"] > MOST_REPEATED_PERCENT * stats["n_words"])
+    return unpacked(found, **stats, base_failed=failed, kept=~failed & (stats["score"] >= keep_score))

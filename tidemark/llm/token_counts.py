@@ -8,7 +8,8 @@ only pieces outside the set go through the merges.
 Inputs and edge cases: null and empty texts have 0 tokens; the text of a
 special token inside a document counts as that token (the library's default);
 rows are independent, so repeated rows and null ids pass through unchanged;
-an empty table gives an empty result.  Extra columns are kept.
+an empty table gives an empty result.  Extra columns are kept, and columns named
+as a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import ship_package, utf8_length, whole_text
+from tidemark.llm.common import field, packed, ship_package, unpacked, whole_text
 
 #: Entries a worker's memo may hold before it is started afresh.
 MEMO_ENTRIES = 250_000
@@ -174,7 +175,7 @@ class TokenizerFile:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, text: str = "text") -> DataFrame:
-    """Add ``n_bytes``, ``n_tokens`` and ``over_limit`` to ``docs``.
+    """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
     The proven set is bounded by the vocabulary (50,257 strings here), whatever
     the corpus; it travels with the function.
@@ -182,6 +183,6 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     ship_package(docs.sparkSession)
     load = TokenizerFile(tokenizer)
     whole = prove_whole_tokens(load())
-    kept = docs.drop("n_bytes", "n_tokens", "over_limit")
-    counted = kept.withColumns({"n_bytes": utf8_length(text), "n_tokens": token_count_udf(load, whole)(whole_text(text))})
-    return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    n_tokens = token_count_udf(load, whole)(whole_text(field(text)))
+    counted = packed(docs).withColumn("n", n_tokens)
+    return unpacked(counted, n_bytes=F.octet_length(whole_text(field(text))).cast("long"), n_tokens=F.col("n"), over_limit=F.col("n") > F.lit(limit))

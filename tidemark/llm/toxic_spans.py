@@ -16,7 +16,9 @@ Learning uses at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean documents
 Edge cases: null, empty and wordless texts get the score of a document without
 toxic tokens; rows are independent; with no labels of both classes every score
 is the share of toxic labels (0 if there are none); null ids aren't held out
-and aren't learnt from; an empty table gives an empty result.
+and aren't learnt from; of repeated ids the fit takes rows in order of id and
+text, up to twice its bound; an empty table gives an empty result; extra columns
+are kept, and columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import field, packed, ship_package, unpacked
 from tidemark.llm.decontaminate import normal_words
 from tidemark.llm.quality_rules import labelled_sample
 
@@ -219,7 +221,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> ChainModel:
 
 def train(docs: DataFrame, labels: DataFrame, wanted=None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ChainModel:
     """Fit on a bounded sample of labelled documents; ``wanted`` limits it by id."""
-    parts = [labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", n, wanted).limit(2 * n) for y, n in ((1, toxic_rows), (0, clean_rows))]
+    parts = [labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", n, wanted) for y, n in ((1, toxic_rows), (0, clean_rows))]
     table = parts[0].unionByName(parts[1]).where("text is not null").toPandas().sort_values(["doc_id", "text", "label"])
     return fit(table["text"].tolist(), table["label"].to_numpy(dtype=np.int64))
 
@@ -263,8 +265,8 @@ def marked_spans(text: str | None, marginals: np.ndarray) -> list[list[int]]:
     return [[places[r[0]][0], places[r[-1]][1]] for r in runs]
 
 
-def score_toxicity(docs: DataFrame, model: ChainModel, cut: float = 0.3) -> DataFrame:
-    """Add ``score``, ``predicted`` and ``spans`` to ``docs``."""
+def score_toxicity(docs: DataFrame, model: ChainModel, cut: float = 0.3, text: str = "text") -> DataFrame:
+    """``docs`` with ``score``, ``predicted`` and ``spans``."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -277,9 +279,8 @@ def score_toxicity(docs: DataFrame, model: ChainModel, cut: float = 0.3) -> Data
         scores, spans = scorer.score(texts.tolist())
         return pd.DataFrame({"score": scores, "spans": spans})
 
-    rest = docs.drop("score", "predicted", "spans", "_tm_found")
-    found = rest.withColumn("_tm_found", scored("text"))
-    return found.select(*(F.col(f"`{c}`") for c in rest.columns), F.col("_tm_found.score").alias("score"), (F.col("_tm_found.score") >= cut).cast("int").alias("predicted"), F.col("_tm_found.spans").alias("spans"))
+    found = packed(docs).withColumn("found", scored(field(text)))
+    return unpacked(found, score=F.col("found.score"), predicted=(F.col("found.score") >= cut).cast("int"), spans=F.col("found.spans"))
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:

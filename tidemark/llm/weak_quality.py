@@ -9,8 +9,10 @@ which scores every whole text.
 
 Edge cases: a text without words (null, empty, blank) gets score 0 and isn't
 kept; texts of under four bytes are scored by the bias; rows are independent;
-if all posteriors agree the scorer is the prior; an empty table gives an empty
-result.
+if all posteriors agree the scorer is the prior; documents of null id are judged
+but not learnt from, as an id decides what is sampled (of repeated ids and texts
+the first in order); an empty table gives an empty result; extra columns are
+kept, and columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import field, named, packed, ship_package, unpacked
 from tidemark.llm.doc_stats import document_stats_udf
 
 FIT_ROWS = 6_000
@@ -94,11 +96,11 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
     return model
 
 
-def with_votes(docs: DataFrame) -> DataFrame:
-    """Add ``n_words`` and one column ``vote_<name>`` for each labeller."""
-    ship_package(docs.sparkSession)
-    stats = docs.withColumn("_tm_stats", document_stats_udf()("text")).select(*(F.col(f"`{c}`") for c in docs.columns), "_tm_stats.*")
-    return stats.select(*docs.columns, "n_words", *(v.cast("int").alias(f"vote_{k}") for k, v in labellers().items()))
+def with_votes(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` (of no column named here) with ``n_words`` and one column ``vote_<name>`` for each labeller."""
+    ship_package(rows.sparkSession)
+    stats = rows.withColumn("stats", document_stats_udf()(text)).select(*rows.columns, "stats.*")
+    return stats.select(*rows.columns, "n_words", *(v.cast("int").alias(f"vote_{k}") for k, v in labellers().items()))
 
 
 def buckets(data: bytes) -> np.ndarray:
@@ -139,26 +141,26 @@ class QualityModel:
     bias: float
 
 
-def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
+def train(docs: DataFrame, fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
     """Estimate the labellers on all documents and the scorer on a bounded sample of them.
 
     The sample holds the ``fit_rows`` documents whose ids hash lowest.
     """
     names = [f"vote_{k}" for k in labellers()]
-    table = with_votes(docs.select("doc_id", "text")).groupBy(*names).count().toPandas().sort_values(names)
+    rows = docs.select(named(doc_id).alias("id"), named(text).alias("text"))
+    table = with_votes(rows, F.col("text")).groupBy(*names).count().toPandas().sort_values(names)
     model = fit_label_model(table[names].to_numpy(dtype=np.int64).reshape(-1, len(names)), table["count"].to_numpy(dtype=np.float64))
-    picked = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumnRenamed("doc_id", "_tm_id")
-    sample = with_votes(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_tm_id")).select("doc_id", "text"))
-    sample = sample.where("n_words > 0").select("doc_id", "text", *names).limit(2 * fit_rows).toPandas().sort_values(["doc_id", "text"])
+    picked = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_rows).withColumnRenamed("id", "picked")
+    sample = with_votes(rows.join(F.broadcast(picked), F.col("id") == F.col("picked")).select("id", "text"), F.col("text"))
+    sample = sample.where("n_words > 0").orderBy("id", "text").select("text", *names).limit(2 * fit_rows).toPandas()
     votes = sample[names].to_numpy(dtype=np.int64).reshape(-1, len(names))
     weights, bias = fit_scorer([t.encode("utf-8", "surrogatepass") for t in sample["text"]], model.posterior(votes))
     return QualityModel(model, weights, bias)
 
 
-def classify(docs: DataFrame, model: QualityModel, keep_score: float = KEEP_SCORE) -> DataFrame:
-    """Add ``n_votes``, ``posterior``, ``score`` and ``kept``."""
+def classify(docs: DataFrame, model: QualityModel, keep_score: float = KEEP_SCORE, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_votes``, ``posterior``, ``score`` and ``kept``."""
     names = [f"vote_{k}" for k in labellers()]
-    rest = docs.drop("n_words", "n_votes", "posterior", "score", "kept", "_tm_stats", "_tm_found", *names)
 
     @F.pandas_udf("posterior double, score double")
     def scored(texts: pd.Series, votes: pd.Series) -> pd.DataFrame:
@@ -169,12 +171,7 @@ def classify(docs: DataFrame, model: QualityModel, keep_score: float = KEEP_SCOR
             scores[i] = model.bias + (model.weights[b].mean() if len(b) else 0.0)
         return pd.DataFrame({"posterior": model.labels.posterior(table), "score": 1 / (1 + np.exp(-np.clip(scores, -30, 30)))})
 
-    voted = with_votes(rest).withColumn("_tm_found", scored("text", F.array(*names)))
-    score = F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.col("_tm_found.score"))
-    return voted.select(
-        *(F.col(f"`{c}`") for c in rest.columns),
-        sum((F.col(n) != ABSTAIN).cast("int") for n in names).alias("n_votes"),
-        F.col("_tm_found.posterior").alias("posterior"),
-        score.alias("score"),
-        (score >= keep_score).alias("kept"),
-    )
+    voted = with_votes(packed(docs), field(text)).withColumn("found", scored(field(text), F.array(*names)))
+    score = F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.col("found.score"))
+    n_votes = sum((F.col(n) != ABSTAIN).cast("int") for n in names)
+    return unpacked(voted, n_votes=n_votes, posterior=F.col("found.posterior"), score=score, kept=score >= keep_score)
