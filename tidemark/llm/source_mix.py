@@ -17,15 +17,18 @@ Edge cases: null text has 0 tokens and null domain, language or source is '';
 a weight that is missing is 1, and one of 0 or less gets nothing; ties in the
 hash are broken by id, then text hash; repeated rows are separate documents; a
 budget of 0 or less takes only leading documents without tokens; an empty table gives
-an empty result; extra columns are kept.
+an empty result; extra columns are kept, and columns named as a result are
+replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text, written
+from tidemark.llm.common import named, unpacked, whole_text, written
 
 TREE = ("domain", "lang", "source")
 #: Hash ranges of an epoch: hexadecimal digits of the hash, and so 16**3 ranges.
@@ -56,20 +59,20 @@ def share_out(nodes: DataFrame, parents: tuple[str, ...], name: str) -> DataFram
     return top.withColumn("budget", F.greatest(F.lit(0), F.least("capacity", share))).drop("_tm_level", "_tm_top", "parent_budget")
 
 
-def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: Column, max_epochs: int) -> DataFrame:
+def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: int, max_epochs: int) -> DataFrame:
     """Rows (domain, lang, source, tokens, budget) from rows (domain, lang, source, tokens)."""
-    whole = leaves.withColumns({"capacity": F.col("tokens") * max_epochs, "_tm_total": F.sum("tokens").over(Window.partitionBy(F.lit(0)))})
+    whole = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
     above = None
     for depth, name in enumerate(TREE):
         parents = TREE[:depth]
-        level = whole.groupBy(*TREE[: depth + 1]).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"), F.max("_tm_total").alias("_tm_total"))
+        level = whole.groupBy(*TREE[: depth + 1]).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         known = weights.get(name, {})
         weight = F.lit(1)
         for value, w in known.items():
             weight = F.when(F.col(name) == value, w).otherwise(weight)
         level = level.withColumn("weight", weight.cast("long"))
         if above is None:
-            level = level.withColumn("parent_budget", budget.cast("long"))
+            level = level.withColumn("parent_budget", F.lit(budget).cast("long"))
         else:
             level = level.join(above.select(*parents, F.col("budget").alias("parent_budget")), list(parents))
         above = share_out(level, parents, name)
@@ -82,35 +85,36 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     ``budget`` is in tokens; without one it is ``share`` of the corpus's tokens.
     ``n_tokens_before`` is what the leaf had taken before this document.
     """
-    leaf = [F.coalesce(domain.cast("string"), F.lit("")), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TREE[1:])]
-    rest = docs.drop("domain", "epoch", "n_tokens", "n_tokens_before")
-    counted = rest.select("*", *(c.alias(f"_tm_{name}") for c, name in zip(leaf, TREE, strict=True)), (word_tokens(text) if tokens is None else tokens).alias("n_tokens"), F.xxhash64(whole_text(text)).alias("_tm_version"))
-    sizes = counted.groupBy(*(F.col(f"_tm_{n}").alias(n) for n in TREE)).agg(F.sum("n_tokens").alias("tokens"))
-    total = F.lit(budget) if budget is not None else F.floor(F.col("_tm_total") * share)
-    plan = written(leaf_budgets(written(sizes), weights, total, max_epochs)).select(*(F.col(c).alias(f"_tm_{c}") for c in TREE), F.col("tokens").alias("_tm_tokens"), F.col("budget").alias("_tm_budget"))
-
-    keys = [f"_tm_{c}" for c in TREE]
-    epochs = F.explode(F.sequence(F.lit(1), F.least(F.lit(max_epochs), F.greatest(F.lit(1), F.ceil(F.col("_tm_budget") / F.col("_tm_tokens")).cast("int")))))
+    count = word_tokens(text) if tokens is None else tokens
+    leaf = [F.coalesce(c.cast("string"), F.lit("")) for c in (domain, *(named(c) for c in TREE[1:]))]
+    row = F.struct(*(named(c) for c in docs.columns)).alias("row")
+    keys = [f"key_{c}" for c in TREE]
+    counted = docs.select(row, named(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("version"), *(c.alias(k) for c, k in zip(leaf, keys, strict=True)), count.alias("n_tokens"))
+    slim = written(counted.select("id", *keys, "n_tokens"))
+    sizes = written(slim.groupBy(*(F.col(k).alias(c) for c, k in zip(TREE, keys, strict=True))).agg(F.sum("n_tokens").alias("tokens")))
+    if budget is None:
+        budget = math.floor((sizes.agg(F.sum("tokens")).first()[0] or 0) * share)
+    plan = written(leaf_budgets(sizes, weights, budget, max_epochs)).select(*(F.col(c).alias(k) for c, k in zip(TREE, keys, strict=True)), F.col("tokens").alias("leaf_tokens"), F.col("budget").alias("leaf_budget"))
+    epochs = F.explode(F.sequence(F.lit(1), F.least(F.lit(max_epochs), F.greatest(F.lit(1), F.ceil(F.col("leaf_budget") / F.col("leaf_tokens")).cast("int")))))
 
     def dealt(rows: DataFrame) -> DataFrame:
         """Each document once for each epoch that its leaf begins, with its seeded hash."""
         many = rows.join(plan, keys).withColumn("epoch", epochs)
-        hashed = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epoch"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-        return many.withColumn("_tm_hash", hashed).withColumn("_tm_bucket", F.substring("_tm_hash", 1, BUCKET_DIGITS))
+        hashed = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epoch"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+        return many.withColumn("hash", hashed).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
 
-    placed = [*keys, "epoch", "_tm_bucket"]
-    slim = dealt(counted.select(doc_id, *keys, "n_tokens"))
-    sums = slim.groupBy(*placed).agg(F.sum("n_tokens").alias("_tm_sum"), F.first("_tm_tokens").alias("_tm_tokens"), F.first("_tm_budget").alias("_tm_budget"))
-    run = Window.partitionBy(*keys, "epoch").orderBy("_tm_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.col("epoch") - 1) * F.col("_tm_tokens") + F.coalesce(F.sum("_tm_sum").over(run), F.lit(0))
-    ranges = sums.withColumn("_tm_start", start.cast("long")).where(F.col("_tm_start") <= F.col("_tm_budget"))
-    ranges = written(ranges.select(*placed, "_tm_start"))
+    placed = [*keys, "epoch", "bucket"]
+    sums = dealt(slim).groupBy(*placed).agg(F.sum("n_tokens").alias("sum"), F.first("leaf_tokens").alias("leaf_tokens"), F.first("leaf_budget").alias("leaf_budget"))
+    run = Window.partitionBy(*keys, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.col("epoch") - 1) * F.col("leaf_tokens") + F.coalesce(F.sum("sum").over(run), F.lit(0))
+    ranges = sums.withColumn("start", start.cast("long")).where(F.col("start") <= F.col("leaf_budget"))
+    ranges = written(ranges.select(*placed, "start"))
 
     inside = dealt(counted).join(ranges, placed)
-    order = Window.partitionBy(*placed).orderBy("_tm_hash", doc_id, "_tm_version").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_tm_start") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
-    taken = inside.withColumn("n_tokens_before", before.cast("long")).where(F.col("n_tokens_before") + F.col("n_tokens") <= F.col("_tm_budget"))
-    return taken.select(*(F.col(f"`{c}`") for c in rest.columns), F.col("_tm_domain").alias("domain"), "epoch", "n_tokens", "n_tokens_before")
+    order = Window.partitionBy(*placed).orderBy("hash", "id", "version").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
+    taken = inside.withColumn("before", before.cast("long")).where(F.col("before") + F.col("n_tokens") <= F.col("leaf_budget"))
+    return unpacked(taken, domain=F.col("key_domain"), epoch=F.col("epoch"), n_tokens=F.col("n_tokens"), n_tokens_before=F.col("before"))
 
 
 def oracle(domain_sql: str, weights: dict[str, dict[str, int]], share: float, max_epochs: int, seed: int) -> str:
