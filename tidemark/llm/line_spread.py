@@ -12,7 +12,8 @@ never boilerplate.  It is identified by two 64-bit hashes.
 Edge cases: null text counts as empty, null site as the site ''; rows of equal
 id and text are one document and get equal results; rows of equal id and other
 text are separate documents; null ids come first; an empty table gives an empty
-result; extra columns are kept.
+result; extra columns are kept, and columns named ``n_lines`` or ``n_removed`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text, written
+from tidemark.llm.common import field, named, packed, whole_text, written
 
 SKETCH_BITS = 12
 #: Standard errors within which an estimate isn't trusted.
 DOUBT = 4.0
 
 
-def text_lines(text: str) -> Column:
+def text_lines(text: str | Column) -> Column:
     return F.split(whole_text(text), "\n")
 
 
@@ -40,9 +41,9 @@ def error_margin(min_sites: int, bits: int = SKETCH_BITS) -> int:
 def line_rows(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
     """One short row for each line with a character other than the space."""
     cut = docs.select(
-        F.col(doc_id).alias("id"),
+        named(doc_id).alias("id"),
         F.xxhash64(whole_text(text)).alias("version"),
-        F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
+        F.coalesce(named(site).cast("string"), F.lit("")).alias("site"),
         F.posexplode(text_lines(text)).alias("pos", "line"),
     )
     return cut.where(F.trim("line") != "").select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"), "site", "id", "version", "pos")
@@ -64,21 +65,33 @@ def remove_boilerplate(docs: DataFrame, min_sites: int, doc_id: str = "doc_id",
 
     No document is dropped here; one that loses every line keeps an empty text.
     """
-    rest = docs.drop("n_lines", "n_removed")
-    lines = line_rows(rest, doc_id, text, site)
+    lines = line_rows(docs, doc_id, text, site)
     spread = written(boilerplate_lines(lines, min_sites))
     again = lines.join(spread, ["a", "b"]).where(~F.struct("id", "version", "pos").eqNullSafe(F.col("first")))
-    gone = again.groupBy("id", "version").agg(F.collect_set("pos").alias("gone")).select(F.col("id").alias("_tm_id"), F.col("version").alias("_tm_version"), F.col("gone").alias("_tm_gone"))
-    joined = rest.join(gone, F.col(doc_id).eqNullSafe(F.col("_tm_id")) & (F.xxhash64(whole_text(text)) == F.col("_tm_version")), "left")
-    all_lines = text_lines(text)
-    kept = F.array_join(F.filter(all_lines, lambda line, at: ~F.array_contains("_tm_gone", at)), "\n")
+    gone = again.groupBy("id", "version").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    joined = packed(docs).join(gone, field(doc_id).eqNullSafe(F.col("id")) & (F.xxhash64(whole_text(field(text))) == F.col("version")), "left")
+    kept = F.when(F.col("gone").isNull(), field(text)).otherwise(without_lines(text_lines(field(text)), F.col("gone")))
     return joined.select(
-        *(F.when(F.col("_tm_gone").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in rest.columns),
-        F.size(all_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_tm_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *((kept if c == text else field(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")),
+        F.size(text_lines(field(text))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def without_lines(lines: Column, gone: Column) -> Column:
+    """The text of ``lines`` without those at the positions ``gone``, which are in order.
+
+    It is put together from the runs between them, so the work is in proportion to the lines.
+    """
+    once = F.array(F.struct(lines.alias("lines"), F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines))).alias("at")))
+
+    def joined(s: Column) -> Column:
+        run = lambda i: F.slice(s["lines"], s["at"][i] + 2, s["at"][i + 1] - s["at"][i] - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["at"]) - 2), run)), "\n")
+
+    return F.transform(once, joined)[0]
+
+
 def oracle(min_sites: int) -> str:
     return f"""
 WITH lines AS (
