@@ -226,10 +226,81 @@ def test_learnt_scores(spark):
         assert (one[:, None] > zero[None, :]).mean() > 0.85
 
 
-def test_empty_tables(spark):
-    none = frame(spark, ["x"]).limit(0)
-    for out in (suffix_dedup.remove_repeats(none), order_minhash.with_groups(none), line_spread.remove_boilerplate(none, 3), token_counts.count_tokens(none), quality_rules.judge_quality(none, None)):
-        assert out.count() == 0
+CLASHING = "key row id version text2 n_words n_hit items hit_spans hits found s n n_votes posterior score kept stats vote_pipes n_lines n_removed gone group_id is_first copies root node domain epoch n_tokens n_tokens_before bucket hash start spans predicted n_bytes over_limit removed_spans n_spans n_chars own path host url html base_failed word_chars a.b".split()
+
+
+@pytest.fixture(scope="module")
+def nasty(spark):
+    """Nulls everywhere, empty and very long texts, ties, repeated rows, and columns named like results and helpers."""
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(rng.randrange(999)) for _ in range(600_000))
+    plain = ["the quick brown fox number %d jumps over a lazy dog and runs home again at night when all is calm %d" % (i, i) for i in range(6)]
+    texts = [None, "", " ", long, "x" * 300_000, plain[0], plain[0], *plain, "a\nb\n" * 4]
+    rows = [(None if i == 4 else 7 if i in (5, 6) else i, t, None if i % 3 else "en", None if i % 4 else "s1") for i, t in enumerate([*texts, texts[-2]])]
+    rows += [rows[-1], (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(12)] + [(None, 1, None), (3, None, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, plain[1]), ("i", plain[1]), ("j", None), ("k", "alpha1")], "item_id string, text string")
+    return docs, labels, bench
+
+
+OPERATORS = {
+    "op1": (lambda d, l, b: suffix_dedup.remove_repeats(d), ["n_bytes", "n_removed", "n_spans", "removed_spans", "kept"]),
+    "op2": (lambda d, l, b: decontaminate.find_contamination(d, b), ["n_words", "n_hit", "items", "hit_spans"]),
+    "op2 in blocks": (lambda d, l, b: decontaminate.find_contamination(d, b, 12), ["n_words", "n_hit", "items", "hit_spans"]),
+    "op2 spans": (lambda d, l, b: decontaminate.remove_spans(d, b), []),
+    "op3": (lambda d, l, b: weak_quality.classify(d, weak_quality.train(d)), ["n_votes", "posterior", "score", "kept"]),
+    "op4": (lambda d, l, b: order_minhash.with_groups(d), ["group_id", "is_first"]),
+    "op5": (lambda d, l, b: toxic_spans.score_toxicity(d, toxic_spans.train(d, l)), ["score", "predicted", "spans"]),
+    "op6": (lambda d, l, b: source_mix.mix(d, F.col("domain"), {}, share=1.0, max_epochs=1), ["domain", "epoch", "n_tokens", "n_tokens_before"]),
+    "op7": (lambda d, l, b: page_text.extract_main_text(d, "source", "text"), ["text", "n_chars"]),
+    "op8": (lambda d, l, b: line_spread.remove_boilerplate(d, 2), ["n_lines", "n_removed"]),
+    "op9": (lambda d, l, b: quality_rules.judge_quality(d, quality_rules.train(d, l)), [*quality_rules.COLUMNS, "score", "base_failed", "kept"]),
+    "op10": (lambda d, l, b: token_counts.count_tokens(d), ["n_bytes", "n_tokens", "over_limit"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_hard_rows(spark, nasty, name):
+    """No row is lost, no column of the input changes but those that are results, and equal rows agree."""
+    docs, labels, bench = nasty
+    operator, results = OPERATORS[name]
+    out = operator(docs, labels, bench)
+    assert out.columns == [c for c in docs.columns if c not in results] + results
+    rows = out.withColumn("text", F.col("text")).collect()
+    assert len(rows) == docs.count()
+    own = [c for c in CLASHING if c not in results]
+    assert {r[c] for r in rows for c in own} == {"mine"}
+    if "text" not in results and name not in ("op8", "op2 spans"):
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert operator(docs.limit(0), labels, bench).count() == 0
+    assert operator(docs.limit(0), labels.limit(0), bench.limit(0)).columns == out.columns
+
+
+def test_decontamination_in_blocks(spark, nasty):
+    docs, _, bench = nasty
+    bench = bench.unionByName(spark.createDataFrame([("long", docs.where("doc_id = 3").first().text[:2_000])], "item_id string, text string"))
+    one, many = ({(r.doc_id, r.text): (r.n_words, r.n_hit, r["items"], r.hit_spans) for r in decontaminate.find_contamination(docs, bench, k).collect()} for k in (10**6, 30))
+    assert one == many
+    assert sum(bool(v[2]) for v in one.values()) >= 3 and ([None, "i"] in [v[2] for v in one.values()])
+    kept = decontaminate.remove_spans(spark.createDataFrame([(1, "Start, alpha1! end")], "doc_id long, text string"), bench)
+    assert kept.first().text == "Start, ! end"
+
+
+def test_kept_documents_keep_their_columns(spark, nasty):
+    docs, _, bench = nasty
+    for out in (order_minhash.keep_one_of_each(docs), decontaminate.remove_documents(docs, bench)):
+        assert out.columns == docs.columns and {r.group_id for r in out.collect()} == {"mine"}
+
+
+def test_lines_of_a_long_document(spark):
+    """Half of very many lines go; the time is in proportion to them."""
+    text = "\n".join("l%d" % (i % 2 * i) for i in range(200_001))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "l0", "b")], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in line_spread.remove_boilerplate(docs, 2).collect()}
+    assert out[1].n_removed == 100_000 and out[1].text == "\n".join(["l0", *("l%d" % i for i in range(1, 200_001, 2))]) and out[2].text == ""
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

@@ -164,7 +164,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             rows.append((max(len(words) - SHINGLE + 1, min(len(words), 1)), digest, order_sketches(words)))
         return pd.DataFrame(rows, columns=["n", "digest", "sketch"])
 
-    found = docs.select(F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("version"), sketched(text).alias("s"))
+    found = docs.select(named(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("version"), sketched(named(text)).alias("s"))
     return found.select("id", "version", "s.n", "s.digest", "s.sketch")
 
 
@@ -238,6 +238,7 @@ def prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
     prefix = prefix.select("token", "node", "n", "root", "pos")
     main = prefix.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     prefix = written(prefix.join(main, "token").withColumn("in_main", F.col("root") == F.col("main")).drop("main"))
+    release(rows)
 
     short = prefix.where(f"pos <= n - ceil({both} * n - 1e-9) + 1").select("token", F.col("node").alias("x"), F.col("n").alias("a"), F.col("root").alias("rx"), F.col("pos").alias("i"), F.col("in_main").alias("mx"))
     long = prefix.select("token", F.col("node").alias("y"), F.col("n").alias("b"), F.col("root").alias("ry"), F.col("pos").alias("j"), F.col("in_main").alias("my"))
@@ -264,7 +265,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"))
     tested = written(shared.where("a <> node").select("a", F.col("node").alias("b"), "n").distinct().join(sizes, "a").where(reach).select("a", "b"))
 
-    key = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("version")).alias("node"), F.col(text).alias("body"))
+    key = docs.select(F.struct(named(doc_id).alias("id"), F.xxhash64(whole_text(text)).alias("version")).alias("node"), named(text).alias("body"))
     wanted = shared.select("node").distinct()
     texts = written(key.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     links = written(verified(tested, texts, least))
