@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, lifecycle, text, urls
+from tidemark.functions import analysis, dates, lifecycle, text, urls
+from tidemark.operators import scoring
 
 
 def one(spark, value, function):
@@ -82,4 +83,54 @@ def test_registration_dates(spark):
         "nothing": (None, None),
     }
     for value, want in cases.items():
-        assert tuple(one(spark, value, dates.registration_dates)) == want, value
+        got = one(spark, value, dates.registration_dates)
+        assert (got.start, got.end) == want, value
+
+
+def test_competition_dates(spark):
+    at = lambda *d: dt.datetime(2026, *d)
+    cases = {
+        "比赛时间：2026年7月25日至26日": (at(7, 25), at(7, 26), "2026年7月25日", "26"),
+        "大赛将于2026年4月25~26日举行": (at(4, 25), at(4, 26), "2026年4月25", "26"),
+        "比赛时间：2026年4月30日~2日": (None, None),
+        "比赛时间：2026年4月25日9:00至26日18:00": (None, None),
+        "报名将于2026年4月25日至26日进行": (None, None),
+        "比赛报名将于2026年4月1日至2日进行。比赛时间：2026年4月25日至26日": (at(4, 25), at(4, 26)),
+        "竞赛时间：2026年6月1日 8:00 至 9月19日 17时30分": (at(6, 1, 8), at(9, 19, 17, 30)),
+        "开赛时间：2026年6月1日。比赛结束：2026年6月3日": (at(6, 1), at(6, 3)),
+        "比赛时间：2026年9月19日至6月1日": (None, None),
+        "nothing": (None, None),
+    }
+    for value, want in cases.items():
+        got = one(spark, value, dates.competition_dates)
+        assert (got.start, got.end, got.start_raw, got.end_raw)[: len(want)] == want, value
+    narrow = spark.range(1).select(dates.only_day_range(F.lit("2026-04-25").cast("timestamp"), F.lit("2026-04-26").cast("timestamp"), F.lit("2026年4月25日"), F.lit("26日")).alias("r"))
+    assert narrow.first().r is True
+
+
+def test_lists_of_words(spark):
+    assert one(spark, "B,b,a\n b ；C", text.keyword_list) == ["B", "C", "a"]
+    assert one(spark, ",".join("k%d" % i for i in range(21)), text.keyword_list) is None
+    assert one(spark, "x" * 41, text.keyword_list) is None
+    assert one(spark, "重庆市、四川省".replace("、", ","), text.region_list) == ["四川", "重庆"]
+    assert one(spark, "内蒙古自治区,广西壮族自治区", text.region_list) == ["内蒙古", "广西"]
+    assert one(spark, "火星", text.region_list) is None
+    assert one(spark, "/a/b/c.pdf/", text.path_title) == "c.pdf" and one(spark, "/", text.path_title) == ""
+    assert one(spark, " ", lambda c: text.first_non_empty(c, F.lit("x"))) == "x" and one(spark, None, lambda c: text.first_non_empty(c)) == "暂未公布"
+    assert one(spark, "（校级） 选拔，赛", text.marker_text) == "校级选拔赛"
+
+
+def test_scores_of_candidates(spark):
+    score = lambda title, snippet: one(spark, title, lambda c: scoring.candidate_score(c, F.lit(snippet), scoring.FIELD))
+    assert score("CCPC 获奖名单", "程序设计 算法") == -100
+    assert score("人工智能 算法 编程 摄影", "") == 25
+    assert score("摄影大赛", "") == -100 and score("CCPC", "") == 100
+
+
+def test_status_of_pages(spark):
+    said = lambda v: one(spark, v, analysis.detect_status)
+    assert said("报名已截止。比赛将于七月开赛").status == "upcoming"
+    assert tuple(said("欢迎！现已开放报名，速来；其他")) == ("registration_open", "现已开放报名，速来")
+    assert said("无") is None
+    assert one(spark, "参赛费：100元/人。", analysis.fee).fee == "100元/人" and one(spark, "免费报名", analysis.fee).fee == "免费"
+    assert one(spark, "请 开启 JavaScript 后继续", analysis.challenge_page) is True

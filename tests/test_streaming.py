@@ -18,12 +18,13 @@ def test_changes_over_batches(spark):
 
 
 def test_events_once(spark):
-    step, log = jobs.event_step(shared_folder(spark))
-    names = "id long, status string, problem_released boolean"
-    batches = [[(1, "preview", False), (1, "preview", False)], [(1, "preview", True), (2, "ongoing", None)]]
+    step, log = jobs.event_step(shared_folder(spark), F.lit("2026-06-15 12:00:00").cast("timestamp"))
+    names = "id long, name string, content string, status_evidence string, registration_phase string, competition_phase string, registration_end timestamp, competition_end timestamp, trust string, official_url string, first_seen timestamp, published string, problem_released boolean"
+    row = lambda i, registration, competition, released: (i, "2026 cup", "", "", registration, competition, None, None, "high", "https://a.b/", None, None, released)
+    batches = [[row(1, "preview", "unknown", False)] * 2, [row(1, "preview", "unknown", True), row(2, "unknown", "ongoing", None), row(3, "unknown", "unknown", False)]]
     for k in (0, 1, 1):
         step(spark.createDataFrame(batches[k], names), k)
-    assert sorted(map(tuple, log.all_batches(spark).collect())) == [(1, "competition_discovered"), (1, "problem_released"), (2, "competition_started")]
+    assert sorted(map(tuple, log.all_batches(spark).collect())) == [(1, "preview_detected"), (1, "problem_released"), (2, "competition_started"), (3, "competition_discovered")]
 
 
 def test_streaks_over_batches(spark):

@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An explicit-year date, and the hour and minute that may follow.
-DATE = r"(20\d{2})\s*[年\-./]\s*(\d{1,2})\s*[月\-./]\s*(\d{1,2})\s*日?(?:\s*(\d{1,2})\s*[:：时]\s*(\d{1,2})?)?"
-SHORT = r"(?:(20\d{2})\s*[年\-./]\s*)?(\d{1,2})\s*[月\-./]\s*(\d{1,2})\s*日?(?:\s*(\d{1,2})\s*[:：时]\s*(\d{1,2})?)?"
+#: A date with its year, one that may inherit its year, and their parts.
+TOKEN = r"20\d{2}\s*[年./-]\s*\d{1,2}\s*[月./-]\s*\d{1,2}\s*日?(?:\s*\d{1,2}\s*(?::|：|时)\s*\d{0,2}\s*分?)?"
+SHORT_TOKEN = r"(?:(?:20\d{2})\s*[年./-]\s*)?\d{1,2}\s*[月./-]\s*\d{1,2}\s*日?(?:\s*\d{1,2}\s*(?::|：|时)\s*\d{0,2}\s*分?)?"
+DATE = r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})\s*日?(?:\s*(\d{1,2})\s*(?::|：|时)\s*(\d{0,2})\s*分?)?"
+SHORT = r"(?:(20\d{2})\s*[年./-]\s*)?(\d{1,2})\s*[月./-]\s*(\d{1,2})\s*日?(?:\s*(\d{1,2})\s*(?::|：|时)\s*(\d{0,2})\s*分?)?"
 BETWEEN = r"\s*(?:至|到|—|–|~|～)\s*"
 
+#: What introduces the dates of registration and of the competition.
+REGISTRATION_RANGE = rf"(?:报名|注册)(?:开始)?(?:时间)?\s*[：:]?\s*({TOKEN})\s*(?:至|到|—|–|~|～)\s*({SHORT_TOKEN})"
+REGISTRATION_START = rf"(?:报名|注册)(?:开始|开放)(?:时间)?\s*[：:]?\s*({TOKEN})"
+REGISTRATION_END = rf"(?:报名|注册)(?:截止|结束)(?:时间)?\s*[：:]?\s*({TOKEN})"
+LOOSE_END = rf"(?:报名|注册)[^。；;\n]{{0,80}}?(?:截止(?:时间)?(?:为|至|到|于)?|结束(?:时间)?(?:为|至|到|于)?|即日起(?:至|到))\s*[：:]?\s*({TOKEN})"
+COMPETITION_RANGE = rf"(?:比赛|竞赛|赛事)(?:时间|赛程)\s*[:：]?\s*({TOKEN})\s*(?:至|到|—|-|~|～)\s*({SHORT_TOKEN})"
+COMPETITION_START = rf"(?:开赛|比赛开始|竞赛开始|赛事开始)(?:时间)?\s*[:：]?\s*({TOKEN})"
+COMPETITION_END = rf"(?:比赛|竞赛|赛事)(?:结束|截止)(?:时间)?\s*[:：]?\s*({TOKEN})"
+DAY_RANGE = (
+    r"(?:(?:比赛|竞赛|赛事)(?:时间|赛程)?\s*[:：]?\s*|(?:将于|计划于|定于)[^。！？；;\n]{0,40}?)"
+    rf"({TOKEN})\s*(?:至|到|—|–|-|~|～)\s*(\d{{1,2}})\s*日?"
+    r"(?:\s*(\d{1,2})\s*[：:时]\s*\d{0,2}\s*分?)?"
+    r"(?:[^。！？；;\n]{0,40}?(?:举行|举办|开幕|开赛|召开|开始|进行))?"
+)
+DAY_RANGE_NOT = ["报名", "注册", "缴费", "交费", "报名费", "参赛缴费", "材料提交", "材料上传", "材料递交"]
+DAY_RANGE_ABOUT = ["比赛时间", "竞赛时间", "赛事时间", "赛程", "举行", "举办", "开幕", "开赛", "召开", "总决赛", "决赛"]
+CLAUSE_ENDS = "[。！？!?；;\n]"
+
 BACKOFF_FIRST, BACKOFF_MOST = 300, 86_400
 
 
@@ -61,29 +81,82 @@ def next_retry(status: Column, now: Column, retry_hours: int = 6, unresolved_hou
     return F.when(status == "retryable", now + F.make_interval(hours=F.lit(retry_hours))).when(status == "unresolved", now + F.make_interval(hours=F.lit(unresolved_hours)))
 
 
-#: What introduces registration dates.
-REGISTRATION = r"(?:报名|注册)"
-LABELS = {
-    "range": REGISTRATION + r"(?:开始)?(?:时间)?\s*[：:]?\s*",
-    "start": REGISTRATION + r"(?:开始|开放)(?:时间)?\s*[：:]?\s*",
-    "end": REGISTRATION + r"(?:截止|结束)(?:时间)?\s*[：:]?\s*",
-    "loose": REGISTRATION + r"[^。；;\n]{0,80}?(?:截止(?:时间)?(?:为|至|到|于)?|结束(?:时间)?(?:为|至|到|于)?|即日起(?:至|到))\s*[：:]?\s*",
-}
+def _span(start: Column, start_raw: Column, end: Column, end_raw: Column) -> Column:
+    return F.struct(start.alias("start"), start_raw.alias("start_raw"), end.alias("end"), end_raw.alias("end_raw"))
+
+
+def _dated(text: Column, between: str, first: str, last: str) -> Column:
+    """Struct (start, start_raw, end, end_raw): a range if one is written, else the dates apart.
+
+    The end of a range may inherit its year; a range that isn't valid gives no dates.
+    """
+    nothing = _span(*(F.lit(None).cast(t) for t in ("timestamp", "string", "timestamp", "string")))
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    def ranged(left: Column, right: Column) -> Column:
+        start = parse_date(left)
+        end = F.coalesce(parse_date(right), _made(right, SHORT, F.coalesce(F.regexp_extract(right, SHORT, 1).try_cast("int"), F.year(start))))
+        return F.when(end >= start, _span(start, trim(left), end, trim(right))).otherwise(nothing)
+
+    def alone(pattern: str) -> tuple[Column, Column]:
+        raw = F.regexp_extract(text, pattern, 1)
+        return parse_date(raw), F.nullif(trim(raw), F.lit(""))
+
+    left = F.regexp_extract(text, between, 1)
+    return F.when(left != "", ranged(left, F.regexp_extract(text, between, 2))).otherwise(_span(*alone(first), *alone(last)))
 
 
 def registration_dates(text: Column) -> Column:
-    """Struct (start, end) of the registration.
+    """Struct (start, start_raw, end, end_raw) of the registration.
+
+    One loose deadline replaces the end, several different ones clear it.
+    """
+    strict = _dated(text, REGISTRATION_RANGE, REGISTRATION_START, REGISTRATION_END)
+    hints = F.transform(F.regexp_extract_all(text, F.lit(LOOSE_END), F.lit(1)), lambda h: F.struct(parse_date(h).alias("at"), F.regexp_replace(h, r"(?U)^\s+|\s+$", "").alias("raw")))
+    dated = F.filter(hints, lambda h: h["at"].isNotNull())
+
+    def settled(both: Column) -> Column:
+        span, ends = both["span"], both["ends"]
+        n = F.size(F.array_distinct(F.transform(ends, lambda h: h["at"])))
+        end = F.when(n == 1, ends[0]["at"]).when(n == 0, span["end"])
+        raw = F.when(n == 1, ends[0]["raw"]).when(n == 0, span["end_raw"])
+        return _span(span["start"], span["start_raw"], end, raw)
 
-    A labelled range counts first, and if it isn't valid there are no dates;
-    else start and end are looked for apart.  One loose deadline replaces the
-    end, several different ones clear it.
+    return F.transform(F.array(F.struct(strict.alias("span"), dated.alias("ends"))), settled)[0]
+
+
+def registration_deadlines(text: Column) -> Column:
+    """All deadlines that a text hints at."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(LOOSE_END), F.lit(1)), parse_date), lambda d: d.isNotNull()))
+
+
+def day_range(text: Column) -> Column:
+    """The first range whose end is only a day of the start's month, in a clause on the competition itself.
+
+    An end with a time of its own, before the start or not in the calendar is passed over.
     """
-    whole = F.regexp_extract(text, f"{LABELS['range']}({DATE}{BETWEEN}{SHORT})", 1)
-    ranged = date_range(whole)
-    alone = lambda k: parse_date(F.regexp_extract(text, LABELS[k] + f"({DATE})", 1))
-    start = F.when(whole != "", ranged["start"]).otherwise(alone("start"))
-    end = F.when(whole != "", ranged["end"]).otherwise(alone("end"))
-    hints = F.regexp_extract_all(text, F.lit(f"{LABELS['loose']}({DATE})"), F.lit(1))
-    ends = F.array_distinct(F.array_compact(F.transform(hints, parse_date)))
-    last = F.when(F.size(ends) == 1, F.element_at(ends, 1)).when(F.size(ends) == 0, end)
-    return F.struct(start.alias("start"), last.alias("end"))
+    has = lambda c, terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t))
+    about = F.filter(F.split(text, CLAUSE_ENDS), lambda c: has(c, DAY_RANGE_ABOUT) & ~has(c, DAY_RANGE_NOT))
+    matches = F.flatten(F.transform(about, lambda c: F.regexp_extract_all(c, F.lit(DAY_RANGE), F.lit(0))))
+
+    def read(whole: Column) -> Column:
+        left, day, time = (F.regexp_extract(whole, DAY_RANGE, k) for k in (1, 2, 3))
+        start = parse_date(left)
+        end = F.try_make_timestamp(years=F.year(start), months=F.month(start), days=day.try_cast("int"), hours=F.lit(0), mins=F.lit(0), secs=F.lit(0))
+        return F.when((time == "") & (end >= start), _span(start, F.regexp_replace(left, r"(?U)^\s+|\s+$", ""), end, day))
+
+    return F.try_element_at(F.filter(F.transform(matches, read), lambda s: s.isNotNull()), F.lit(1))
+
+
+def competition_dates(text: Column) -> Column:
+    """Struct (start, start_raw, end, end_raw) of the competition; a day range where no whole one is written."""
+    strict = _dated(text, COMPETITION_RANGE, COMPETITION_START, COMPETITION_END)
+    both = F.struct(strict.alias("span"), day_range(text).alias("days"))
+    return F.transform(F.array(both), lambda b: F.when(b["span"]["start"].isNotNull() & b["span"]["end"].isNotNull(), b["span"]).otherwise(F.coalesce(b["days"], b["span"])))[0]
+
+
+def only_day_range(start: Column, end: Column, start_raw: Column, end_raw: Column) -> Column:
+    """Whether dates are those of a day range: one month, an end written as a day alone."""
+    bare = r"^\s*\d{1,2}\s*日?\s*$"
+    same = (F.year(start) == F.year(end)) & (F.month(start) == F.month(end))
+    return F.coalesce(same & (end >= start) & ~start_raw.rlike(bare) & end_raw.rlike(bare), F.lit(False))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.markers import IGNORED, LONG_REGIONS, NOT_PUBLISHED, REGION_SUFFIXES, REGIONS
+
 #: Characters that end an evidence sentence, and its reach.
 SENTENCE_ENDS = "。！？!?；;\n"
 EVIDENCE_BEFORE, EVIDENCE_SPAN = 80, 160
@@ -61,15 +61,47 @@ def contains_any(c: Column, terms: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def marker_position(c: Column, markers: list[str]) -> Column:
+    """Where the first marker, in list order, that occurs in ``c`` begins; 0 if none does."""
+    low = F.lower(c)
+    return let(low, lambda t: F.coalesce(*(F.nullif(F.instr(t, F.lit(m.lower())), F.lit(0)) for m in markers), F.lit(0)))
+
+
+def evidence_at(c: Column, at: Column) -> Column:
+    """The sentence part around the character position ``at``."""
+    before = F.substring(c, F.greatest(at - EVIDENCE_BEFORE, F.lit(1)), F.least(F.lit(EVIDENCE_BEFORE), at - 1))
+    after = F.substring(c, at, F.lit(EVIDENCE_SPAN))
+    return normalize_ends(F.concat(F.regexp_extract(before, f"([^{SENTENCE_ENDS}]*)$", 1), F.regexp_extract(after, f"^([^{SENTENCE_ENDS}]*)", 1)))
+
+
+def normalize_ends(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def evidence_window(c: Column, markers: list[str]) -> Column:
     """The sentence part around the first marker, in list order, that occurs; else null."""
-    outside = f"[^{SENTENCE_ENDS}]"
-    found = []
-    for marker in markers:
-        rest = max(0, EVIDENCE_SPAN - len(marker))
-        pattern = f"({outside}{{0,{EVIDENCE_BEFORE}}}?(?iu:{re.escape(marker)}){outside}{{0,{rest}}})"
-        found.append(F.nullif(F.trim(F.regexp_extract(c, pattern, 1)), F.lit("")))
-    return F.coalesce(*found)
+    return let(marker_position(c, markers), lambda at: F.when(at > 0, evidence_at(c, at)))
+
+
+def marker_text(c: Column) -> Column:
+    """Text without the white space and punctuation that campus markers may be split by."""
+    return F.translate(c, IGNORED, "")
+
+
+def path_title(c: Column) -> Column:
+    """The last segment of a path."""
+    return F.coalesce(F.nullif(F.element_at(F.split(F.regexp_replace(c, "^/+|/+$", ""), "/"), -1), F.lit("")), F.lit(""))
+
+
+def first_non_empty(*values: Column) -> Column:
+    """The first value that isn't blank, else the placeholder of what isn't known."""
+    return F.coalesce(*(F.when(F.trim(v) != "", v) for v in values), F.lit(NOT_PUBLISHED))
 
 
 def year_from_text(c: Column) -> Column:
@@ -93,10 +125,36 @@ def bigrams(c: Column) -> Column:
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
-def keyword_list(c: Column) -> Column:
-    """Keywords split at line ends, commas and semicolons: trimmed, distinct, sorted."""
-    parts = F.transform(F.split(c, "[\\n\\r,，;；]"), F.trim)
-    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+def keyword_list(c: Column, most: int = 20, longest: int = 40) -> Column:
+    """Keywords split at line ends, commas and semicolons: trimmed, sorted, the first of each spelling.
+
+    Spellings that differ by case only are one.  Null where a keyword is longer
+    than ``longest`` characters or more than ``most`` are left: such a list is refused.
+    """
+    parts = F.filter(F.transform(F.split(c, "[\\n\\r,，;；]"), normalize_ends), lambda x: x != "")
+    kept = distinct_ignoring_case(parts)
+    return let(kept, lambda k: F.when(~(F.exists(k, lambda x: F.char_length(x) > longest) | (F.size(k) > most)), F.array_sort(k)))
+
+
+def distinct_ignoring_case(values: Column) -> Column:
+    """The first of values that are equal but for case, in order."""
+    keys = F.transform(values, F.lower)
+    return F.filter(values, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+
+
+def region_list(c: Column) -> Column:
+    """Regions of a keyword list by their short names, sorted; null where one isn't known."""
+    long = F.create_map(*(F.lit(x) for pair in LONG_REGIONS.items() for x in pair))
+
+    def short(x: Column) -> Column:
+        cut = x
+        for suffix in REGION_SUFFIXES:
+            cut = F.regexp_replace(cut, f"{suffix}$", "")
+        return F.coalesce(F.try_element_at(long, x), cut)
+
+    names = F.transform(keyword_list(c), short)
+    known = F.array(*map(F.lit, REGIONS))
+    return F.when(F.forall(names, lambda x: F.array_contains(known, x)), F.array_sort(names))
 
 
 def content_hash(c: Column) -> Column:

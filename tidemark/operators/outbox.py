@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import backoff_seconds
+from tidemark.operators.match import deliverable, event_enabled, fits_user
 
 OPEN = ("pending", "failed")
 KEY = ["user_id", "competition_id", "event_key"]
@@ -107,3 +108,20 @@ def render(items: DataFrame) -> DataFrame:
     line = F.struct("competition_id", F.format_string("%d: %s", "competition_id", "labels").alias("text"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), "\n")
     return lines.groupBy("delivery_group").agg(F.format_string("%d updates", F.count("*")).alias("subject"), body.alias("body"))
+
+
+def revalidate(queue: DataFrame, users: DataFrame, entities: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """``queue`` (user_id, id, event_type, ...) with ``valid``: whether an item still fits its user as things stand.
+
+    What doesn't is to be cancelled, not sent.  Each item meets its own user and
+    entity only, so the work is in proportion to the queue.
+    """
+    state = ("registration_phase", "competition_phase", "registration_end", "competition_end", "problem_released")
+    chosen = decisions.select("user_id", F.col("competition_id").alias("id"), "decision")
+    prefs = users.select("user_id", F.struct(*(c for c in users.columns if c != "user_id")).alias("_u"))
+    rows = entities.select("id", F.struct(*(c for c in entities.columns if c != "id")).alias("_e"))
+    met = queue.join(prefs, "user_id", "left").join(rows, "id", "left").join(chosen, ["user_id", "id"], "left")
+    decision = F.coalesce("decision", F.lit("undecided"))
+    enabled = event_enabled(F.col("event_type"), lambda c: F.col(f"_u.{c}"))
+    ok = fits_user(lambda c: F.col(f"_u.{c}"), lambda c: F.col(f"_e.{c}")) & enabled & deliverable(F.col("event_type"), decision, *(F.col(f"_e.{c}") for c in state), now)
+    return met.select(*queue.columns, F.coalesce(ok, F.lit(False)).alias("valid"))

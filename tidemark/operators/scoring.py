@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import contains_any
+from tidemark.functions import markers
+from tidemark.functions.text import contains_any, let, normalize_space
 
 
 @dataclass(frozen=True)
@@ -25,17 +26,31 @@ class Lexicon:
     segment: list[str] = field(default_factory=list)
 
 
+#: The lists of the field.
+FIELD = Lexicon(
+    focus=markers.FOCUS,
+    positive=markers.POSITIVE,
+    negative=markers.NEGATIVE,
+    closed_titles=[*markers.POST_EVENT_TITLES, *markers.LISTING_TITLES],
+    link_up=markers.LINK_UP,
+    link_down=markers.LINK_DOWN,
+    tags=markers.TAGS,
+    categories=markers.CATEGORIES,
+    segment=markers.SEGMENT,
+)
+
+
 def hits(text: Column, terms: list[str]) -> Column:
     """How many of the terms occur in already lower-case text."""
     return sum((F.contains(text, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
 
 
 def candidate_score(title: Column, snippet: Column, lexicon: Lexicon) -> Column:
+    """-100 for a closed title, or for any negative term beside little else."""
     text = F.lower(F.concat_ws(" ", title, snippet))
-    closed = F.when(contains_any(title, lexicon.closed_titles), -100).otherwise(0)
-    negative = hits(text, lexicon.negative)
-    score = closed + 100 * hits(text, lexicon.focus) + 15 * hits(text, lexicon.positive) - 20 * negative
-    return score - F.when((negative > 0) & (score < 30), 100).otherwise(0)
+    both = F.struct((100 * hits(text, lexicon.focus) + 15 * hits(text, lexicon.positive)).alias("good"), hits(text, lexicon.negative).alias("bad"))
+    scored = let(both, lambda s: F.when((s["bad"] > 0) & (s["good"] < 30), -100).otherwise(s["good"] - 20 * s["bad"]))
+    return F.when(contains_any(title, lexicon.closed_titles), -100).otherwise(scored)
 
 
 def link_priority(text: Column, lexicon: Lexicon) -> Column:
@@ -49,23 +64,45 @@ def labels(text: Column, groups: dict[str, list[str]], default: str | None = Non
     return found if default is None else F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
 
 
-def page_links(pages: DataFrame, lexicon: Lexicon, most: int, page_id: str = "page_id", html: str = "html") -> DataFrame:
+#: An anchor with its address and what stands inside it.
+ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a\s*>"""
+#: Anchors of a page that are looked at, in page order.
+MOST_ANCHORS = 500
+
+
+def page_links(pages: DataFrame, lexicon: Lexicon, most: int, page_id: str = "page_id", html: str = "html", most_anchors: int = MOST_ANCHORS) -> DataFrame:
     """Rows (page_id, pos, href, title, priority, place): anchors of a page in order of priority.
 
-    Anchors of under four characters, scripts and mail addresses don't count;
-    at most ``most`` of a page stay (the top of the list is the feature).
+    The title is the text inside an anchor, without markup.  Titles of under four
+    characters, empty addresses, scripts and mail addresses don't count.  Of the
+    others the first ``most_anchors`` in page order are put in order of priority,
+    and ``most`` stay (the top of the list is the feature).
     """
-    pattern = r'<a [^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
-    anchors = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(0))
+    anchors = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(0))
     each = pages.select(page_id, F.posexplode(anchors).alias("pos", "anchor"))
-    cut = each.select(page_id, "pos", F.regexp_extract("anchor", pattern, 1).alias("href"), F.trim(F.regexp_extract("anchor", pattern, 2)).alias("title"))
-    kept = cut.where((F.char_length("title") >= 4) & ~F.lower("href").rlike("^(javascript|mailto):")).withColumn("priority", link_priority(F.col("title"), lexicon))
+    bare = F.regexp_replace(F.regexp_extract("anchor", ANCHOR, 2), "<[^>]*>", "")
+    for name, character in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(character))
+    href = F.trim(F.regexp_replace(F.regexp_extract("anchor", ANCHOR, 1), r"""^["']|["']$""", ""))
+    cut = each.select(page_id, "pos", href.alias("href"), normalize_space(bare).alias("title"))
+    kept = cut.where((F.char_length("title") >= 4) & (F.col("href") != "") & ~F.col("href").rlike("^(javascript|mailto):"))
+    early = kept.withColumn("turn", F.row_number().over(Window.partitionBy(page_id).orderBy("pos"))).where(F.col("turn") <= most_anchors).drop("turn")
+    ranked = early.withColumn("priority", link_priority(F.col("title"), lexicon))
     order = Window.partitionBy(page_id).orderBy(F.desc("priority"), "pos")
-    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def top_segments(segments: DataFrame, lexicon: Lexicon, most: int, doc: str, position: str, text: str) -> DataFrame:
-    """The ``most`` best-scored segments of each document; the first gets ten points more."""
-    score = 20 * hits(F.lower(text), lexicon.segment) + F.when(F.col(position) == 0, 10).otherwise(0)
-    order = Window.partitionBy(doc).orderBy(F.desc("score"), position)
-    return segments.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+def top_segments(segments: DataFrame, lexicon: Lexicon, most: int, doc: str, position: str, text: str, title: Column | None = None) -> DataFrame:
+    """The ``most`` best-scored segments of each document, with their ``place`` in page order.
+
+    A marker counts 20, a word of the title of three characters or more 8, and
+    the first segment gets ten points more.
+    """
+    low = F.lower(text)
+    score = 20 * hits(low, lexicon.segment) + F.when(F.col(position) == 0, 10).otherwise(0)
+    if title is not None:
+        words = F.filter(F.split(F.lower(normalize_space(title)), " "), lambda w: F.char_length(w) >= 3)
+        score = score + 8 * F.coalesce(F.size(F.filter(words, lambda w: F.contains(low, w))), F.lit(0))
+    best = Window.partitionBy(doc).orderBy(F.desc("score"), position)
+    chosen = segments.withColumn("score", score).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most)
+    return chosen.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy(position))).drop("_rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, lifecycle, text, urls
 from tidemark.operators import changes, consensus, health, match, merge, outbox, records, research, resolve, retention, scoring, views
-from tidemark.plans import state_queries, stream_queries  # noqa: F401  (they add their queries)
+from tidemark.plans import field_queries, state_queries, stream_queries  # noqa: F401  (they add their queries)
 from tidemark.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from tidemark.sources import fixtures as fx
 
@@ -89,16 +89,6 @@ def safe_ip_range(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "customer").select("c_custkey", urls.public_ipv4(address).alias("public"))
 
 
-_SCORE = " + ".join(f"CAST(contains(t, '{x}') AS INTEGER)" for x in fx.LEXICON.negative)
-_POS = " + ".join(f"CAST(contains(t, '{x}') AS INTEGER)" for x in fx.LEXICON.positive)
-
-
-@query(f"SELECT doc_id, s - CASE WHEN neg > 0 AND s < 30 THEN 100 ELSE 0 END AS score FROM (SELECT doc_id, neg, CASE WHEN contains(lower(title), 'zzz') OR contains(title, '|') THEN -100 ELSE 0 END + 100 * CAST(contains(t, 'retion') AS INTEGER) + 15 * ({_POS}) - 20 * neg AS s FROM (SELECT *, {_SCORE} AS neg FROM (SELECT doc_id, left(text, 40) AS title, lower(left(text, 40) || ' ' || text) AS t FROM documents)))")
-def candidate_score(spark: SparkSession, d: str) -> DataFrame:
-    score = scoring.candidate_score(F.left("text", F.lit(40)), F.col("text"), fx.LEXICON)
-    return fx.table(spark, d, "documents").select("doc_id", score.alias("score"))
-
-
 @query("""SELECT doc_id, tag FROM documents, (VALUES ('data', 'tion'), ('design', 'ment'), ('design', 'ing'), ('law', 'keit'), ('math', 'ción'), ('math', 'ados')) v(tag, marker) WHERE contains(lower(text), marker) GROUP BY ALL""")
 def keyword_tags(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "documents").select("doc_id", F.explode(scoring.labels(F.col("text"), fx.LEXICON.tags)).alias("tag"))
@@ -110,15 +100,17 @@ def profile_labels(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "documents").select("doc_id", F.explode(scoring.labels(F.col("text"), fx.LEXICON.categories, "general")).alias("label"))
 
 
-@query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_extract(text, '([^。！？!?；;\n]{0,80}?tible[^。！？!?；;\n]{0,155})', 1)), ''), nullif(trim(regexp_extract(text, '([^。！？!?；;\n]{0,80}?keit[^。！？!?；;\n]{0,156})', 1)), '')) AS evidence FROM documents""")
-def evidence_window(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "documents").select("doc_id", _plain_window(F.col("text"), ["tible", "keit"]).alias("evidence"))
+def window_sql(text: str, markers: list[str]) -> str:
+    """The evidence of the first marker, in list order, that occurs in ``text``; else null."""
+    ends = "[^。！？!?；;\\n]"
+    quoted = [m.replace("'", "''") for m in markers]
+    parts = (f"nullif(trim(regexp_extract({text}, '({ends}{{0,80}}?(?i:{m}){ends}{{0,{160 - len(m)}}})', 1)), '')" for m in quoted)
+    return f"coalesce({', '.join(parts)})"
 
 
-def _plain_window(c, markers):
-    """Case-sensitive evidence windows, as the SQL has them."""
-    ends = text.SENTENCE_ENDS
-    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(c, f"([^{ends}]{{0,80}}?{m}[^{ends}]{{0,{160 - len(m)}}})", 1)), F.lit("")) for m in markers))
+@query(f"SELECT doc_id, {window_sql('text', ['tible', 'keit'])} AS evidence FROM documents")
+def evidence_window(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "documents").select("doc_id", text.evidence_window(F.col("text"), ["tible", "keit"]).alias("evidence"))
 
 
 @query("SELECT o_orderkey, CAST(epoch(date_trunc('day', CAST(o_orderdate AS TIMESTAMP))) AS BIGINT) + 3600 * (o_orderkey % 24) + 60 * (o_orderkey % 60) AS parsed FROM orders WHERE year(o_orderdate) >= 2000")
@@ -132,12 +124,12 @@ def date_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, CASE WHEN ok THEN CAST(epoch(a) AS BIGINT) END AS first_day, CASE WHEN ok THEN CAST(epoch(b) AS BIGINT) END AS last_day FROM (
 SELECT o_orderkey, a, make_timestamp(year(a), month(c), day(c), 0, 0, 0) AS b, make_timestamp(year(a), month(c), day(c), 0, 0, 0) >= a AS ok
-FROM (SELECT o_orderkey, date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 2557 DAY AS a, date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 2557 DAY + to_days(CAST(o_orderkey % 27 AS INTEGER)) AS c FROM orders) WHERE NOT (month(c) = 2 AND day(c) = 29))""")
+FROM (SELECT o_orderkey, date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 2557 DAY AS a, date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 2557 DAY + to_days(CAST(o_orderkey % 27 AS INTEGER)) AS c FROM orders))""")
 def date_range(spark: SparkSession, d: str) -> DataFrame:
     first = F.date_trunc("day", F.col("o_orderdate").cast("timestamp")) + F.expr("INTERVAL 2557 DAY")
     last = first + F.make_interval(days=F.pmod("o_orderkey", F.lit(27)).cast("int"))
     said = F.concat(F.date_format(first, "yyyy年M月d日"), F.lit("至"), F.date_format(last, "M月d日"))
-    rows = fx.table(spark, d, "orders").where(~((F.month(last) == 2) & (F.dayofmonth(last) == 29))).select("o_orderkey", dates.date_range(said).alias("r"))
+    rows = fx.table(spark, d, "orders").select("o_orderkey", dates.date_range(said).alias("r"))
     return rows.select("o_orderkey", F.unix_timestamp("r.start").alias("first_day"), F.unix_timestamp("r.end").alias("last_day"))
 
 
@@ -263,57 +255,12 @@ def next_delivery(spark: SparkSession, d: str) -> DataFrame:
     return fx.audience(spark, d).select("user_id", F.unix_timestamp(due).alias("due_at"))
 
 
-_U = "(SELECT c_custkey AS user_id, unnest(list_distinct(['cat' || (c_custkey % 1000), 'cat' || ((c_custkey * 7) % 1000)])) AS category, c_custkey % 2 = 0 AS local, 'n' || c_nationkey AS region, CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS least_trust, c_acctbal > 0 AS allow_risk FROM customer)"
-_M = f"SELECT DISTINCT u.user_id, e.id FROM {_U} u JOIN {_E} e USING (category) WHERE CASE e.trust WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END >= u.least_trust AND (u.allow_risk OR e.id % 6 <> 0) AND (e.id % 4 <> 0 OR NOT u.local OR u.region = 'n' || (e.id % 25))"
-
-
-def _offers(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("id")
-    return fx.entities(spark, d).withColumns({"categories": F.array("category"), "regions": F.array(F.concat(F.lit("n"), key % 25)), "regional": key % 4 == 0, "risk": key % 6 == 0})
-
-
-@query(_M)
-def user_match(spark: SparkSession, d: str) -> DataFrame:
-    return match.match_users(fx.audience(spark, d), _offers(spark, d))
-
-
-@query(f"""SELECT m.user_id, m.id, v.event_type FROM ({_M}) m JOIN {_E} e USING (id) JOIN (SELECT id, CASE status WHEN 'preview' THEN 'competition_discovered' WHEN 'registration_open' THEN 'registration_opened' WHEN 'upcoming' THEN 'competition_upcoming' WHEN 'ongoing' THEN 'competition_started' END AS event_type FROM {_E}) v USING (id)
-WHERE (event_type IN ('competition_discovered', 'registration_opened') AND (registration_end IS NULL OR registration_end >= {_NOW}) AND (m.user_id + m.id) % 5 <> 0) OR (event_type IN ('competition_upcoming', 'competition_started') AND (m.user_id + m.id) % 5 = 1 AND (competition_end IS NULL OR competition_end >= {_NOW}))""")
-def matching_events(spark: SparkSession, d: str) -> DataFrame:
-    pairs = match.match_users(fx.audience(spark, d), _offers(spark, d)).join(fx.entities(spark, d), "id").withColumn("event_type", changes.phase_event(F.col("status")))
-    turn = F.pmod(F.col("user_id") + F.col("id"), F.lit(5))
-    decision = F.when(turn == 0, "declined").when(turn == 1, "participating").otherwise("undecided")
-    ok = match.deliverable(F.col("event_type"), decision, F.col("status"), F.col("registration_end"), F.col("competition_end"), fx.now())
-    return pairs.where(ok).select("user_id", "id", "event_type")
-
-
 @query(r"""SELECT DISTINCT doc_id, keyword FROM (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{Nd}]', '', 'g') AS t FROM documents), (VALUES ('tible', 'tible'), ('retion', 'retion'), ('retion', 'keitver'), ('ouanle', 'ouanle')) v(keyword, form) WHERE contains(t, form)""")
 def alias_keyword_match(spark: SparkSession, d: str) -> DataFrame:
     keywords = spark.createDataFrame([("tible",), ("retion",), ("ouanle",)], "keyword string")
     return match.keyword_match(fx.table(spark, d, "documents"), keywords, [["retion", "keitver"]], "doc_id", "text")
 
 
-_EVENT = "CASE {c} WHEN 'preview' THEN 'competition_discovered' WHEN 'registration_open' THEN 'registration_opened' WHEN 'upcoming' THEN 'competition_upcoming' WHEN 'ongoing' THEN 'competition_started' END"
-_STATE = f"SELECT * FROM (SELECT id, {_EVENT.format(c='status')} AS event_type FROM {_E} UNION ALL SELECT id, CASE WHEN problem_released THEN 'problem_released' END FROM {_E}) WHERE event_type IS NOT NULL"
-
-
-@query(f"""SELECT * FROM (SELECT n.id, CASE WHEN o.id IS NULL OR o.status <> n.status THEN {_EVENT.format(c='n.status')} END AS event_type FROM {_E2} n LEFT JOIN (SELECT * FROM {_E} WHERE id % 4 <> 0) o USING (id)
-UNION ALL SELECT n.id, CASE WHEN n.problem_released AND NOT coalesce(o.problem_released, false) THEN 'problem_released' END FROM {_E2} n LEFT JOIN (SELECT * FROM {_E} WHERE id % 4 <> 0) o USING (id)) WHERE event_type IS NOT NULL""")
-def change_events(spark: SparkSession, d: str) -> DataFrame:
-    return changes.change_events(fx.entities(spark, d).where("id % 4 <> 0"), fx.entities(spark, d, 1))
-
-
-@query(_STATE)
-def backfill_events(spark: SparkSession, d: str) -> DataFrame:
-    return changes.state_events(fx.entities(spark, d))
-
-
-@query(f"SELECT DISTINCT id, event_type FROM ({_STATE}) WHERE NOT (id % 3 = 0 AND event_type <> 'problem_released')")
-def fresh_events(spark: SparkSession, d: str) -> DataFrame:
-    events = changes.state_events(fx.entities(spark, d))
-    return changes.unrecorded(events, events.where("id % 3 = 0 and event_type <> 'problem_released'"))
-
-
 @query(f"""WITH disp AS (SELECT user_id, competition_id, event_key + 1 AS event_key, due_at + INTERVAL 1 DAY AS due_at FROM {_N} WHERE event_key % 2 = 1)
 SELECT user_id, competition_id, event_key, CASE WHEN d.user_id IS NOT NULL AND (n.status IS NULL OR n.status = 'cancelled') THEN 'pending' ELSE n.status END AS status, CASE WHEN d.user_id IS NOT NULL AND (n.status IS NULL OR n.status = 'cancelled') THEN 0 ELSE n.attempt_count END AS attempt_count,
 CAST(epoch(CASE WHEN d.user_id IS NOT NULL AND (n.status IS NULL OR n.status = 'cancelled') THEN d.due_at ELSE n.due_at END) AS BIGINT) AS due_at FROM {_N} n FULL JOIN disp d USING (user_id, competition_id, event_key)""")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_hash
-from tidemark.operators.changes import PHASE_EVENTS
 from tidemark.plans.base import query
+from tidemark.plans.field_queries import state_sql
+from tidemark.sources import announcements as an
 from tidemark.sources import fixtures as fx
 from tidemark.streaming import jobs
 from tidemark.streaming.snapshots import shared_folder
@@ -29,12 +30,11 @@ def stream_change_detection(spark: SparkSession, d: str) -> DataFrame:
     return seen.all_batches(spark).select("id", "kind")
 
 
-@query(f"SELECT DISTINCT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN '{PHASE_EVENTS['registration_open']}' WHEN 'P' THEN '{PHASE_EVENTS['preview']}' END AS event_type FROM orders WHERE o_orderstatus IN ('O', 'P')")
+@query(f"SELECT DISTINCT id, event_type FROM ({state_sql(an.competitions_sql())})")
 def stream_event_log(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark)
-    step, log = jobs.event_step(folder)
-    status = F.when(F.col("o_orderstatus") == "O", "registration_open").when(F.col("o_orderstatus") == "P", "preview").otherwise("finished")
-    jobs.run(_stream(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.lit(False).alias("problem_released")), step, folder)
+    step, log = jobs.event_step(folder, an.now())
+    jobs.run(an.entities_of(_stream(spark, d, "orders").select("o_orderkey")), step, folder)
     return log.all_batches(spark)
 
 

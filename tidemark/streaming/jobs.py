@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import changes
@@ -51,8 +51,8 @@ def change_step(folder: str) -> tuple[Callable[[DataFrame, int], None], Snapshot
     return step, baseline, seen
 
 
-def event_step(folder: str) -> tuple[Callable[[DataFrame, int], None], Snapshots]:
-    """Events that states (id, status, problem_released) imply, each written once for ever.
+def event_step(folder: str, now: Column) -> tuple[Callable[[DataFrame, int], None], Snapshots]:
+    """Events that the states of entities imply at ``now``, each written once for ever.
 
     The log only grows: its keys never expire, so it is a table and not stream state.
     """
@@ -60,7 +60,7 @@ def event_step(folder: str) -> tuple[Callable[[DataFrame, int], None], Snapshots
 
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        events = changes.state_events(rows).distinct()
+        events = changes.state_events(rows, now).distinct()
         if batch:
             events = changes.unrecorded(events, log.all_batches(spark, batch))
         log.write(events, batch)
