@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 from tests.oracle import connect, differences
 from tidemark.llm import boosted_trees, decontaminate, line_spread, order_minhash, page_text, quality_rules, queries, source_mix, suffix_dedup, token_counts, toxic_spans, weak_quality
 
+def removed_by_brute_force(texts: list[bytes]) -> list[tuple[int, int, str]]:
+    """Removed bytes, spans and digest of texts in document order, window by window."""
+    seen, out = set(), []
+    for t in texts:
+        gone = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - suffix_dedup.LENGTH + 1):
+            w = t[i : i + suffix_dedup.LENGTH]
+            if w in seen:
+                gone[i : i + suffix_dedup.LENGTH] = True
+            seen.add(w)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+        kept = bytes(np.frombuffer(t, dtype=np.uint8)[~gone])
+        out.append((int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 DOCS = "doc_id long, text string, lang string, source string, group_id string"
 
 
@@ -37,8 +53,9 @@ def test_suffix_dedup(spark, texts, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
         monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4_000)
         monkeypatch.setattr(suffix_dedup, "ORDERS", orders)
+        monkeypatch.setattr(suffix_dedup, "SECTION_BYTES", 700)
         found = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
-        want = suffix_dedup.removed_by_brute_force([(t or "").encode() for t in texts])
+        want = removed_by_brute_force([(t or "").encode() for t in texts])
         got = [(found[i].n_removed, found[i].n_spans, hashlib.sha256(bytes(found[i].kept)).hexdigest()) for i in range(len(texts))]
         assert got == want
 
@@ -65,14 +82,14 @@ def test_suffix_dedup_of_periods(spark, monkeypatch, hot, orders):
         monkeypatch.setattr(suffix_dedup, name, value)
     found = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
     got = [(found[i].n_removed, found[i].n_spans, hashlib.sha256(bytes(found[i].kept)).hexdigest()) for i in range(len(texts))]
-    assert got == suffix_dedup.removed_by_brute_force([t.encode() for t in texts])
+    assert got == removed_by_brute_force([t.encode() for t in texts])
     assert found[0].n_removed == 532 and min(found[1].n_removed, found[2].n_removed) > 0
 
 
 def test_suffix_dedup_rows_of_sf01(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     texts = sorted((r.doc_id, (r.text or "").encode()) for r in docs.collect())
-    want = {i: w for (i, _), w in zip(texts, suffix_dedup.removed_by_brute_force([t for _, t in texts]), strict=True)}
+    want = {i: w for (i, _), w in zip(texts, removed_by_brute_force([t for _, t in texts]), strict=True)}
     got = {r.doc_id: (r.n_removed, r.n_spans, r.sha) for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()}
     assert got == want
 

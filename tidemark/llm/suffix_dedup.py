@@ -37,12 +37,12 @@ first; an empty table gives an empty result; extra columns are kept.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +58,9 @@ HOT_BYTES = 1 << 20
 ORDERS = 3
 #: Bits of a filter; its bitmap takes an eighth of that in bytes.
 FILTER_BITS = 1 << 26
-#: Bytes of text that are hashed at once.
+#: Bytes of text that are hashed at once, and of a section of a longer text.
 CHUNK_BYTES = 1 << 15
+SECTION_BYTES = 1 << 19
 
 _U = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -155,10 +156,10 @@ def backward_intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     The transform needs suffixes in order of ``length`` bytes only, since no
     interval is extended further.
     """
-    order, inverse = bounded_suffix_order(data, length)
+    order = bounded_suffix_order(data, length)
     n = len(data)
     bwt = data[order - 1]  # the byte before the first is the last
-    by_byte = np.argsort(bwt, kind="stable")
+    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
     step = np.empty(n, dtype=np.int32)  # where an entry goes when its byte is put in front
     step[by_byte] = np.arange(n, dtype=np.int32)
     ranked = bwt[by_byte]
@@ -166,19 +167,20 @@ def backward_intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     before, after = np.full(n, -1, dtype=np.int32), np.full(n, n, dtype=np.int32)
     before[by_byte[1:][same]] = by_byte[:-1][same]
     after[by_byte[:-1][same]] = by_byte[1:][same]
+    del by_byte, ranked, same, bwt
     shared = np.ones(n + 1, dtype=bool)  # not told apart yet from the entry before
     shared[0] = shared[n] = False
-    low, high = np.zeros(1, dtype=np.int64), np.full(1, n, dtype=np.int64)
+    low, high = np.zeros(1, dtype=np.int32), np.full(1, n, dtype=np.int32)
     for _ in range(length if n else 0):
         single = high - low == 1
         alone = low[single]
         wide_low, wide_high = low[~single], high[~single]
         size = wide_high - wide_low
-        at = np.arange(size.sum()) + np.repeat(wide_low - (np.cumsum(size) - size), size)
+        at = np.arange(size.sum(), dtype=np.int32) + np.repeat((wide_low - (np.cumsum(size) - size)).astype(np.int32), size)
         first = at[before[at] < np.repeat(wide_low, size)]
         last = at[after[at] >= np.repeat(wide_high, size)]
-        new_low = np.concatenate([np.sort(step[first]), step[alone]]).astype(np.int64)
-        new_high = np.concatenate([np.sort(step[last]), step[alone]]).astype(np.int64) + 1
+        new_low = np.concatenate([np.sort(step[first]), step[alone]])
+        new_high = np.concatenate([np.sort(step[last]), step[alone]]) + np.int32(1)
         fresh = shared[new_high]
         low, high = new_low[fresh], new_high[fresh]
         shared[high] = False
@@ -187,35 +189,36 @@ def backward_intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.nd
     return order, shared[:n]
 
 
-def bounded_suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def bounded_suffix_order(data: np.ndarray, length: int) -> np.ndarray:
     """Cyclic suffixes in order of at least ``length`` bytes, by prefix doubling of what is still tied."""
     n = len(data)
     long = np.concatenate([data, data[:8]]) if n >= 8 else np.resize(data, n + 8)
     key = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         key = (key << _U(8)) | long[k : k + n]
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    head = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if n else np.zeros(0, dtype=bool)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    head = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, dtype=bool)
+    del key
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     size = 8
     while size < length:
         open_ = ~head
         open_[:-1] |= ~head[1:]
-        at = np.flatnonzero(open_)
+        at = np.flatnonzero(open_).astype(np.int32)
         if not len(at):
             break
         members = order[at]
-        key = (rank[members] << 32) | rank[(members + size) % n]
+        key = (rank[members].astype(np.int64) << 32) | rank[(members + size) % n]
         by = np.argsort(key, kind="stable")
         order[at] = members[by]
-        ranked = key[by]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        key = key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         head[at] = new
-        rank[order[at]] = np.maximum.accumulate(np.where(new, at, 0))
+        rank[order[at]] = np.maximum.accumulate(np.where(new, at, np.int32(0)))
         size *= 2
-    return order, rank
+    return order
 
 
 def repeated_windows(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,16 +246,25 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Neighbouring texts of about ``CHUNK_BYTES`` together, with the number of the first."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_BYTES:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Rows, offsets and bytes of neighbouring texts of about ``CHUNK_BYTES`` together.
+
+    A text of over ``SECTION_BYTES`` comes in sections, each with the windows that
+    begin in it, so what is held at once doesn't grow with a text.  Nulls are empty.
+    """
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.binary())
+    sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1
+    for rows in np.split(np.arange(len(sizes)), cuts):
+        texts = [t or b"" for t in column.slice(rows[0], len(rows)).to_pylist()] if len(rows) else []
+        for row, text in zip(rows.tolist(), texts, strict=True):
+            if len(text) > SECTION_BYTES:
+                for base in range(0, len(text), SECTION_BYTES):
+                    yield np.array([row]), np.array([base]), [text[base : base + SECTION_BYTES + LENGTH - 1]]
+        short = [i for i, t in enumerate(texts) if LENGTH <= len(t) <= SECTION_BYTES]
+        if short:
+            yield rows[short], np.zeros(len(short), dtype=np.int64), [texts[i] for i in short]
 
 
 def context_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
@@ -265,15 +277,14 @@ def context_rows(docs: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
     schema = "anchor long" if wanted is None else f"id {fields['id']}, version long, anchor long, digest long, lo int, hi int, folded boolean"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("body").cast(pa.binary()).to_pylist()
-            for start, chunk in _chunks(texts):
+            for own, base, chunk in _chunks(batch.column("body")):
                 doc, anchor, digest, low, high, folded = contexts(chunk)
                 if wanted is None:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate([anchor, anchor[folded]]))], ["anchor"])
                     continue
                 used = np.flatnonzero(in_bitmap(wanted.value, anchor))
-                at = pa.array(doc[used] + start)
-                columns = [batch.column("id").take(at), batch.column("version").take(at), _signed(anchor[used]), _signed(digest[used]), pa.array(low[used].astype(np.int32)), pa.array(high[used].astype(np.int32)), pa.array(folded[used])]
+                at, shift = pa.array(own[doc[used]]), base[doc[used]]
+                columns = [batch.column("id").take(at), batch.column("version").take(at), _signed(anchor[used]), _signed(digest[used]), pa.array((low[used] + shift).astype(np.int32)), pa.array((high[used] + shift).astype(np.int32)), pa.array(folded[used])]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi", "folded"])
 
     return docs.mapInArrow(rows, schema)
@@ -351,13 +362,13 @@ def split_rows(pieces: DataFrame, order: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, above = (batch.column(c).to_numpy() for c in ("lo", "anchor"))
-            for start, chunk in _chunks(batch.column("piece").to_pylist()):
+            first, above = (batch.column(c).to_numpy() for c in ("lo", "anchor"))
+            for own, base, chunk in _chunks(batch.column("piece")):
                 piece, anchor, digest, low, high, folded = contexts(chunk, order)
-                at = piece + start
+                at = own[piece]
                 anchor = _mixed(anchor ^ (above[at].view(np.uint64) * _U(_MULTIPLIER)))
-                taken = pa.array(at)
-                columns = [batch.column("id").take(taken), batch.column("version").take(taken), _signed(anchor), _signed(digest), pa.array((low + base[at]).astype(np.int32)), pa.array((high + base[at]).astype(np.int32)), pa.array(folded)]
+                taken, shift = pa.array(at), first[at] + base[piece]
+                columns = [batch.column("id").take(taken), batch.column("version").take(taken), _signed(anchor), _signed(digest), pa.array((low + shift).astype(np.int32)), pa.array((high + shift).astype(np.int32)), pa.array(folded)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "version", "anchor", "digest", "lo", "hi", "folded"])
 
     return pieces.mapInArrow(rows, f"id {kind}, version long, anchor long, digest long, lo int, hi int, folded boolean")
@@ -465,19 +476,3 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.col("spans").alias("removed_spans"),
         "kept",
     )
-
-
-def removed_by_brute_force(texts: list[bytes]) -> list[tuple[int, int, str]]:
-    """Removed bytes, spans and digest of texts in document order, window by window (for tests)."""
-    seen, out = set(), []
-    for t in texts:
-        gone = np.zeros(len(t), dtype=bool)
-        for i in range(len(t) - LENGTH + 1):
-            w = t[i : i + LENGTH]
-            if w in seen:
-                gone[i : i + LENGTH] = True
-            seen.add(w)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-        kept = bytes(np.frombuffer(t, dtype=np.uint8)[~gone])
-        out.append((int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest()))
-    return out
