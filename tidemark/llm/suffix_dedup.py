@@ -40,7 +40,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -315,25 +314,22 @@ def documents_of(rows: DataFrame) -> Column:
     """
     shared = rows.sparkSession.sparkContext.broadcast(slot_bitmap(rows, F.xxhash64("id", "version")))
 
-    @F.pandas_udf("boolean")
-    def may_have(keys: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(shared.value, keys.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def may_have(keys: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, keys.to_numpy(zero_copy_only=False)))
 
     return may_have(F.xxhash64("id", "version"))
 
 
-def _cut(texts: pd.Series, wanted: pd.Series) -> Iterator[list[tuple]]:
-    for text, items in zip(texts, wanted, strict=True):
-        yield [(x["anchor"], x["lo"], bytes(text[x["lo"] : x["hi"] + LENGTH])) for x in items]
-
-
 def with_pieces(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """The bytes of contexts: rows (id, version, anchor, lo, piece)."""
     lists = firsts.groupBy("id", "version").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("wanted"))
 
-    @F.pandas_udf("array<struct<anchor: long, lo: int, piece: binary>>")
-    def cut(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series(list(_cut(texts, wanted)), dtype=object)
+    @F.arrow_udf("array<struct<anchor: long, lo: int, piece: binary>>")
+    def cut(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("anchor", pa.int64()), ("lo", pa.int32()), ("piece", pa.binary())]))
+        rows = ((text.as_py(), items.as_py()) for text, items in zip(texts, wanted, strict=True))
+        return pa.array(([{"anchor": x["anchor"], "lo": x["lo"], "piece": text[x["lo"] : x["hi"] + LENGTH]} for x in items] for text, items in rows), type=kind)
 
     keys = lists.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "wanted")
     met = docs.where(documents_of(firsts)).join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
@@ -344,16 +340,15 @@ def block_repeats(pieces: DataFrame, blocks: int) -> DataFrame:
     """Rows (id, version, lo, hi): windows of first contexts that start earlier in another one or the same."""
     kind = pieces.schema["id"].dataType.simpleString()
 
-    def repeats(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "version", "lo"], na_position="first").reset_index(drop=True)
-        piece, low, high = repeated_windows(rows["piece"].tolist())
-        found = rows.loc[piece, ["id", "version", "lo"]].reset_index(drop=True)
-        found["hi"] = (found["lo"] + high).astype("int32")
-        found["lo"] = (found["lo"] + low).astype("int32")
-        return found
+    def repeats(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("id", "version", "lo")], null_placement="at_start"))
+        piece, low, high = repeated_windows(rows.column("piece").to_pylist())
+        at = pa.array(piece)
+        lo = rows.column("lo").to_numpy()[piece]
+        return pa.table({"id": rows.column("id").take(at), "version": rows.column("version").take(at), "lo": (lo + low).astype(np.int32), "hi": (lo + high).astype(np.int32)})
 
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(repeats, f"id {kind}, version long, lo int, hi int")
+    return dealt.groupBy("block").applyInArrow(repeats, f"id {kind}, version long, lo int, hi int")
 
 
 def split_rows(pieces: DataFrame, order: int) -> DataFrame:
@@ -404,7 +399,7 @@ def settle(docs: DataFrame, rows: DataFrame, order: int = 0) -> DataFrame:
     mild, hot = F.col("bytes") <= HOT_BYTES, F.col("bytes") > HOT_BYTES
     total, most = several.agg(F.coalesce(F.sum(F.when(mild, F.col("bytes"))), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     met = written(groups.select(F.col("anchor").alias("a"), "first").join(several, F.col("a") == F.col("anchor")).select("first.*", "anchor", "bytes"))
-    found = whole.unionByName(block_repeats(with_pieces(docs, met.where(mild)), int(total // BLOCK_BYTES) + 1))
+    found = whole.unionByName(written(block_repeats(with_pieces(docs, met.where(mild)), int(total // BLOCK_BYTES) + 1)))
     if most <= HOT_BYTES:
         return found
     pieces = with_pieces(docs, met.where(hot))
@@ -424,26 +419,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     return settle(docs, written(context_rows(docs, shared)))
 
 
-def merged_spans(ranges: list) -> np.ndarray:
+def merged_spans(ranges: list[dict]) -> list[list[int]]:
     """Maximal runs of bytes (first, last + 1) covered by the windows of start ranges."""
-    if ranges is None or not len(ranges):
-        return np.zeros((0, 2), dtype=np.int64)
+    if not ranges:
+        return []
     both = np.array([(r["lo"], r["hi"] + LENGTH) for r in ranges], dtype=np.int64)
     both = both[np.argsort(both[:, 0], kind="stable")]
     reach = np.maximum.accumulate(both[:, 1])
     new = np.concatenate([[True], both[1:, 0] > reach[:-1]])
     last = np.concatenate([np.flatnonzero(new)[1:], [len(both)]]) - 1
-    return np.column_stack([both[new, 0], reach[last]])
+    return np.column_stack([both[new, 0], reach[last]]).tolist()
 
 
-def _removal(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+def _removal(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     spans, kept = [], []
     for text, own in zip(texts, ranges, strict=True):
-        found = merged_spans(own)
-        spans.append(found.tolist())
-        edges = [0, *found.ravel().tolist(), len(text or b"")]
-        kept.append(b"".join(bytes(text[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True)) if text else b"")
-    return pd.DataFrame({"removed_spans": spans, "kept": kept})
+        body = text.as_py() or b""
+        found = merged_spans(own.as_py())
+        spans.append(found)
+        edges = [0, *(e for span in found for e in span), len(body)]
+        kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+    return pa.StructArray.from_arrays([pa.array(spans, type=pa.list_(pa.list_(pa.int64()))), pa.array(kept, type=pa.binary())], ["removed_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -461,7 +457,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sent = ranges.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "ranges")
     met = keyed.where("_own").join(sent, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").drop("_id", "_version")
     body = whole_text(f"_tm{rest.columns.index(text)}").cast("binary")
-    removal = F.pandas_udf(_removal, "removed_spans array<array<long>>, kept binary")
+    removal = F.arrow_udf(_removal, "removed_spans array<array<long>>, kept binary")
     met = met.withColumn("found", removal(F.when(F.col("ranges").isNotNull(), body), "ranges"))
     met = met.withColumns({"spans": F.col("found.removed_spans"), "kept": F.when(F.col("ranges").isNull(), body).otherwise(F.col("found.kept"))})
     untouched = keyed.where("not _own").withColumns({"spans": F.array().cast("array<array<long>>"), "kept": body})
