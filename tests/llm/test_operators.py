@@ -250,7 +250,7 @@ CLASHING = "key row id version text2 n_words n_hit items hit_spans hits found s
 def nasty(spark):
     """Nulls everywhere, empty and very long texts, ties, repeated rows, and columns named like results and helpers."""
     rng = random.Random(4)
-    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(rng.randrange(999)) for _ in range(600_000))
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(rng.randrange(999)) for _ in range(150_000))
     plain = ["the quick brown fox number %d jumps over a lazy dog and runs home again at night when all is calm %d" % (i, i) for i in range(6)]
     texts = [None, "", " ", long, "x" * 300_000, plain[0], plain[0], *plain, "a\nb\n" * 4]
     rows = [(None if i == 4 else 7 if i in (5, 6) else i, t, None if i % 3 else "en", None if i % 4 else "s1") for i, t in enumerate([*texts, texts[-2]])]
@@ -292,8 +292,8 @@ def test_hard_rows(spark, nasty, name):
     assert {r[c] for r in rows for c in own} == {"mine"}
     if "text" not in results and name not in ("op8", "op2 spans"):
         assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    assert operator(docs.limit(0), labels, bench).count() == 0
-    assert operator(docs.limit(0), labels.limit(0), bench.limit(0)).columns == out.columns
+    none = operator(docs.limit(0), labels.limit(0), bench.limit(0))
+    assert none.columns == out.columns and none.count() == 0
 
 
 def test_decontamination_in_blocks(spark, nasty):

@@ -33,22 +33,23 @@ MONOTONE = {"symbol_rate": -1, "dup_line_rate": -1, "repeat_rate": -1}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, wanted=None) -> DataFrame:
-    """``text`` and ``label`` of at most ``rows`` labelled documents, lowest id hash first.
+    """``text`` and ``label`` of at most ``rows`` labelled ids, lowest id hash first.
 
-    The chosen ids are bounded by ``rows``, so they are broadcast; where ids repeat,
-    at most twice as many rows stay, in order of id and text.
+    The chosen ids are bounded by ``rows``, so they are broadcast; repeated ids
+    have all their rows.
     """
     picked = labels.select(F.col("doc_id").alias("_tm_id"), F.col(label).cast("int").alias("label")).where("_tm_id is not null and label in (0, 1)")
     if wanted is not None:
         picked = picked.where(wanted(F.col("_tm_id")))
     picked = picked.groupBy("_tm_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_tm_id"), "_tm_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_tm_id")).select("doc_id", "text", "label").orderBy("doc_id", "text").limit(2 * rows)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_tm_id")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> boosted_trees.TreeArrays | None:
     ship_package(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", rows)
-    table = sample.select("doc_id", "label", document_stats_udf()("text").alias("s")).select("doc_id", "label", "s.*").toPandas()
+    table = sample.select("doc_id", "label", document_stats_udf()("text").alias("s")).select("doc_id", "label", "s.*")
+    table = table.orderBy("doc_id", *COLUMNS).limit(2 * rows).toPandas()  # short rows, in an order that repeated ids don't upset
     signs = np.array([MONOTONE.get(f, 0) for f in FEATURES])
     return boosted_trees.fit(ratio_features(table), table["label"].to_numpy(dtype=np.float64), signs)
 

@@ -221,7 +221,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> ChainModel:
 
 def train(docs: DataFrame, labels: DataFrame, wanted=None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ChainModel:
     """Fit on a bounded sample of labelled documents; ``wanted`` limits it by id."""
-    parts = [labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", n, wanted) for y, n in ((1, toxic_rows), (0, clean_rows))]
+    parts = [labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", n, wanted).orderBy("doc_id", "text").limit(2 * n) for y, n in ((1, toxic_rows), (0, clean_rows))]
     table = parts[0].unionByName(parts[1]).where("text is not null").toPandas().sort_values(["doc_id", "text", "label"])
     return fit(table["text"].tolist(), table["label"].to_numpy(dtype=np.int64))
 
