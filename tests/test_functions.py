@@ -39,6 +39,20 @@ def test_urls(spark):
     assert one(spark, " https://a.b/c?z=1&utm_x=2&a=3#f", urls.canonical_url) == "https://a.b/c?a=3&z=1"
     for url, ok in (("http://10.1.2.3/", False), ("http://8.8.8.8/", True), ("ftp://a.b", False), ("http://localhost/", False), ("https://a.b/", True)):
         assert one(spark, url, urls.public_url) is ok
+    cases = {
+        "https://a.b/c?UTM_Source=x&a=2&a=1&Spm=3#f": "https://a.b/c?a=2&a=1",
+        "https://a.b/c?z=%E4%BD%A0&q=a+b&q2=a%20b": "https://a.b/c?q=a+b&q2=a+b&z=%E4%BD%A0",
+        "https://a.b/c?from=x": "https://a.b/c",
+        "https://mp.weixin.qq.com/mp/wappoc_appmsgcaptcha?poc=1&target_url=https%3A%2F%2Fmp.weixin.qq.com%2Fs%2Fabc%3Futm_x%3D1%26k%3D2": "https://mp.weixin.qq.com/s/abc?k=2",
+    }
+    for url, want in cases.items():
+        assert one(spark, url, urls.canonical_url) == want
+    six = {"::1": False, "::": False, "fe80::1": False, "fd00::2": False, "ff02::1": False, "2001:db8::1": True, "::ffff:127.0.0.1": False, "::ffff:8.8.8.8": True, "2001:4860:4860::8888": True, "1:2:3": False, "x": False}
+    for address, ok in six.items():
+        assert one(spark, address, urls.public_ipv6) is ok, address
+    assert one(spark, "http://[::1]/", urls.public_url) is False and one(spark, "http://[2001:4860:4860::8888]/", urls.public_url) is True
+    for address, ok in {"192.0.2.1": True, "198.51.100.2": True, "192.0.0.9": False, "240.1.1.1": False, "100.64.0.1": False}.items():
+        assert one(spark, address, urls.public_ipv4) is ok
     assert one(spark, "http://sub.Example.org/x", lambda c: urls.allowed_url(c, [".example.org"])) is True
 
 

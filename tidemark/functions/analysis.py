@@ -105,7 +105,7 @@ def organizer_types(text: Column, url: Column) -> Column:
 
 
 def regions(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(r)), F.lit(r)) for r in m.REGIONS)))
+    return let(text, lambda t: F.filter(F.array(*map(F.lit, m.REGIONS)), lambda r: F.contains(t, r)))
 
 
 def scope(text: Column, found_regions: Column) -> Column:

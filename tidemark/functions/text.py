@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,19 +55,23 @@ def clean_title(c: Column) -> Column:
     return out
 
 
-def contains_any(c: Column, terms: list[str]) -> Column:
-    low = F.lower(c)
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.contains(low, F.lit(term.lower()))
-    return F.coalesce(found, F.lit(False))
-
-
 def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), then)[0]
 
 
+def literals(terms: list[str]) -> Column:
+    """The terms in lower case as one array."""
+    return F.array(*(F.lit(t.lower()) for t in terms)) if terms else F.array().cast("array<string>")
+
+
+def contains_any(c: Column, terms: list[str]) -> Column:
+    """Whether any term occurs in ``c``, whatever its case; false for null."""
+    if not terms:
+        return F.lit(False)
+    return F.coalesce(F.lower(c).rlike("|".join(re.escape(t.lower()) for t in terms)), F.lit(False))
+
+
 def marker_position(c: Column, markers: list[str]) -> Column:
     """Where the first marker, in list order, that occurs in ``c`` begins; 0 if none does."""
     low = F.lower(c)

@@ -2,37 +2,73 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 #: Query parameters that only track.
-TRACKING = r"^(utm_[^=]*|spm|from|source)(=|$)"
-
-#: IPv4 ranges that aren't public, as first and last address.
-RESERVED_IPV4 = [
-    ("0.0.0.0", "0.255.255.255"),
-    ("10.0.0.0", "10.255.255.255"),
-    ("100.64.0.0", "100.127.255.255"),
-    ("127.0.0.0", "127.255.255.255"),
-    ("169.254.0.0", "169.254.255.255"),
-    ("172.16.0.0", "172.31.255.255"),
-    ("192.0.0.0", "192.0.0.255"),
-    ("192.0.2.0", "192.0.2.255"),
-    ("192.168.0.0", "192.168.255.255"),
-    ("198.18.0.0", "198.19.255.255"),
-    ("198.51.100.0", "198.51.100.255"),
-    ("203.0.113.0", "203.0.113.255"),
-    ("224.0.0.0", "255.255.255.255"),
+TRACKING = r"^(?i)(utm_[^=]*|spm|from|source)(=|$)"
+
+#: Networks that aren't public.
+UNSAFE_IPV4 = [
+    "0.0.0.0/8",
+    "10.0.0.0/8",
+    "100.64.0.0/10",
+    "127.0.0.0/8",
+    "169.254.0.0/16",
+    "172.16.0.0/12",
+    "192.0.0.0/24",
+    "192.168.0.0/16",
+    "198.18.0.0/15",
+    "224.0.0.0/4",
+    "240.0.0.0/4",
 ]
+UNSAFE_IPV6 = ["::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8"]
+#: A wrapper page of one host that names the page it stands for.
+WRAPPER_HOST, WRAPPER_PATH, WRAPPER_TARGET = "mp.weixin.qq.com", "wappoc_appmsgcaptcha", "target_url"
 
 
-def canonical_url(url: Column) -> Column:
-    """Without fragment and tracking parameters; the query sorted by key."""
+def _query(url: Column) -> Column:
+    return F.when(F.contains(url, F.lit("?")), F.regexp_replace(url, r"^[^?]*\?", "")).otherwise("")
+
+
+def _parameters(query: Column) -> Column:
+    """Rows (key, at, value) of a query in order, decoded; broken ones are left out."""
+    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.contains(p, F.lit(";")))
+
+    def read(p: Column, at: Column) -> Column:
+        key, value = F.try_url_decode(F.substring_index(p, "=", 1)), F.try_url_decode(F.regexp_replace(p, "^[^=]*=?", ""))
+        return F.when(key.isNotNull() & value.isNotNull(), F.struct(key.alias("key"), at.alias("at"), value.alias("value")))
+
+    return F.array_compact(F.transform(parts, read))
+
+
+def _cleaned(url: Column) -> Column:
     base = F.regexp_replace(F.trim(url), "#.*$", "")
-    head = F.substring_index(base, "?", 1)
-    query = F.when(F.contains(base, F.lit("?")), F.regexp_replace(base, r"^[^?]*\?", "")).otherwise("")
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.when(F.size(kept) > 0, F.concat_ws("?", head, F.array_join(kept, "&"))).otherwise(head)
+    head = F.regexp_replace(F.substring_index(base, "?", 1), "^(?i)HTTP", "http")
+    kept = F.array_sort(F.filter(_parameters(_query(base)), lambda p: ~F.concat(p["key"], F.lit("=")).rlike(TRACKING)))
+    encode = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(kept, lambda p: F.concat(encode(p["key"]), F.lit("="), encode(p["value"])))
+    return F.when(F.size(pairs) > 0, F.concat_ws("?", head, F.array_join(pairs, "&"))).otherwise(head)
+
+
+def wrapped_target(url: Column) -> Column:
+    """The address that a wrapper page stands for; null if it isn't one."""
+    targets = F.transform(F.filter(_parameters(F.regexp_replace(_query(url), "#.*$", "")), lambda p: p["key"] == WRAPPER_TARGET), lambda p: p["value"])
+    target = F.try_element_at(targets, F.lit(1))
+    wrapper = (host(url) == WRAPPER_HOST) & F.contains(F.try_parse_url(url, F.lit("PATH")), F.lit(WRAPPER_PATH))
+    return F.when(wrapper & target.rlike("^(?i)https?://"), target)
+
+
+def canonical_url(url: Column) -> Column:
+    """Without fragment and tracking parameters; the query sorted by key and encoded anew.
+
+    Parameters of one key keep their order.  A wrapper page gives the page it stands for.
+    """
+    return _cleaned(F.coalesce(wrapped_target(F.trim(url)), url))
 
 
 def host(url: Column) -> Column:
@@ -77,21 +113,66 @@ def ipv4_number(address: Column) -> Column:
     return F.when(valid, number)
 
 
+def _network(cidr: str) -> tuple[int, int]:
+    net = ipaddress.ip_network(cidr)
+    return int(net[0]), int(net[-1])
+
+
+def _public_number(n: Column) -> Column:
+    unsafe = F.lit(False)
+    for cidr in UNSAFE_IPV4:
+        unsafe = unsafe | n.between(*_network(cidr))
+    return F.coalesce(~unsafe, F.lit(False))
+
+
 def public_ipv4(address: Column) -> Column:
-    n = ipv4_number(address)
-    number = lambda text: sum(int(p) << (24 - 8 * i) for i, p in enumerate(text.split(".")))
-    reserved = F.lit(False)
-    for first, last in RESERVED_IPV4:
-        reserved = reserved | n.between(number(first), number(last))
-    return F.coalesce(~reserved, F.lit(False))
+    return let(ipv4_number(address), _public_number)
+
+
+def ipv6_groups(address: Column) -> Column:
+    """The eight groups of an address as four hex digits each, joined; null if it isn't one.
+
+    A dotted tail counts as two groups and ``::`` as the groups that are missing.
+    """
+    low = F.lower(address)
+    number = ipv4_number(F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1))
+    two = let(number, lambda n: F.concat(F.lpad(F.hex(F.shiftright(n, 16)), 4, "0"), F.lit(":"), F.lpad(F.hex(n.bitwiseAND(65535)), 4, "0")))
+    plain = F.when(low.rlike(r"\d\.\d"), F.concat(F.regexp_replace(low, r"\d+\.\d+\.\d+\.\d+$", ""), F.lower(two))).otherwise(low)
+    groups = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+
+    def whole(p: Column) -> Column:
+        left, right = groups(F.substring_index(p, "::", 1)), groups(F.regexp_replace(p, "^.*::", ""))
+        gap = F.greatest(8 - F.size(left) - F.size(right), F.lit(0))
+        return F.when(F.contains(p, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), gap), right)).when(~p.rlike("^:|:$"), groups(p))
+
+    def valid(p: Column) -> Column:
+        return F.when(p.rlike(r"^[0-9a-f:]+$") & ~p.rlike(":::|::.*::|[0-9a-f]{5}"), let(whole(p), lambda g: F.when(F.size(g) == 8, F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))))
+
+    return let(plain, valid)
+
+
+def public_ipv6(address: Column) -> Column:
+    """Whether an IPv6 address is public; one that maps an IPv4 address is judged as that."""
+
+    def judged(digits: Column) -> Column:
+        unsafe = F.lit(False)
+        for cidr in UNSAFE_IPV6:
+            low, high = _network(cidr)
+            unsafe = unsafe | digits.between(f"{low:032x}", f"{high:032x}")
+        number = F.conv(F.substring(digits, 25, 8), 16, 10).try_cast("long")
+        return F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), _public_number(number)).otherwise(~unsafe)
+
+    return F.coalesce(let(ipv6_groups(address), judged), F.lit(False))
 
 
 def public_url(url: Column) -> Column:
     """http(s), a host that isn't local, no user, and a public address if it is one."""
     name = host(url)
     numeric = F.coalesce(name.rlike(r"^[0-9.]+$"), F.lit(False))
+    inner = F.regexp_extract(F.trim(url), r"^[A-Za-z]+://(?:[^/?#@]*@)?\[([^\]]*)\]", 1)
+    six = inner != ""
     ok = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & name.isNotNull() & (name != "localhost") & ~F.endswith(name, F.lit(".localhost"))
-    return F.coalesce(ok & F.try_parse_url(url, F.lit("USERINFO")).isNull() & (~numeric | public_ipv4(name)), F.lit(False))
+    return F.coalesce(ok & F.try_parse_url(url, F.lit("USERINFO")).isNull() & F.when(six, public_ipv6(inner)).otherwise(~numeric | public_ipv4(name)), F.lit(False))
 
 
 def retryable(status: Column) -> Column:

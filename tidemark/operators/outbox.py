@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import backoff_seconds
-from tidemark.operators.match import deliverable, event_enabled, fits_user
+from tidemark.operators.match import deliverable, event_enabled, fits_user, with_forms
 
 OPEN = ("pending", "failed")
 KEY = ["user_id", "competition_id", "event_key"]
@@ -118,6 +118,7 @@ def revalidate(queue: DataFrame, users: DataFrame, entities: DataFrame, decision
     """
     state = ("registration_phase", "competition_phase", "registration_end", "competition_end", "problem_released")
     chosen = decisions.select("user_id", F.col("competition_id").alias("id"), "decision")
+    users = with_forms(users)
     prefs = users.select("user_id", F.struct(*(c for c in users.columns if c != "user_id")).alias("_u"))
     rows = entities.select("id", F.struct(*(c for c in entities.columns if c != "id")).alias("_e"))
     met = queue.join(prefs, "user_id", "left").join(rows, "id", "left").join(chosen, ["user_id", "id"], "left")

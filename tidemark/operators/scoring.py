@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import markers
-from tidemark.functions.text import contains_any, let, normalize_space
+from tidemark.functions.text import contains_any, let, literals, normalize_space
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ FIELD = Lexicon(
 
 def hits(text: Column, terms: list[str]) -> Column:
     """How many of the terms occur in already lower-case text."""
-    return sum((F.contains(text, F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
+    return F.coalesce(let(text, lambda low: F.size(F.filter(literals(terms), lambda t: F.contains(low, t)))), F.lit(0))
 
 
 def candidate_score(title: Column, snippet: Column, lexicon: Lexicon) -> Column:

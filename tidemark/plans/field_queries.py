@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import analysis
 from tidemark.functions import markers as m
-from tidemark.operators import changes, gates, match, outbox, pages
+from tidemark.operators import changes, gates, match, outbox, pages, scoring
 from tidemark.plans.base import query
 from tidemark.sources import announcements as an
 
@@ -77,7 +77,8 @@ _SCORE = f"CASE WHEN {_CLOSED} THEN -100 WHEN bad > 0 AND good < 30 THEN -100 EL
 
 @query(f"SELECT id, {_SCORE} AS score FROM {_SCORED}")
 def candidate_score(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d).select("id", "score")
+    rows = an.pages(spark, d).withColumn("body", pages.page_body())
+    return rows.select("id", scoring.candidate_score(F.concat_ws(" ", "candidate_title", "title"), F.col("body"), scoring.FIELD).alias("score"))
 
 
 _MARKED = f"translate(title || ' ' || body, '{m.IGNORED}', '')".replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '")

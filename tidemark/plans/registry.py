@@ -81,7 +81,7 @@ def domain_trust(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "pages").select("page_id", urls.host(url).alias("host"), urls.official_domain(url).alias("official"), trust.alias("trust"))
 
 
-@query("""SELECT c_custkey, NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS public
+@query("""SELECT c_custkey, NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c = 0) OR (a = 198 AND b IN (18, 19))) AS public
 FROM (SELECT c_custkey, c_custkey % 256 AS a, (c_custkey * 7) % 256 AS b, (c_custkey * 13) % 256 AS c FROM customer)""")
 def safe_ip_range(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey")

@@ -68,8 +68,14 @@ _NAME = ((PREFIX, 1), (YEAR, 3), (SUBJECT, 1), (SUFFIX, 7))
 _BODY = ((STATUS, 5), (ORGANIZER, 2), (TEAM, 1), (FEE, 3), (SCOPE, 3), (PROBLEM, 5), (DATES, 3))
 
 
+def _keys(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """The keys of a table, dealt over all cores: a file of one row group is one partition, and what follows is costly."""
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("o_orderkey"))
+    return keys.repartition(spark.sparkContext.defaultParallelism)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    orders = _keys(spark, sf_dir, "orders", "o_orderkey")
     return orders.select(
         F.col("o_orderkey").alias("id"),
         F.concat(*(pick(v, t) for v, t in _NAME)).alias("title"),
@@ -99,7 +105,7 @@ def _days_sql(times: int, range_: int, back: int, skip: int) -> str:
 
 def competitions(spark: SparkSession, sf_dir: str, shift: int = 0, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
     """Entities; ``shift`` moves their phases, for a later snapshot."""
-    return entities_of(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("o_orderkey")), shift)
+    return entities_of(_keys(spark, sf_dir, table, key), shift)
 
 
 def entities_of(keys: DataFrame, shift: int = 0) -> DataFrame:
