@@ -232,6 +232,31 @@ def test_page_text(spark):
     assert out == {1: "Head\n\nOne & two three, a line that is long enough to speak.\n\nNext", 2: "", 3: ""}
 
 
+WRAPPERS = ['<div style="overflow:hidden">', '<div aria-hidden="false">', '<div title="a hidden gem">', '<div data-role="banner">', '<div data-id="ad">', '<div class="two-side-layout">', '<div class="side page">', "<form id=aspnet>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_page_in_a_wrapper(wrapper):
+    article = "<article><h1>Head</h1><p>One &amp; two\n three, a line that is long enough to speak for it.<p>Next</article>"
+    noise = "<p>words and words and words and words and words and even more words</p>"
+    left_out = "".join(f"<{t}>{noise}</{t.split()[0]}>" for t in ("nav", "aside", "div class='comment-list'", "div hidden", "div role=banner", "section class='site-notice'", "div id=ad-top", "select", "script"))
+    page = f"<html><body>{wrapper}{left_out}{article}<div><h3>3 Comments</h3>{noise}</div></div></body></html>"
+    assert page_text.main_text(page, None) == "Head\n\nOne & two three, a line that is long enough to speak for it.\n\nNext"
+
+
+def test_short_article_beside_a_long_advert():
+    page = "<body><div class='ad'>" + "buy " * 50 + "</div><article><h1>Short</h1><p>Text</article></body>"
+    assert page_text.main_text(page, None) == "Short\n\nText"
+
+
+def test_hostile_pages():
+    """Time in proportion to the page: these end at once, or not in the life of a task."""
+    words = "a text of more than forty characters, which speaks for its container"
+    assert page_text.main_text("<div>" * 100_000 + f"<p>{words}" + "</p>" * 1_000, None) == words
+    assert page_text.main_text("<a " * 200_000, None) == " ".join(["<a"] * 200_000)
+    assert page_text.main_text("<p>abc<script>x", None) == page_text.main_text("<p>abc<!-- x", None) == "abc"
+
+
 def test_learnt_scores(spark):
     """On the larger tables: the smaller ones hold out fewer than ten toxic rows."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
