@@ -34,3 +34,44 @@ def test_quotes_of_any_length(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
     want = sorted((i, j) for i, a in enumerate(quotes) for j, b in enumerate(texts) if fold(a) and fold(a) in fold(b))
     assert sorted((r.quote_id, r.text_id) for r in consensus.quoted(q, t).collect()) == want and len(want) == 6
+
+
+def plain_consensus(votes):
+    """Votes of one field by a plain loop: value, edition, conflict and what was refused."""
+    import re
+
+    squash = lambda t: re.sub(r"\s", "", t or "").lower()
+    groups = {}
+    for value, edition, confidence, evidence in votes:
+        if not (value or "").strip():
+            continue
+        year = re.search(r"(?:19|20)\d{2}", evidence or "")
+        key = (squash(value), squash(edition) or (year[0] if year else ""))
+        place = (-{"high": 3, "medium": 2}.get(confidence, 1), -len((evidence or "").encode()), evidence or "", value, edition or "")
+        groups.setdefault(key, []).append(place)
+    if not groups:
+        return None
+    top = max(map(len, groups.values()))
+    shown = {k: "%s x%d" % (min(v)[3], len(v)) for k, v in groups.items()}
+    first = [k for k in sorted(groups) if len(groups[k]) == top]
+    if len(first) > 1:
+        return (None, None, True, ", ".join(shown[k] for k in sorted(groups)))
+    best = min(groups[first[0]])
+    lost = ", ".join(sorted(shown[k] for k in groups if k != first[0])) if len(groups) > 1 and top < len(votes) else None
+    return (best[3], best[4] or first[0][1], False, lost)
+
+
+def test_fact_consensus(spark):
+    import random
+
+    rng = random.Random(9)
+    docs = {}
+    for d in range(60):
+        docs[d] = [(rng.choice(["A b", "ab", "C", "", None, " "]), rng.choice(["", "2026", None]), rng.choice(["high", "medium", "low", "?"]), rng.choice(["in 2026", "in 2025 here", "plain", None])) for _ in range(rng.randrange(1, 7))]
+    rows = [(d, "facts.registration_end", *v) for d, votes in docs.items() for v in votes]
+    facts = consensus.fact_consensus(spark.createDataFrame(rows, "doc long, field string, value string, edition string, confidence string, evidence string"))
+    got = {r.doc: (r.value, r.edition, r.conflict, r.refused) for r in facts.collect()}
+    want = {d: plain_consensus(v) for d, v in docs.items()}
+    assert got == {d: w for d, w in want.items() if w is not None}
+    torn = {d for d, w in got.items() if w[2]}
+    assert torn and {r.doc for r in consensus.withhold_lifecycle(facts).collect()} == set(got) - torn

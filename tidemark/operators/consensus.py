@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lifecycle import TRUST, rank
-from tidemark.functions.text import normalize_space
+from tidemark.functions.text import identity_norm, normalize_space
 from tidemark.operators.match import contained_forms
 
 
@@ -29,6 +29,60 @@ def consensus(votes: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
+#: Why values of a field are refused.
+UNRESOLVED = "unresolved conflicting values across document segments"
+MINORITY = "minority conflicting values discarded by cross-segment consensus"
+
+
+def fact_consensus(votes: DataFrame, keys: tuple[str, ...] = ("doc", "field")) -> DataFrame:
+    """Rows (*keys, value, edition, evidence, confidence, conflict, reason, refused): one for each key with a value.
+
+    ``votes`` has the keys, value, edition, confidence and evidence, one row for
+    each segment.  Blank values don't vote.  Values are alike by their normal form
+    and edition; without an edition the first year of the evidence is it.  The
+    largest group wins, and a tie at the top clears the field.  The vote that
+    speaks for a group has the highest confidence, then the longest evidence in
+    bytes, then the least evidence.  ``refused`` lists the values that lost.
+    """
+    said = F.coalesce("edition", F.lit(""))
+    year = F.regexp_extract(F.coalesce("evidence", F.lit("")), r"(?:19|20)\d{2}", 0)
+    evidence = normalize_space(F.coalesce("evidence", F.lit("")))
+    shown = F.struct((-rank(F.lower(F.trim("confidence")), TRUST, 1)).alias("c"), (-F.octet_length(evidence)).alias("l"), evidence.alias("evidence"), F.col("value"), said.alias("edition"), F.col("confidence"))
+    keyed = votes.where(F.trim("value") != "").withColumns({"_v": identity_norm(F.col("value")), "_e": F.coalesce(F.nullif(identity_norm(said), F.lit("")), year)})
+    groups = keyed.groupBy(*keys, "_v", "_e").agg(F.count("*").alias("n"), F.min(shown).alias("best"))
+    parts = votes.groupBy(*keys).agg(F.count("*").alias("_parts"))
+    one = F.struct("_v", "_e", "n", "best.value", "best.edition", "best.evidence", "best.confidence")
+    # a field has no more groups than its document has segments
+    held = groups.groupBy(*keys).agg(F.max("n").alias("_top"), F.array_sort(F.collect_list(one)).alias("_groups")).join(parts, list(keys))
+    split = held.withColumns({"_first": F.filter("_groups", lambda g: g["n"] == F.col("_top")), "_others": F.filter("_groups", lambda g: g["n"] != F.col("_top"))})
+    counted = lambda g: F.format_string("%s x%d", g["value"], g["n"])
+    conflict, won = F.size("_first") > 1, F.col("_first")[0]
+    lost = F.when(conflict, F.transform("_groups", counted)).when((F.size("_groups") > 1) & (F.col("_top") < F.col("_parts")), F.array_sort(F.transform("_others", counted)))
+    kept = lambda c: F.when(~conflict, c)
+    return split.select(
+        *keys,
+        kept(won["value"]).alias("value"),
+        kept(F.coalesce(F.nullif(won["edition"], F.lit("")), won["_e"])).alias("edition"),
+        kept(won["evidence"]).alias("evidence"),
+        kept(won["confidence"]).alias("confidence"),
+        conflict.alias("conflict"),
+        F.when(conflict, UNRESOLVED).when(lost.isNotNull(), MINORITY).alias("reason"),
+        F.array_join(lost, ", ").alias("refused"),
+    )
+
+
+#: Fields whose conflict leaves the lifecycle open, and the dates then withheld.
+LIFECYCLE_FIELDS = ["identity.name", "identity.series", "identity.edition", "facts.registration_start", "facts.registration_end", "facts.competition_start", "facts.competition_end"]
+WITHHELD = LIFECYCLE_FIELDS[3:]
+
+
+def withhold_lifecycle(facts: DataFrame, doc: str = "doc") -> DataFrame:
+    """Rows of ``fact_consensus`` without the dates of documents in whose lifecycle fields values conflict."""
+    torn = facts.where(F.col("conflict") & F.col("field").isin(LIFECYCLE_FIELDS)).select(doc).distinct()
+    dates = facts.where(F.col("field").isin(WITHHELD)).join(torn, doc, "left_anti")
+    return facts.where(~F.col("field").isin(WITHHELD)).unionByName(dates)
+
+
 def quoted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (quote_id, text_id): the quote stands in the text, white space folded.
 

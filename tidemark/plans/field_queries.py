@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import analysis
 from tidemark.functions import markers as m
-from tidemark.operators import changes, gates, match, outbox, pages, scoring
+from tidemark.operators import changes, consensus, gates, match, outbox, pages, scoring
 from tidemark.plans.base import query
 from tidemark.sources import announcements as an
 
@@ -271,3 +271,27 @@ def delivery_check(spark: SparkSession, d: str) -> DataFrame:
         F.element_at(kinds, (F.pmod("l_orderkey", F.lit(6)) + 1).cast("int")).alias("event_type"),
     )
     return outbox.revalidate(queue, users, entities, _decisions(queue.distinct()).distinct(), an.now()).select("notification_id", "line", "valid")
+
+
+_VOTES = """(SELECT conv_id, CASE length(text) % 4 WHEN 0 THEN '' WHEN 1 THEN 'A b' WHEN 2 THEN 'ab' ELSE 'c' END AS value, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS edition,
+  CASE length(text) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, 'e' || length(text) AS evidence FROM conversations)"""
+
+
+@query(f"""WITH v AS {_VOTES}, parts AS (SELECT conv_id, count(*) AS parts FROM v GROUP BY conv_id),
+g AS (SELECT conv_id, lower(replace(value, ' ', '')) AS k, coalesce(nullif(lower(edition), ''), regexp_extract(evidence, '(19|20)[0-9]{{2}}')) AS e, count(*) AS n,
+  min(struct_pack(c := CASE confidence WHEN 'high' THEN -3 WHEN 'medium' THEN -2 ELSE -1 END, l := -strlen(evidence), evidence := evidence, value := value, edition := edition)) AS best FROM v WHERE value <> '' GROUP BY ALL),
+t AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS top FROM g),
+h AS (SELECT conv_id, any_value(top) AS top, count(*) AS n_groups, count(*) FILTER (n = top) AS n_first, min(struct_pack(k, e, best)) FILTER (n = top) AS won,
+  string_agg(best.value || ' x' || n, ', ' ORDER BY k, e) AS everything, string_agg(best.value || ' x' || n, ', ' ORDER BY best.value || ' x' || n) FILTER (n < top) AS others FROM t GROUP BY conv_id)
+SELECT conv_id, CASE WHEN n_first = 1 THEN won.best.value END AS value, CASE WHEN n_first = 1 THEN coalesce(nullif(won.best.edition, ''), won.e) END AS edition, CASE WHEN n_first = 1 THEN won.best.evidence END AS evidence,
+  n_first > 1 AS conflict, CASE WHEN n_first > 1 THEN everything WHEN n_groups > 1 AND top < parts THEN others END AS refused FROM h JOIN parts USING (conv_id)""")
+def fact_consensus(spark: SparkSession, d: str) -> DataFrame:
+    size = F.char_length("text")
+    votes = spark.read.parquet(f"{d}/conversations.parquet").select(
+        "conv_id",
+        F.element_at(F.array(*map(F.lit, ("", "A b", "ab", "c"))), size % 4 + 1).alias("value"),
+        F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("edition"),
+        F.element_at(F.array(*map(F.lit, ("high", "medium", "low"))), size % 3 + 1).alias("confidence"),
+        F.concat(F.lit("e"), size).alias("evidence"),
+    )
+    return consensus.fact_consensus(votes, ("conv_id",)).select("conv_id", "value", "edition", "evidence", "conflict", "refused")
