@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def failure_streaks(log: DataFrame, source: str, order: list[str], failed: str) -> DataFrame:
-    """``log`` with ``streak``: failures in a row up to each entry; a success is 0."""
-    run = Window.partitionBy(source).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    islands = log.withColumn("_island", F.sum((~F.col(failed)).cast("int")).over(run))
-    inside = Window.partitionBy(source, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn("streak", F.sum(F.col(failed).cast("int")).over(inside)).drop("_island")
+def failure_streaks(log: DataFrame, source: str, order: list[str], failed: str, span: Column) -> DataFrame:
+    """``log`` with ``streak``: failures in a row up to each entry; a success is 0.
+
+    ``span`` cuts the log into ranges that follow ``order`` (days, say).  Each
+    range is first summed up in one row, a window over these short rows carries
+    streaks from range to range, and entries are ranked inside their range only,
+    so no task gets the whole log of a source.
+    """
+    rows = log.withColumn("_span", span)
+    place = F.struct(*order)
+    last = rows.where(~F.col(failed)).groupBy(source, "_span").agg(F.max(place).alias("_success"))
+    keyed = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (source, "_span")]
+    after = rows.alias("a").join(last.alias("b"), keyed[0] & keyed[1], "left").select(*(F.col(f"a.{c}").alias(c) for c in (source, "_span", failed)), place_of("a", order).alias("_place"), "b._success")
+    trailing = F.count_if(F.col(failed) & (F.col("_success").isNull() | (F.col("_place") > F.col("_success"))))
+    spans = after.groupBy(source, "_span").agg(trailing.alias("_trailing"), F.bool_or(F.col("_success").isNotNull()).alias("_reset"))
+    through = Window.partitionBy(source).orderBy("_span")
+    islands = spans.withColumn("_no", F.sum(F.col("_reset").cast("int")).over(through.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(source, "_no").orderBy("_span").rowsBetween(Window.unboundedPreceding, 0)
+    carried = islands.withColumn("_after", F.sum("_trailing").over(within)).withColumn("_carry", F.coalesce(F.lag("_after").over(through), F.lit(0)))
+    carry = carried.select(source, "_span", "_carry")
+
+    inside = Window.partitionBy(source, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_island", F.sum((~F.col(failed)).cast("int")).over(inside))
+    island = Window.partitionBy(source, "_span", "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_own", F.sum(F.col(failed).cast("int")).over(island))
+    met = ranked.alias("a").join(carry.alias("b"), keyed[0] & keyed[1], "left")
+    streak = F.when(F.col(f"a.{failed}"), F.col("_own") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)).otherwise(0)
+    return met.select(*(F.col(f"a.{c}").alias(c) for c in log.columns), streak.alias("streak"))
+
+
+def place_of(alias: str, order: list[str]) -> Column:
+    return F.struct(*(F.col(f"{alias}.{c}") for c in order))
 
 
 def alerts(streaks: DataFrame, source: str, order: list[str], least: int, once: bool = False) -> DataFrame:

@@ -202,7 +202,7 @@ FROM (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_
 
 def _streaks(spark: SparkSession, d: str) -> DataFrame:
     log = fx.table(spark, d, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return health.failure_streaks(log, "user_id", ["ts", "event_id"], "failed")
+    return health.failure_streaks(log, "user_id", ["ts", "event_id"], "failed", F.date_trunc("day", "ts"))
 
 
 @query(_STREAKS)
