@@ -338,3 +338,6 @@ def fact_confidence(spark: SparkSession, d: str) -> DataFrame:
     trust = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "medium").otherwise("low")
     sure = lifecycle.fact_confidence(trust, F.left("text", F.lit(12)), F.when(F.col("doc_id") % 2 == 0, "2026"), F.lit("2026-01-01"))
     return rows.select("doc_id", sure.alias("confidence"))
+
+
+from tidemark.plans import dispatch_queries  # noqa: E402, F401  (its SQL reads that of next_delivery)
