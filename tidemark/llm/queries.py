@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_spread, order_minhash, page_text, quality_rules, source_mix, suffix_dedup, token_counts, toxic_spans, weak_quality
+from tidemark.llm import decontaminate, line_spread, order_minhash, page_text, quality_rules, source_mix, suffix_dedup, token_counts, toxic_spans, vector_links, weak_quality
 from tidemark.llm.common import read_table
 
 #: Sites from which on a line is boilerplate.
@@ -77,6 +77,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.with_links(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_line_spread": op8_line_spread,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_embedding_links": op11_embedding_links,
 }
 
 #: DuckDB SQL of the queries that SQL expresses.
