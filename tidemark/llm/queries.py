@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_spread, order_minhash, page_text, quality_rules, source_mix, suffix_dedup, token_counts, toxic_spans, vector_links, weak_quality
+from tidemark.llm import decontaminate, line_spread, order_minhash, page_text, quality_rules, source_mix, suffix_dedup, token_alignment, token_counts, toxic_spans, vector_links, weak_quality, whitening
 from tidemark.llm.common import read_table
 
 #: Sites from which on a line is boilerplate.
@@ -81,6 +81,17 @@ def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.with_links(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_tokens(docs).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = white.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -93,10 +104,13 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_embedding_links": op11_embedding_links,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: DuckDB SQL of the queries that SQL expresses.
 ORACLES: dict[str, str] = {
     "op6_source_mix": source_mix.oracle(MIX_DOMAIN_SQL, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED),
     "op8_line_spread": line_spread.oracle(MIN_SITES),
+    "op11_embedding_links": vector_links.oracle(),
 }

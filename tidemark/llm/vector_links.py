@@ -263,6 +263,25 @@ def link_counts(nodes: DataFrame, threshold: float, miss: float, seed: int) -> t
     return met.groupBy("node").agg(F.sum("links").alias("links")), met.where("node <> near").select(F.col("near").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def oracle(threshold: float = THRESHOLD) -> str:
+    return f"""
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(list_filter(embedding, c -> isfinite(c))) = len(embedding)
+    AND list_count(list_filter(embedding, c -> c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= {threshold}),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+names AS (SELECT a, min(b) AS name FROM reached GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, m.name AS component_id, e.vec_id = m.name AS kept
+FROM embeddings e JOIN names m ON e.vec_id = m.a LEFT JOIN counts c ON e.vec_id = c.a
+"""
+
+
 def with_links(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, miss: float = MISS, seed: int = 11) -> DataFrame:
     """``vectors`` with ``n_links``, ``component_id`` and ``kept`` (its id names its component)."""
     ship_package(vectors.sparkSession)
