@@ -46,7 +46,7 @@ from tidemark.llm.token_counts import byte_alphabet
 #: Characters of the texts of a unit.
 UNIT_CHARS = 6_000_000
 #: Cuts a worker remembers; a unit ends there too.
-MEMO_CUTS = 120_000
+MEMO_CUTS = 220_000
 #: Texts whose new cuts are encoded together.
 BLOCK_TEXTS = 64
 
