@@ -31,6 +31,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -85,23 +86,12 @@ class Tokens:
         return ((x.ids, y if r else [self.lone_space]) for x, y, r in zip(ours, theirs, rests, strict=True))
 
 
-def merge_ends(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int]]:
-    """How many tokens of ``a`` and of ``b`` each group ends after; the sizes add up to the same."""
-    i = j = end_a = end_b = 0
-    groups = []
-    while i < len(a):
-        end_a += size_a[a[i]]
-        end_b += size_b[b[j]]
-        i, j = i + 1, j + 1
-        while end_a != end_b:
-            if end_a < end_b:
-                end_a += size_a[a[i]]
-                i += 1
-            else:
-                end_b += size_b[b[j]]
-                j += 1
-        groups.append((i, j))
-    return groups
+def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of either side end where one of the other does; both rise, and end together.
+
+    The two pointers of a merge move over whole arrays: each end is looked up among the other's.
+    """
+    return ends_b[np.searchsorted(ends_b, ends_a)] == ends_a, ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
 
 
 class Cuts(dict):
@@ -115,8 +105,11 @@ class Cuts(dict):
         self.chars = 0
         self.n_a, self.n_b = array("q"), array("q")
         self.links, self.ends = array("q"), array("q", [0])
-        self.size_a, self.size_b = list(map(len, tokens.bytes_a)), list(map(len, tokens.bytes_b))
-        self.name_a, self.name_b = list(map(str, range(len(self.size_a)))), list(map(str, range(len(self.size_b))))
+        self.size_a, self.size_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (tokens.bytes_a, tokens.bytes_b))
+        self.lengths_a, self.lengths_b = self.size_a.tolist(), self.size_b.tolist()
+        #: How a token is written: within its group and as its last one, A's before B's.
+        self.written = [f"{i}{mark}" for i in range(len(self.size_a)) for mark in ",|"] + [f"{i}{mark}" for i in range(len(self.size_b)) for mark in ",;"]
+        self.width = np.array(list(map(len, self.written)), dtype=np.int64)
 
     def __missing__(self, rest: str) -> int:
         self[rest] = number = len(self)
@@ -125,26 +118,49 @@ class Cuts(dict):
 
     def learn(self) -> None:
         """Encode and merge the new cuts; the text of one that doesn't give its bytes back is null."""
-        bytes_a, bytes_b, name_a, name_b = self.tokens.bytes_a, self.tokens.bytes_b, self.name_a, self.name_b
-        for rest, (a, b) in zip(self.new, self.tokens.encode(self.new), strict=True):
-            whole = b" " + rest.encode()
-            text, found = None, ()
-            if b"".join([bytes_a[x] for x in a]) == whole and b"".join([bytes_b[x] for x in b]) == whole:
-                found = merge_ends(a, b, self.size_a, self.size_b)
-                i = j = 0
-                parts = []
-                for p, q in found:
-                    parts.append(",".join([name_a[x] for x in a[i:p]]) + "|" + ",".join([name_b[x] for x in b[j:q]]))
-                    i, j = p, q
-                text = ";".join(parts)
-                self.links.extend([a[p - 1] << 32 | b[q - 1] for p, q in found])
-            self.text.append(text)
-            self.n_a.append(len(a))
-            self.n_b.append(len(b))
-            self.ends.append(len(self.links))
+        if not self.new:
+            return
+        pairs = list(self.tokens.encode(self.new))
+        wholes = [b" " + r.encode() for r in self.new]
+        good = self._lossless(pairs, wholes)
+        held = list(compress(pairs, good))
+        count_a, count_b = (np.fromiter((len(x[i]) for x in held), dtype=np.int64, count=len(held)) for i in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(x[i] for x in held), dtype=np.int64, count=n.sum()) for i, n in ((0, count_a), (1, count_b)))
+        texts, links, ends = iter(()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if held:
+            last_a, last_b = merge_ends(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+            links = a[last_a] << 32 | b[last_b]
+            stop_a, stop_b = np.cumsum(count_a), np.cumsum(count_b)
+            ends = np.cumsum(last_a)[stop_a - 1]
+            # A group is written as A's tokens, then B's: each token comes after those of the other side that belong before it.
+            codes = np.empty(len(a) + len(b), dtype=np.int64)
+            before_a = np.concatenate([[0], np.flatnonzero(last_b) + 1])[np.cumsum(last_a) - last_a]
+            codes[np.arange(len(a)) + before_a] = 2 * a + last_a
+            codes[np.arange(len(b)) + (np.flatnonzero(last_a) + 1)[np.cumsum(last_b) - last_b]] = 2 * len(self.size_a) + 2 * b + last_b
+            whole = "".join(map(self.written.__getitem__, codes.tolist()))
+            stops = np.cumsum(self.width[codes])[stop_a + stop_b - 1].tolist()
+            texts = (whole[i : j - 1] for i, j in zip([0, *stops], stops, strict=False))
+        base, at = len(self.links), iter((ends + len(self.links)).tolist())
+        for rest, (own_a, own_b), fine in zip(self.new, pairs, good, strict=True):
+            self.text.append(next(texts) if fine else None)
+            self.n_a.append(len(own_a))
+            self.n_b.append(len(own_b))
+            base = next(at) if fine else base
+            self.ends.append(base)
             self.chars += len(rest)
+        self.links.frombytes(links.tobytes())
         self.new = []
 
+    def _lossless(self, pairs: list[tuple[list[int], list[int]]], wholes: list[bytes]) -> list[bool]:
+        """Whether the bytes of either side's tokens are those of the cut; all cuts at once, and one by one only if that fails."""
+        sides = ((0, self.tokens.bytes_a), (1, self.tokens.bytes_b))
+        sizes = list(map(len, wholes))
+        all_sizes = all([sum(map(size.__getitem__, p[i])) for p in pairs] == sizes for i, size in ((0, self.lengths_a), (1, self.lengths_b)))
+        joined = b"".join(wholes)
+        if all_sizes and all(b"".join(map(table.__getitem__, chain.from_iterable(p[i] for p in pairs))) == joined for i, table in sides):
+            return [True] * len(pairs)
+        return [all(b"".join(map(table.__getitem__, p[i])) == w for i, table in sides) for p, w in zip(pairs, wholes, strict=True)]
+
     def cut(self, text: str) -> list[str]:
         """The cuts of a text, each without its leading space."""
         if not self.tokens.can_cut:
