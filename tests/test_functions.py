@@ -148,3 +148,17 @@ def test_status_of_pages(spark):
     assert said("无") is None
     assert one(spark, "参赛费：100元/人。", analysis.fee).fee == "100元/人" and one(spark, "免费报名", analysis.fee).fee == "免费"
     assert one(spark, "请 开启 JavaScript 后继续", analysis.challenge_page) is True
+
+
+def test_urls_of_other_spellings(spark):
+    """Schemes in any case, spaces in paths, ports, and dots after hosts."""
+    cases = {
+        "HTTPS://e.com/A b?b=1&UTM_x=2&a=c%20d#f": "https://e.com/A%20b?a=c+d&b=1",
+        "HtTp://e.com": "http://e.com",
+        " http://e.com/%E4%B8%AD ": "http://e.com/%E4%B8%AD",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "url string, want string")
+    assert all(r.got == r.want for r in rows.select("want", urls.canonical_url(F.col("url")).alias("got")).collect())
+    safe = {"http://localhost./": False, "http://a.localhost.": False, "http://e.com:0/": False, "http://e.com:99999/": False, "http://e.com:443/": True, "https://e.com.": True, "http://[::1]:80/": False, "HTTPS://e.com": True}
+    rows = spark.createDataFrame(list(safe.items()), "url string, want boolean")
+    assert [r.url for r in rows.withColumn("got", urls.public_url(F.col("url"))).collect() if r.got != r.want] == []

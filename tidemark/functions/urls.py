@@ -48,7 +48,9 @@ def _parameters(query: Column) -> Column:
 
 def _cleaned(url: Column) -> Column:
     base = F.regexp_replace(F.trim(url), "#.*$", "")
-    head = F.regexp_replace(F.substring_index(base, "?", 1), "^(?i)HTTP", "http")
+    whole = F.substring_index(base, "?", 1)
+    scheme = F.regexp_extract(whole, "^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    head = F.concat(F.lower(scheme), F.regexp_replace(F.substr(whole, F.char_length(scheme) + 1), " ", "%20"))
     kept = F.array_sort(F.filter(_parameters(_query(base)), lambda p: ~F.concat(p["key"], F.lit("=")).rlike(TRACKING)))
     encode = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     pairs = F.transform(kept, lambda p: F.concat(encode(p["key"]), F.lit("="), encode(p["value"])))
@@ -171,7 +173,10 @@ def public_url(url: Column) -> Column:
     numeric = F.coalesce(name.rlike(r"^[0-9.]+$"), F.lit(False))
     inner = F.regexp_extract(F.trim(url), r"^[A-Za-z]+://(?:[^/?#@]*@)?\[([^\]]*)\]", 1)
     six = inner != ""
-    ok = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & name.isNotNull() & (name != "localhost") & ~F.endswith(name, F.lit(".localhost"))
+    dotless = F.regexp_replace(name, r"\.$", "")
+    port = F.regexp_extract(F.trim(url), r"^[A-Za-z]+://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*):(\d+)", 1)
+    proper = (port == "") | F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False))
+    ok = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & name.isNotNull() & proper & (dotless != "") & (dotless != "localhost") & ~F.endswith(dotless, F.lit(".localhost"))
     return F.coalesce(ok & F.try_parse_url(url, F.lit("USERINFO")).isNull() & F.when(six, public_ipv6(inner)).otherwise(~numeric | public_ipv4(name)), F.lit(False))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, lifecycle, text, urls
-from tidemark.operators import changes, consensus, health, match, merge, outbox, records, research, resolve, retention, scoring, views
-from tidemark.plans import field_queries, state_queries, stream_queries  # noqa: F401  (they add their queries)
+from tidemark.operators import changes, consensus, health, match, outbox, records, research, resolve, retention, scoring, views
+from tidemark.plans import entity_queries, field_queries, model_queries, state_queries, stream_queries  # noqa: F401  (they add their queries)
 from tidemark.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from tidemark.sources import fixtures as fx
 
@@ -279,19 +279,6 @@ def dice_pairs(spark: SparkSession, d: str) -> DataFrame:
     return resolve.dice_pairs(fx.table(spark, d, "part"), "p_name", 0.5)
 
 
-@query(f"{_DICE} SELECT left_name, right_name FROM pairs WHERE dice >= 0.78 AND length(left_name) >= 6 AND length(right_name) >= 6")
-def identity_match(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.same_identity(resolve.identity_pairs(fx.table(spark, d, "part"), "p_name")).select("left_name", "right_name")
-
-
-@query(f"""SELECT id, CASE WHEN n.fee = '' THEN o.fee WHEN o.fee = '' OR o.fee = n.fee OR nt > ot THEN n.fee WHEN ot > nt THEN o.fee END AS fee FROM (SELECT id, CASE trust WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS ot, CASE WHEN id % 4 = 0 THEN '' ELSE CAST(id % 3 AS VARCHAR) END AS fee FROM {_E}) o JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN 3 ELSE 1 END AS nt, CASE WHEN id % 5 = 0 THEN '' ELSE CAST(id % 2 AS VARCHAR) END AS fee FROM {_E}) n USING (id)""")
-def merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    e, key = fx.entities(spark, d), F.col("id")
-    old = e.select("id", F.lit("a").alias("source_id"), "trust", "status", F.when(key % 4 == 0, "").otherwise((key % 3).cast("string")).alias("fee"))
-    new = e.select("id", F.lit("b").alias("source_id"), F.when(key % 2 == 0, "high").otherwise("low").alias("trust"), "status", F.when(key % 5 == 0, "").otherwise((key % 2).cast("string")).alias("fee"))
-    return merge.merge_rows(old, new, ["fee"]).select("id", "fee")
-
-
 @query("""WITH t AS (SELECT conv_id, CAST(length(text) % 3 AS BIGINT) AS value, role AS edition, count(*) AS votes FROM conversations GROUP BY ALL), m AS (SELECT *, max(votes) OVER (PARTITION BY conv_id) AS most FROM t)
 SELECT conv_id, CASE WHEN count(*) = 1 THEN min(value) END AS value, CASE WHEN count(*) = 1 THEN min(edition) END AS edition, max(votes) AS votes, count(*) > 1 AS conflict FROM m WHERE votes = most GROUP BY conv_id""")
 def consensus_vote(spark: SparkSession, d: str) -> DataFrame:

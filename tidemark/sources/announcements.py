@@ -175,3 +175,140 @@ def audience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AUDIENCE_SQL = f"""(SELECT s_suppkey AS user_id, {_picked_list(WANTED_CATEGORIES)} AS categories, {_picked_list(WANTED_TYPES, 2)} AS organizer_types, {_picked_list(WANTED_SCOPES)} AS scopes, {_picked_list(WANTED_REGIONS)} AS regions,
   {_picked_list(INCLUDE, 3)} AS include_keywords, {_picked_list(EXCLUDE, 3)} AS exclude_keywords, CASE s_suppkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS least_trust, s_acctbal > 0 AS allow_risk, {', '.join(f's_suppkey % {5 + i} <> 0 AS {f}' for i, f in enumerate(FLAGS))} FROM supplier)"""
+
+
+#: What announcements say beside the columns of entities; each list is picked by its own step.
+FEES = ["", "50元/人", "", "100元/人", "50元/人", ""]
+TEAMS = ["", "每队三人", "可单人参赛", "", "每队三人"]
+ENDS = ["", "2026年7月1日", "", "2026年7月2日", "7月1日"]
+VERSIONS = ["v1", "v2", "", "v1", "v1", "v2", "v1"]
+OLD_STATUS = ["", "registration_open", "upcoming", "unknown", "preview", "finished", "registration_closed", ""]
+FIT = ["", "适合", "", "值得参加"]
+WORDS = [["云计算", "AI"], ["ai ", "算法"], [], ["", "算法", "机器人"]]
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements in order of arrival, from ``customer``: some without phases, some of equal times."""
+    rows = competitions(spark, sf_dir, table="customer", key="c_custkey").withColumn("o_orderkey", F.col("id"))
+    bare = F.pmod("id", F.lit(9)) == 0
+    subject = F.pmod("id", F.lit(len(SUBJECT))).cast("string")
+    end = pick(ENDS, 5)
+    words = F.array(*(F.array(*map(F.lit, w)).cast("array<string>") for w in WORDS))
+    return rows.withColumns({
+        "seen_at": F.lit(NOW).cast("timestamp") + F.make_interval(hours=F.floor(F.col("id") / 3).cast("int")),
+        "source_id": F.concat(F.lit("s"), F.pmod("id", F.lit(5)).cast("string")),
+        "entity_key": F.concat(F.lit("k"), subject, F.lit("-"), F.pmod("id", F.lit(37)).cast("string")),
+        "official_url": F.concat(F.lit("https://s"), subject, F.lit(".example.org/"), F.pmod(F.col("id") * 7, F.lit(23)).cast("string")),
+        "organizer": F.regexp_extract(pick(ORGANIZER, 2), "[：:](.+)$", 1),
+        "status": pick(OLD_STATUS, 3),
+        "status_evidence": F.when(F.pmod("id", F.lit(4)) == 1, "").otherwise(pick(STATUS, 5)),
+        "registration_phase": F.when(bare, "").otherwise(F.col("registration_phase")),
+        "competition_phase": F.when(bare, F.lit(None)).otherwise(F.col("competition_phase")),
+        "registration_end_raw": end,
+        "registration_end": F.when(end != "", F.lit("2026-07-01").cast("timestamp") + F.make_interval(days=F.pmod("id", F.lit(3)).cast("int"))),
+        "team_requirement": pick(TEAMS, 3),
+        "fee": pick(FEES, 5),
+        "fee_evidence": F.when(pick(FEES, 5) != "", F.concat(F.lit("报名费为"), pick(FEES, 5))).otherwise(""),
+        "analyzer_version": pick(VERSIONS, 3),
+        "fit_reason": pick(FIT, 3),
+        "keywords": F.element_at(words, (F.pmod("id", F.lit(len(WORDS))) + 1).cast("int")),
+        "first_seen": F.when(F.pmod("id", F.lit(5)) == 0, F.col("first_seen")),
+    }).drop("o_orderkey", "competition_end", "published")
+
+
+_WORDS_SQL = f"[{', '.join('CAST([' + ', '.join(map(_literal, w)) + '] AS VARCHAR[])' for w in WORDS)}][CAST(id % {len(WORDS)} + 1 AS INTEGER)]"
+ARRIVALS_SQL = f"""(SELECT id, name, content, trust, problem_released, eligibility_note, TIMESTAMP '{NOW}' + to_hours(CAST(floor(id / 3) AS BIGINT)) AS seen_at, 's' || (id % 5) AS source_id,
+  'k' || (id % {len(SUBJECT)}) || '-' || (id % 37) AS entity_key, 'https://s' || (id % {len(SUBJECT)}) || '.example.org/' || (id * 7 % 23) AS official_url,
+  regexp_extract({picked(ORGANIZER, 2)}, '[：:](.+)$', 1) AS organizer, {picked(OLD_STATUS, 3)} AS status, CASE WHEN id % 4 = 1 THEN '' ELSE {picked(STATUS, 5)} END AS status_evidence,
+  CASE WHEN id % 9 = 0 THEN '' ELSE registration_phase END AS registration_phase, CASE WHEN id % 9 = 0 THEN '' ELSE competition_phase END AS competition_phase,
+  {picked(ENDS, 5)} AS registration_end_raw, CASE WHEN {picked(ENDS, 5)} <> '' THEN TIMESTAMP '2026-07-01 00:00:00' + to_days(CAST(id % 3 AS INTEGER)) END AS registration_end,
+  {picked(TEAMS, 3)} AS team_requirement, {picked(FEES, 5)} AS fee, CASE WHEN {picked(FEES, 5)} <> '' THEN '报名费为' || {picked(FEES, 5)} ELSE '' END AS fee_evidence,
+  {picked(VERSIONS, 3)} AS analyzer_version, {picked(FIT, 3)} AS fit_reason, {_WORDS_SQL} AS keywords, CASE WHEN id % 5 = 0 THEN first_seen END AS first_seen
+FROM (SELECT *, id AS o_orderkey FROM {competitions_sql(table='customer', key='c_custkey')}))"""
+
+
+#: What a made-up model says of a page: for each fact its value, its evidence and its edition, each a list and the step it is picked by.
+_EDITIONS = ["2026", "", "2025", " 2026年 ", ""]
+SAID = {
+    "recommendation": ((["适合开发者", "", " 值得一看 "], 1), (SUBJECT, 1), (_EDITIONS, 7)),
+    "identity.name": ((SUBJECT, 1), (SUBJECT, 1), (_EDITIONS, 3)),
+    "identity.edition": ((["2026", "", "2025年", "第十届", ""], 3), (SUBJECT, 1), ([""], 1)),
+    "identity.organizer": ((ORGANIZER, 2), (ORGANIZER, 2), (_EDITIONS, 1)),
+    "facts.published_at": ((["2026-06-01", "2024年1月1日", "", "unreadable"], 1), (STATUS, 5), (["", "", "2026", "2024"], 1)),
+    "facts.registration_start": ((["2026年5月1日", "", "2026年12月1日", "soon"], 3), (DATES, 3), (_EDITIONS, 1)),
+    "facts.registration_end": ((["2026年7月1日", "", "2026年6月1日", "2026年7月2日"], 1), (DATES, 3), (_EDITIONS, 2)),
+    "facts.competition_start": ((["2026年7月25日", "", "", "2026年8月30日"], 1), (DATES, 3), (_EDITIONS, 3)),
+    "facts.competition_end": ((["2026年8月2日", "", "2026/8/3", ""], 3), (DATES, 3), (_EDITIONS, 1)),
+    "facts.team_requirement": ((TEAM, 1), (TEAM, 1), (_EDITIONS, 2)),
+    "facts.fee": ((FEE, 3), (FEE, 3), (_EDITIONS, 3)),
+    "facts.competition_contents": ((SCOPE, 3), (SCOPE, 3), (_EDITIONS, 7)),
+}
+SURE = ["high", " Medium", "unsure", "low"]
+#: Events of a result: type, evidence and edition, each a list and its step.
+HAPPENED = [
+    ((["registration_opened"], 1), (STATUS, 5), (_EDITIONS, 3)),
+    ((["competition_finished", "competition_started", "competition_previewed", "registration_closed", "competition_upcoming", "problem_released", "moon_landing", "registration_announced", "rules_released"], 1), (STATUS + PROBLEM[:3], 5), (["2026", "", "2026年"], 1)),
+    ((["competition_upcoming", "registration_opened", "registration_closed"], 2), (STATUS, 5), (["2026", ""], 1)),
+    ((["registration_deadline_changed"], 1), (DATES, 3), (["", "2026"], 1)),
+    ((["problem_released", "competition_started", "competition_previewed"], 1), (PROBLEM + STATUS, 5), (["2026"], 1)),
+]
+
+
+def _moved(values: list[str], times: int, every: int) -> Column:
+    """Picked as the page picks it, but for every some pages, of which it is another phrase."""
+    return F.when(F.pmod("o_orderkey", F.lit(every)) == 0, pick(values, times, 1)).otherwise(pick(values, times))
+
+
+def _moved_sql(values: list[str], times: int, every: int) -> str:
+    return f"CASE WHEN o_orderkey % {every} = 0 THEN {picked(values, times, 1)} ELSE {picked(values, times)} END"
+
+
+def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (id, title, text, url, published_at_raw) with ``raw``, the JSON of what a model says of each.
+
+    Some say a fact as plain text, some are of another version or kind, some go on after the value.
+    """
+    rows = pages(spark, sf_dir).withColumn("o_orderkey", F.col("id"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    plain = F.pmod("o_orderkey", F.lit(17)) == 0
+    struct = lambda v, e, ed: F.struct(v.alias("value"), e.alias("evidence"), ed.alias("edition"), pick(SURE).alias("confidence"))
+    facts = {f: F.when(plain, quoted(pick(*v))).otherwise(F.to_json(struct(pick(*v), _moved(*e, 5), pick(*ed)))) for f, (v, e, ed) in SAID.items()}
+    part = lambda prefix: F.concat_ws(",", *(F.concat(F.lit(f'"{f.split(".")[1]}":'), c) for f, c in facts.items() if f.startswith(prefix)))
+    events = F.to_json(F.array(*(F.struct(pick(*k).alias("type"), _moved(*e, 7).alias("evidence"), pick(*ed).alias("edition"), pick(SURE).alias("confidence")) for k, e, ed in HAPPENED)))
+    version = F.when(F.pmod("o_orderkey", F.lit(31)) == 0, "v4").otherwise("competition-audit-v10")
+    kind = F.when(F.pmod("o_orderkey", F.lit(29)) == 0, "diary").otherwise("official_announcement")
+    raw = F.concat(
+        F.lit('{"schema_version":'), quoted(version), F.lit(',"document_type":'), quoted(kind), F.lit(',"source_role":"official_primary","computer_related":true,"competition_announcement":true,"fit_score":'), (F.pmod(F.col("o_orderkey") * 7, F.lit(131)) - 10).cast("string"),
+        F.lit(',"recommendation":'), facts["recommendation"], F.lit(',"identity":{'), part("identity."), F.lit('},"facts":{'), part("facts."), F.lit('},"events":'), events, F.lit("}"), F.when(F.pmod("o_orderkey", F.lit(53)) == 0, " {}").otherwise(""),
+    )
+    return rows.select("id", "title", "text", "url", F.col("published").alias("published_at_raw"), "trust", raw.alias("raw"))
+
+
+def _said_sql() -> str:
+    sure = f"lower(trim({picked(SURE)}))"
+    fact = lambda f, v, e, ed: f"struct_pack(field := '{f}', value := trim({picked(*v)}), evidence := CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE trim({_moved_sql(*e, 5)}) END, edition := CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE trim({picked(*ed)}) END, confidence := CASE WHEN o_orderkey % 17 <> 0 AND {sure} IN ('high', 'medium') THEN {sure} ELSE 'low' END)"
+    return ", ".join(fact(f, *x) for f, x in SAID.items())
+
+
+def _events_sql() -> str:
+    return ", ".join(f"struct_pack(type := {picked(*k)}, evidence := trim({_moved_sql(*e, 7)}), edition := trim({picked(*ed)}))" for k, e, ed in HAPPENED)
+
+
+MODEL_SQL = rf"""(SELECT id, title, text, url, published AS published_at_raw, trust, trim(regexp_replace(title || ' ' || text, '\s+', ' ', 'g')) AS body,
+  CASE WHEN id % 53 = 0 THEN 'invalid json' WHEN id % 31 = 0 THEN 'unsupported ai schema version "v4"' WHEN id % 29 = 0 THEN 'invalid document_type "diary"' END AS error,
+  CASE WHEN id % 53 <> 0 THEN least(100, greatest(0, id * 7 % 131 - 10)) ELSE 0 END AS fit_score, [{_said_sql()}] AS facts, [{_events_sql()}] AS events FROM {PAGES_SQL})"""
+
+
+def model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules found on the same pages: a range of days on every third, another one on the others."""
+    rows = pages(spark, sf_dir).withColumn("o_orderkey", F.col("id"))
+    day = F.pmod("id", F.lit(3)) == 0
+    at = lambda d: F.lit(f"2026-{d} 00:00:00").cast("timestamp")
+    fact = F.struct(F.lit("2026年7月25日").alias("value"), F.lit("2026年7月25日").alias("raw"), F.lit("比赛时间：2026年7月25日至26日").alias("evidence"), F.lit("2026").alias("edition"), F.col("url").alias("source_url"), F.lit("high").alias("confidence"), at("06-01").alias("observed_at"))
+    return rows.select(
+        "id", F.col("title").alias("name"), F.lit("rules").alias("organizer"), "trust", F.lit("rules").alias("content"), (F.pmod("id", F.lit(60))).cast("int").alias("fit_score"), pick(FIT, 3).alias("fit_reason"),
+        F.lit("rules").alias("team_requirement"), F.lit("rules").alias("fee"), F.lit("rules").alias("fee_evidence"), F.lit("rules").alias("eligibility_note"), F.lit("unknown").alias("registration_phase"), F.lit("unknown").alias("competition_phase"), F.lit("").alias("status"), F.lit("").alias("status_evidence"),
+        *(F.lit(None).cast("timestamp").alias(c) for c in ("registration_start", "registration_end")), F.lit("").alias("registration_start_raw"), F.lit("").alias("registration_end_raw"),
+        at("07-25").alias("competition_start"), F.lit("2026年7月25日").alias("competition_start_raw"), F.when(day, at("07-26")).otherwise(at("08-01")).alias("competition_end"), F.when(day, "26日").otherwise("8月1日").alias("competition_end_raw"),
+        F.create_map(F.lit("competition_start"), fact).alias("facts"), (F.pmod("id", F.lit(13)) == 0).alias("problem_released"),
+    )
