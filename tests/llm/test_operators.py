@@ -371,3 +371,31 @@ def test_prefix_pairs_lose_none(spark):
         want = {(i, j) for j in range(len(texts)) for i in range(j) if roots[i] != roots[j] and order_minhash.similarity(shingles[i], shingles[j]) >= 0.8}
         assert len(got) == len(found) and want <= got
         assert len(got) < 3 * len(want)
+
+
+@pytest.mark.parametrize("inner", ['<section class="social-history">', '<div class="search-engines">', '<section id="related-work">', '<section id="form-factors">', '<p id="notice">', '<div class="advert-free">'])
+def test_article_parts_of_unlucky_names(inner):
+    """A name that holds one word of a menu or a notice beside a subject leaves nothing out."""
+    said = "This sentence of the article is long enough to speak for its container. "
+    tag = inner[1:].split()[0]
+    page = f"<body><nav>Home News</nav><article><h1>Title</h1><p>{said * 2}</p>{inner}Inner {said}</{tag}></article><div class='cookie-notice'>We use {said}</div><ul class='social-links'><li>Share {said}</li></ul></body>"
+    assert page_text.main_text(page, None).split("\n\n") == ["Title", (said * 2).strip(), f"Inner {said}".strip()]
+
+
+def test_page_of_short_blocks():
+    assert page_text.main_text("<body><div>Short one.</div><div>Short two.</div></body>", None) == "Short one.\n\nShort two."
+    assert page_text.main_text("<body><nav>Home</nav><div>A</div><table><tr><td>B</td><td>C</td></tr></table><footer>end</footer></body>", None) == "A\n\nB\n\nC"
+
+
+def test_generated_pages():
+    """Articles with known text among menus, notices, adverts and comments, in several arrangements."""
+    rng = random.Random(6)
+    names = ["social-history", "search-engines", "form-factors", "related-work", "notice-of-meeting", "promotion-rules", "menu-planning", "comment-on-rulings", ""]
+    for _ in range(400):
+        words = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "and", "of"]) for _ in range(k))
+        blocks = [words(rng.choice([3, 12, 30])) for _ in range(rng.randrange(2, 7))]
+        inner = "".join(rng.choice(["<p>%s</p>", f'<section class="{rng.choice(names)}"><p>%s</p></section>', '<p id="notice">%s</p>', "<h2>%s</h2>"]) % b for b in blocks)
+        body = f"<article>{inner}</article>" if rng.random() < 0.6 else f'<div class="post-content">{inner}</div>'
+        noise = [f"<nav>{words(9)}</nav>", f'<div class="ad-box">{words(40)}</div>', f'<aside>{words(30)}</aside>', f'<div id="cookie-banner">{words(20)}</div>', f'<div class="comments"><p>{words(25)}</p></div>', f"<footer>{words(12)}</footer>"]
+        page = f"<html><body>{noise[0]}{noise[1]}{body}{''.join(rng.sample(noise[2:], 3))}</body></html>"
+        assert page_text.main_text(page, None) == "\n\n".join(blocks), page

@@ -2,19 +2,24 @@
 
 Every page's containers are scored by the running text below them against all
 text below them, and the best one's generalised tag-class path is the page's
-vote.  Spark counts the votes of each host; pages are then extracted again from
+vote, widened to what stands around it without further links.  Spark counts the votes of each host; pages are then extracted again from
 the containers at their host's winning path.  A page without such a container,
 or whose own best container scores more than ``OVERRULE`` times as much, keeps
 its own choice.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are left out wherever they stand: by element name,
-by a ``hidden`` attribute or a role, by the words of class and id values, and
-comments also by their heading.  A form, or an element that only a word of its
+by a ``hidden`` attribute or a role, by class and id values, and comments also by
+their heading.  A class or id counts if all of its words are of such elements or
+usual beside them (``social-links``, not ``social-history``), and an id of a
+paragraph, heading or section is a place to jump to and doesn't count.  A form, or an element that only a word of its
 class or id leaves out, stays if it holds most of the page's running text and,
 where the page has any, a main heading, article or main element (of comments:
 a main heading), so a page in one wrapper of an unlucky name keeps its article.
 
+Where no block of a page is long enough to speak for a container, all of the page's
+blocks are its text.
+
 Reading takes time in proportion to the page, however deep its elements nest.
 
 Edge cases: null or empty html gives the empty text; markup errors (unclosed or
@@ -61,6 +66,15 @@ LEFT_OUT_WORDS = frozenset(
     "recommended recommendations widget pagination pager skip search form".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond responses disqus discussion discussions guestbook voices".split())
+#: Words that may stand beside those above in a name; with any other word it names a subject (``social-history``).
+BESIDE_WORDS = frozenset(
+    "box bar area wrap wrapper container block blocks list item items link links button buttons btn icon icons main top bottom left right "
+    "site page global primary secondary post posts article articles story stories news content inner outer section panel row group unit slot zone "
+    "region module body text title logo image img mobile desktop sticky fixed inline user reader the your our my us here more all new latest popular "
+    "toggle tools form input field fields div id js css ui app tag tags category categories meta author bio message info warning policy".split()
+)
+#: Elements whose id is a place to jump to, not what they are.
+ANCHORED = frozenset("p section h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure table".split())
 #: Words beside which a name tells of a page's arrangement, not of the element.
 ARRANGEMENT_WORDS = frozenset("with without has have no layout grid columns col cols free theme".split())
 #: Headings of reader comments.
@@ -97,6 +111,7 @@ class Element:
     until: int = 0  # and elements up to here
     weight: int = 0
     chars: int = 0
+    linked: int = 0
     heads: int = 0  # main headings in it,
     marks: int = 0  # and those, articles and main elements
     out: bool = False
@@ -111,8 +126,9 @@ def _named_words(value: str) -> set[str]:
     found: set[str] = set()
     for name in value.split():
         words = {w.lower() for w in _WORD.findall(name)}
-        if words.isdisjoint(ARRANGEMENT_WORDS):
-            found |= words
+        known = words & (LEFT_OUT_WORDS | COMMENT_WORDS)
+        if words.isdisjoint(ARRANGEMENT_WORDS) and words - known <= BESIDE_WORDS:
+            found |= known
     return found
 
 
@@ -124,7 +140,7 @@ def _label(tag: str, attributes: str) -> tuple[str, str | None]:
         if name == "hidden" or name == "role" and value.strip().lower() in LEFT_OUT_ROLES:
             reason = CERTAIN
         elif name in ("class", "id"):
-            words |= _named_words(value)
+            words |= _named_words(value) if name == "class" or tag not in ANCHORED else set()
             if name == "class":
                 names = ".".join(sorted(re.sub(r"\d+", "", value.lower()).split()))
     if reason is None and not words.isdisjoint(COMMENT_WORDS):
@@ -146,7 +162,7 @@ class PageReader:
         self.elements = [Element("body", _below(b"", "body"), None, None, 0, 0)]
         self.stack = [self.elements[0]]
         self.open = Counter()
-        self.blocks: list[tuple[str, int, Element]] = []
+        self.blocks: list[tuple[str, int, int, Element]] = []
         self.pieces: list[str] = []
         self.links = self.open_links = 0
         at, last = 0, page.rfind(">") + 1  # behind it nothing is markup
@@ -188,7 +204,7 @@ class PageReader:
             above = top.owner
             if above is not None and above.owner is not None and above.first == len(self.blocks) and above.reason is None and COMMENT_HEADING.fullmatch(block):
                 above.reason = COMMENTS
-        self.blocks.append((block, weight, top))
+        self.blocks.append((block, weight, links, top))
 
     def close(self, depth: int) -> None:
         """End the open elements from ``depth`` on."""
@@ -244,14 +260,17 @@ class PageReader:
     def add_up(self) -> None:
         """Weights, lengths and main headings of all elements from the blocks below them."""
         for e in self.elements:
-            e.weight = e.chars = 0
-        for block, weight, top in self.blocks:
+            e.weight = e.chars = e.linked = 0
+        for block, weight, links, top in self.blocks:
             top.chars += len(block)
-            top.weight += 0 if top.out else weight
+            if not top.out:
+                top.weight += weight
+                top.linked += links
         for e in reversed(self.elements):
             if e.owner is not None:
                 e.owner.chars += e.chars
                 e.owner.weight += e.weight
+                e.owner.linked += e.linked
 
     def settle(self) -> None:
         """Decide which elements are left out, then count what is left."""
@@ -269,8 +288,16 @@ class PageReader:
         self.containers = [e for e in self.elements if e.tag in CONTAINERS and not e.out]
 
     def best(self) -> Element:
-        """The container of the greatest score; of equal ones the last begun."""
-        return max(reversed(self.containers), key=Element.score)
+        """The container of the greatest score; of equal ones the last begun.  Where nothing speaks, the whole page."""
+        found = max(reversed(self.containers), key=Element.score)
+        return self.widened(found) if found.weight else self.elements[0]
+
+    def widened(self, found: Element) -> Element:
+        """The outermost element, below the page's, that holds no more links than ``found``: its other blocks are short parts of the text."""
+        above = found.owner
+        while found.tag not in ("article", "main") and above is not None and above.owner is not None and above.tag in CONTAINERS and not above.out and above.linked == found.linked:
+            found, above = above, above.owner
+        return found
 
     def at(self, path: bytes) -> list[Element]:
         """Outermost containers at a path, in page order."""
@@ -281,7 +308,7 @@ class PageReader:
         return found
 
     def blocks_of(self, element: Element) -> list[str]:
-        return [block for block, _, top in self.blocks[element.first : element.last] if not top.out]
+        return [block for block, _, _, top in self.blocks[element.first : element.last] if not top.out]
 
 
 def vote(page: str | None) -> tuple[bytes | None, float]:
