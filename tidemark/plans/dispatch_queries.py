@@ -43,9 +43,9 @@ def committed_events(spark: SparkSession, d: str) -> DataFrame:
     return _committed(spark, d)[0]
 
 
-@query(f"SELECT DISTINCT user_id, id, event_type, event_key, CASE WHEN user_id % 4 = 0 THEN 'sent' ELSE 'pending' END AS status FROM {_M} WHERE user_id % 4 = 0 OR id % 3 <> 0")
+@query(f"SELECT DISTINCT user_id, id, event_type, event_key, due_at, delivery_group, CASE WHEN user_id % 4 = 0 THEN 'sent' ELSE 'pending' END AS status FROM ({ORACLES['event_dispatch']}) WHERE user_id % 4 = 0 OR id % 3 <> 0")
 def committed_outbox(spark: SparkSession, d: str) -> DataFrame:
-    return _committed(spark, d)[1].drop("due_at", "delivery_group")
+    return _committed(spark, d)[1].withColumn("due_at", F.unix_timestamp("due_at"))
 
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:

@@ -319,11 +319,11 @@ def research_plan(spark: SparkSession, d: str) -> DataFrame:
     return research.research_plan(gaps, states, fx.now(), 50)
 
 
-@query("""SELECT doc_id, CASE WHEN q = 1 THEN CASE WHEN s >= 6 THEN 'high' WHEN s >= 4 THEN 'medium' ELSE 'low' END WHEN q = 0 THEN CASE WHEN s >= 4 THEN 'medium' ELSE 'low' END ELSE 'low' END AS confidence FROM (SELECT d.doc_id, l.quality AS q, CASE l.quality WHEN 1 THEN 3 WHEN 0 THEN 2 ELSE 0 END + CASE WHEN length(trim(left(d.text, 12))) >= 8 THEN 2 ELSE 0 END + CASE WHEN d.doc_id % 2 = 0 THEN 1 ELSE 0 END + 1 AS s FROM documents d LEFT JOIN labels l USING (doc_id))""")
+@query("""SELECT doc_id, CASE WHEN q = 1 THEN CASE WHEN s >= 6 THEN 'high' WHEN s >= 4 THEN 'medium' ELSE 'low' END WHEN q = 0 THEN CASE WHEN s >= 4 THEN 'medium' ELSE 'low' END ELSE 'low' END AS confidence FROM (SELECT d.doc_id, l.quality AS q, CASE l.quality WHEN 1 THEN 3 WHEN 0 THEN 2 ELSE 0 END + CASE WHEN length(trim(d.text)) >= 8 THEN 2 ELSE 0 END + CASE WHEN d.doc_id % 2 = 0 THEN 1 ELSE 0 END + 1 AS s FROM documents d LEFT JOIN labels l USING (doc_id))""")
 def fact_confidence(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "documents").join(fx.table(spark, d, "labels"), "doc_id", "left")
     trust = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "medium").otherwise("low")
-    sure = lifecycle.fact_confidence(trust, F.left("text", F.lit(12)), F.when(F.col("doc_id") % 2 == 0, "2026"), F.lit("2026-01-01"))
+    sure = lifecycle.fact_confidence(trust, F.col("text"), F.when(F.col("doc_id") % 2 == 0, "2026"), F.lit("2026-01-01"))
     return rows.select("doc_id", sure.alias("confidence"))
 
 

@@ -50,8 +50,8 @@ def user_sets(spark: SparkSession, d: str) -> DataFrame:
     return records.user_sets(fx.audience(spark, d).select("user_id"), child, "kinds", "event_type").select("user_id", F.array_join("kinds", ",").alias("kinds"))
 
 
-@query(f"""SELECT id, 'competition_end' AS field, CASE WHEN id % 2 = 0 THEN 'unresolved' ELSE 'retryable' END AS status, CAST(CASE WHEN id % 2 = 0 THEN 4 ELSE 3 END AS INTEGER) AS attempts FROM {_E} WHERE competition_end IS NULL
-UNION ALL SELECT id, 'registration_end', 'resolved', CAST(1 AS INTEGER) FROM {_E} WHERE registration_end IS NULL AND id % 4 <> 0""")
+@query(f"""SELECT id, 'competition_end' AS field, CASE WHEN id % 2 = 0 THEN 'unresolved' ELSE 'retryable' END AS status, CAST(CASE WHEN id % 2 = 0 THEN 4 ELSE 3 END AS INTEGER) AS attempts, CAST(epoch(TIMESTAMP '{fx.NOW}' + CASE WHEN id % 2 = 0 THEN INTERVAL 72 HOUR ELSE INTERVAL 0 HOUR END) AS BIGINT) AS next_retry_at FROM {_E} WHERE competition_end IS NULL
+UNION ALL SELECT id, 'registration_end', 'resolved', CAST(1 AS INTEGER), CAST(NULL AS BIGINT) FROM {_E} WHERE registration_end IS NULL AND id % 4 <> 0""")
 def research_attempts(spark: SparkSession, d: str) -> DataFrame:
     gaps = research.evidence_gaps(fx.entities(spark, d))
     ends = gaps.where("field = 'competition_end'")
@@ -60,7 +60,7 @@ def research_attempts(spark: SparkSession, d: str) -> DataFrame:
     # a resolved attempt with a retry time is against the rules
     wrong = F.when(F.col("id") % 4 == 0, fx.now())
     other = gaps.where("field = 'registration_end'").select("id", "field", F.lit("resolved").alias("status"), wrong.alias("next_retry_at"))
-    return records.record_attempts(states, tried.unionByName(other)).select("id", "field", "status", "attempts")
+    return records.record_attempts(states, tried.unionByName(other)).select("id", "field", "status", "attempts", F.unix_timestamp("next_retry_at").alias("next_retry_at"))
 
 
 _P = "(SELECT conv_id, role AS kind, length(text) % 5 <> 0 AS ok, contains(text, 'the') AS flag, length(text) % 101 AS score, CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS place FROM conversations)"
