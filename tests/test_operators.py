@@ -1,6 +1,6 @@
 """Operators on small tables, where the fixtures don't reach a case."""
 
-from tidemark.operators import consensus, match, resolve
+from tidemark.operators import consensus, health, match, resolve
 
 
 def test_identity_of_contained_names(spark):
@@ -75,3 +75,17 @@ def test_fact_consensus(spark):
     assert got == {d: w for d, w in want.items() if w is not None}
     torn = {d for d, w in got.items() if w[2]}
     assert torn and {r.doc for r in consensus.withhold_lifecycle(facts).collect()} == set(got) - torn
+
+
+def test_alerts_remember_the_last_one(spark):
+    """Three failures alert, the same count again doesn't, and after a success three more do."""
+    rows = lambda *x: spark.createDataFrame([("s", i, k) for i, k in x] + [("t", 1, 4)], "source string, at int, streak long")
+    first = rows((1, 1), (2, 2), (3, 3))
+    shown = lambda df: sorted((r.source, r.at) for r in df.collect())
+    assert shown(health.alerts(first, "source", ["at"], 3)) == [("s", 3), ("t", 1)]
+    told = health.alerted_counts(first, "source", ["at"], 3)
+    assert shown(health.alerts(rows((4, 3)), "source", ["at"], 3, alerted=told)) == []
+    assert shown(health.alerts(rows((4, 4)), "source", ["at"], 3, alerted=told)) == [("s", 4)]
+    again = rows((4, 0), (5, 1), (6, 2), (7, 3))
+    assert shown(health.alerts(again, "source", ["at"], 3, alerted=told)) == [("s", 7)]
+    assert sorted(map(tuple, health.alerted_counts(rows((4, 0)), "source", ["at"], 3, told).collect())) == [("t", 4)]

@@ -40,10 +40,28 @@ def place_of(alias: str, order: list[str]) -> Column:
     return F.struct(*(F.col(f"{alias}.{c}") for c in order))
 
 
-def alerts(streaks: DataFrame, source: str, order: list[str], least: int, once: bool = False) -> DataFrame:
-    """Entries that raise an alert: the streak is long enough and longer than the last one alerted.
+def alerts(streaks: DataFrame, source: str, order: list[str], least: int, once: bool = False, alerted: DataFrame | None = None) -> DataFrame:
+    """Entries that raise an alert: the streak is long enough.
 
-    A growing outage alerts again at every entry; ``once`` gives one for each outage.
+    A growing outage alerts again at every entry; ``once`` gives one for each
+    outage.  With ``alerted`` (the source, ``streak``: the count last told of and not
+    yet recovered from), an entry must also be longer than that; a success in
+    ``streaks`` forgets it for what follows.
     """
     due = F.col("streak") == least if once else F.col("streak") >= least
-    return streaks.where(due)
+    if alerted is None:
+        return streaks.where(due)
+    recovered = streaks.where("streak = 0").groupBy(F.col(source).alias("_of")).agg(F.min(F.struct(*order)).alias("_recovered"))
+    told = alerted.select(F.col(source).alias("_told_of"), F.col("streak").alias("_told"))
+    met = streaks.join(recovered, F.col(source).eqNullSafe(F.col("_of")), "left").join(told, F.col(source).eqNullSafe(F.col("_told_of")), "left")
+    fresh = F.col("_told").isNull() | (F.struct(*order) > F.col("_recovered")) | (F.col("streak") > F.col("_told"))
+    return met.where(due & F.coalesce(fresh, F.lit(False))).select(*streaks.columns)
+
+
+def alerted_counts(streaks: DataFrame, source: str, order: list[str], least: int, alerted: DataFrame | None = None) -> DataFrame:
+    """Rows (source, streak) for the next run: the last alerted count of outages that still go on."""
+    last = streaks.groupBy(source).agg(F.max_by("streak", F.struct(*order)).alias("streak"))
+    now = last.where(F.col("streak") >= least)
+    if alerted is None:
+        return now
+    return now.unionByName(alerted.select(source, "streak").join(last.select(source), source, "left_anti"))
