@@ -162,3 +162,15 @@ def test_urls_of_other_spellings(spark):
     safe = {"http://localhost./": False, "http://a.localhost.": False, "http://e.com:0/": False, "http://e.com:99999/": False, "http://e.com:443/": True, "https://e.com.": True, "http://[::1]:80/": False, "HTTPS://e.com": True}
     rows = spark.createDataFrame(list(safe.items()), "url string, want boolean")
     assert [r.url for r in rows.withColumn("got", urls.public_url(F.col("url"))).collect() if r.got != r.want] == []
+
+
+def test_links_of_a_page(spark):
+    """What a reference means on its page, and which links count."""
+    base = "https://e.com/a/b/c?q=1#f"
+    cases = {"d": "/a/b/d", "./d": "/a/b/d", "../d?x=1": "/a/d?x=1", "../../../d": "/d", "/x/./y/..": "/x/", "?z": "/a/b/c?z", "#g": "/a/b/c?q=1#g", "": "/a/b/c?q=1", "d/": "/a/b/d/"}
+    rows = spark.createDataFrame([(k, "https://e.com" + v) for k, v in cases.items()] + [("//o.org/x", "https://o.org/x"), ("mailto:a@b", "mailto:a@b"), ("HTTP://O.org", "HTTP://O.org")], "href string, want string")
+    assert [(r.href, r.got) for r in rows.withColumn("got", urls.resolved(F.lit(base), F.col("href"))).collect() if r.got != r.want] == []
+    html = '<a href="/rel?utm_a=1">比赛报名 one</a><a href="http://127.0.0.1/x">private one</a><a href="/für">words</a><a href="/rel">the same again</a><a href="javascript:x">script link</a>'
+    pages = spark.createDataFrame([(1, base, html), (2, None, html)], "page_id long, url string, html string")
+    got = scoring.candidates(pages, scoring.FIELD, 10).orderBy("page_id", "place").collect()
+    assert [(r.page_id, r.place, r.url) for r in got] == [(1, 1, "https://e.com/a/b/c?q=1"), (1, 2, "https://e.com/rel"), (1, 3, "https://e.com/f%C3%BCr")]

@@ -46,11 +46,55 @@ def _parameters(query: Column) -> Column:
     return F.array_compact(F.transform(parts, read))
 
 
+#: What a path may hold as it is, and what stays when it is encoded anew.
+PATH_AS_IT_IS, PATH_KEPT = r"^[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]/%]*$", "$&+,/:;=@"
+
+
+def encoded_path(path: Column) -> Column:
+    """A path with percent escapes: as it is if it may be, else decoded and encoded anew."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    out = F.url_encode(plain)
+    for coded, character in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), *((f"%{ord(c):02X}", c) for c in PATH_KEPT)):
+        out = F.replace(out, F.lit(coded), F.lit(character))
+    return F.when(path.rlike(PATH_AS_IT_IS), path).otherwise(out)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    step = lambda kept, p: F.when(p == "..", F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)).when(p == ".", kept).otherwise(F.concat(kept, F.array(p)))
+    joined = lambda kept: F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.aggregate(parts, none, step, joined)).otherwise(path)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """The address that ``href`` means on the page ``base``; null where the base isn't absolute."""
+    page = F.regexp_replace(F.trim(base), "#.*$", "")
+    place = F.substring_index(page, "?", 1)
+    origin = F.regexp_extract(place, "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
+    link, fragment = F.regexp_extract(href, "^[^#]*", 0), F.regexp_extract(href, "#.*$", 0)
+    path, query = F.substring_index(link, "?", 1), F.regexp_extract(link, r"\?.*$", 0)
+    folder = F.regexp_replace(F.substr(place, F.char_length(origin) + 1), "[^/]*$", "")
+    below = F.concat(F.when(folder == "", "/").otherwise(folder), path)
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(origin == "", None)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(origin, "^[^/]*", 0), href))
+        .when(F.startswith(path, F.lit("/")), F.concat(origin, without_dots(path), query, fragment))
+        .when((path == "") & (query == ""), F.concat(page, fragment))
+        .when(path == "", F.concat(place, query, fragment))
+        .otherwise(F.concat(origin, without_dots(below), query, fragment))
+    )
+
+
 def _cleaned(url: Column) -> Column:
     base = F.regexp_replace(F.trim(url), "#.*$", "")
     whole = F.substring_index(base, "?", 1)
     scheme = F.regexp_extract(whole, "^[A-Za-z][A-Za-z0-9+.-]*:", 0)
-    head = F.concat(F.lower(scheme), F.regexp_replace(F.substr(whole, F.char_length(scheme) + 1), " ", "%20"))
+    rest = F.substr(whole, F.char_length(scheme) + 1)
+    authority = F.regexp_extract(rest, "^//[^/]*", 0)
+    head = F.concat(F.lower(scheme), authority, let(F.substr(rest, F.char_length(authority) + 1), encoded_path))
     kept = F.array_sort(F.filter(_parameters(_query(base)), lambda p: ~F.concat(p["key"], F.lit("=")).rlike(TRACKING)))
     encode = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     pairs = F.transform(kept, lambda p: F.concat(encode(p["key"]), F.lit("="), encode(p["value"])))

@@ -155,6 +155,22 @@ def distinct_candidates(spark: SparkSession, d: str) -> DataFrame:
     return records.first_by(links, ["href"], ["page_id", "pos"])
 
 
+#: Anchors of the pages lead to paths of their own site; the SQL reads no other kind, and takes pages on a text's number in nine as listings.
+_MEANT = "regexp_extract(trim(url), '^[a-z]+://[^/?#]*') || "
+_PATH_SQL = "CASE WHEN regexp_full_match(href, '[A-Za-z0-9_.~!$&''()*+,;=:@/%-]*') THEN href ELSE replace(replace(replace(replace(replace(replace(replace(replace(replace(url_encode(href), '%24', '$'), '%26', '&'), '%2B', '+'), '%2C', ','), '%2F', '/'), '%3A', ':'), '%3B', ';'), '%3D', '='), '%40', '@') END"
+
+
+@query(f"""WITH own AS (SELECT page_id, 0 AS place, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '[?].*$', '') || CASE WHEN contains(url, '?') THEN '?' || coalesce(list_aggregate(list_sort(list_filter(string_split(regexp_replace(regexp_replace(url, '#.*$', ''), '^[^?]*[?]', ''), '&'), lambda p: NOT regexp_matches(p, '^(utm_|spm=|from=|source=)'))), 'string_agg', '&'), '') ELSE '' END AS url, '' AS title FROM pages WHERE page_id % 9 <> 0),
+links AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, pos) AS place, {_MEANT}{_PATH_SQL} AS url, title FROM (SELECT l.* EXCLUDE (priority), p.url, {' + '.join(f"10 * CAST(contains(lower(title), '{t.lower()}') AS INTEGER)" for t in scoring.FIELD.link_up)} - 20 * ({' + '.join(f"CAST(contains(lower(title), '{t.lower()}') AS INTEGER)" for t in scoring.FIELD.link_down)}) AS priority FROM ({_LINKS}) l JOIN pages p USING (page_id))),
+top AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS n FROM (SELECT * FROM own UNION ALL SELECT * FROM links)),
+once AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY n) AS turn FROM top WHERE n <= 5)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) AS BIGINT) AS place, rtrim(url, '?') AS url, title FROM once WHERE turn = 1""")
+def page_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.table(spark, d, "pages").withColumn("listing", F.col("page_id") % 9 == 0)
+    found = scoring.candidates(rows, scoring.FIELD, 5, listing="listing")
+    return found.select("page_id", F.col("place").cast("long").alias("place"), "url", "title")
+
+
 _BASELINE = f"(SELECT source_id, url, any_value(CASE WHEN id % 10 = 0 THEN 'x' ELSE content_hash END) AS last_hash, any_value(version) AS version FROM (SELECT id, source_id, 'doc/' || id AS url, content_hash, version FROM {_O}) WHERE id % 2 = 0 GROUP BY source_id, url)"
 
 
