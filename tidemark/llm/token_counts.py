@@ -38,8 +38,10 @@ MEMO_PIECE = 64
 #: White space other than the space and the line feed.
 _ODD_SPACE = re.compile(r"[^\S \n]")
 #: Text in which Python's and the tokenizer's letter classes agree.
-_LATIN = re.compile("[\x00-ɏ]*\\Z")
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LATIN = _LATIN = re.compile("[\x00-ɏ]*\\Z")
+#: Fixed value: how a byte-level tokenizer cuts a text.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PRE_TOKEN = regex.compile(PRE_TOKENS)
 
 
 def byte_alphabet() -> dict[str, int]:
