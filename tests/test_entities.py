@@ -175,7 +175,7 @@ def test_fold_goes_on_from_an_earlier_one(spark):
 
 def test_one_huge_component(spark):
     """Two thirds of all rows tell of one page; what is held is its entity."""
-    n = 6_000
+    n = 3_000
     base = spark.range(1, n + 1).select("id", (F.lit(NOW) + F.make_interval(secs=F.col("id"))).alias("seen_at"), F.lit("s").alias("source_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("entity_key"))
     base = base.withColumns({"name": F.when(F.col("id") % 3 > 0, "the hot spring cup").otherwise(F.sha2(F.col("id").cast("string"), 256)), "official_url": F.concat(F.lit("https://x.org/"), "entity_key"), "trust": F.lit("high")})
     entities, steps, _ = upsert.fold(base)

@@ -20,11 +20,6 @@ def labelled_bigrams(name: Column) -> Column:
     return let(bigrams(name), number)
 
 
-def dice(left: Column, right: Column) -> Column:
-    shared = F.size(F.array_intersect(labelled_bigrams(left), labelled_bigrams(right)))
-    return F.round(2.0 * shared / (F.char_length(left) + F.char_length(right) - 2), 6)
-
-
 def _names(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(F.col(name).alias("name")).where("name is not null").distinct()
 
@@ -38,15 +33,21 @@ def dice_pairs(names: DataFrame, name: str = "name", least: float = DICE) -> Dat
     names have blocks pairs of names only that have little else; no pair is lost.
     """
     share = least / (2 - least)  # of the longer one's bigrams, those that the shorter must have
-    grams = _names(names, name).where(F.char_length("name") > 1).select("name", (F.char_length("name") - 1).alias("size"), F.explode(labelled_bigrams(F.col("name"))).alias("gram"))
+    labelled = _names(names, name).where(F.char_length("name") > 1).select("name", (F.char_length("name") - 1).alias("size"), labelled_bigrams(F.col("name")).alias("grams"))
+    grams = labelled.select("name", "size", F.explode("grams").alias("gram"))
     held = grams.groupBy("gram").agg(F.count("*").alias("held"))
     place = F.row_number().over(Window.partitionBy("name").orderBy("held", "gram"))
     front = grams.join(held, "gram").withColumn("place", place).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1) & (F.col("held") > 1))
-    left = front.select("gram", F.col("name").alias("left_name"), F.col("size").alias("a"))
-    right = front.select("gram", F.col("name").alias("right_name"), F.col("size").alias("b"))
-    met = left.join(right, "gram").where((F.col("left_name") < F.col("right_name")) & (F.least("a", "b") >= share * F.greatest("a", "b") - 1e-9))
-    pairs = met.select("left_name", "right_name").distinct()
-    return pairs.withColumn("dice", dice(F.col("left_name"), F.col("right_name"))).where(F.col("dice") >= least)
+    left = front.select("gram", F.col("name").alias("left_name"), F.col("size").alias("a"), F.col("place").alias("i"))
+    right = front.select("gram", F.col("name").alias("right_name"), F.col("size").alias("b"), F.col("place").alias("j"))
+    # After the first shared bigram, no more can be shared than what is left of either.
+    reach = (F.least("a", "b") >= share * F.greatest("a", "b") - 1e-9) & (F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) + 1 >= least / 2 * (F.col("a") + F.col("b")) - 1e-9)
+    pairs = left.join(right, "gram").where((F.col("left_name") < F.col("right_name")) & reach).select("left_name", "right_name").distinct()
+    one, two = (labelled.select(F.col("name").alias(f"{side}_name"), F.col("grams").alias(f"{side}_grams")) for side in ("left", "right"))
+    met = pairs.join(one, "left_name").join(two, "right_name")
+    shared = F.size(F.array_intersect("left_grams", "right_grams"))
+    dice = F.round(2.0 * shared / (F.size("left_grams") + F.size("right_grams")), 6)
+    return met.select("left_name", "right_name", dice.alias("dice")).where(F.col("dice") >= least)
 
 
 def contained_pairs(names: DataFrame, name: str = "name") -> DataFrame:
