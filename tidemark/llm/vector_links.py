@@ -267,8 +267,8 @@ def oracle(threshold: float = THRESHOLD) -> str:
     return f"""
 WITH RECURSIVE able AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(list_filter(embedding, c -> isfinite(c))) = len(embedding)
-    AND list_count(list_filter(embedding, c -> c <> 0)) > 0),
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_count(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)
+    AND list_count(list_filter(embedding, lambda c: c <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= {threshold}),
