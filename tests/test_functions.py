@@ -31,6 +31,8 @@ def test_text(spark):
     assert one(spark, " a　 b ", text.normalize_space) == "a b"
     assert one(spark, "第十届 2026 比赛", text.edition) == "第十届"
     assert one(spark, "x。前面报名截止后面。y", lambda c: text.evidence_window(c, ["无", "截止"])) == "前面报名截止后面"
+    assert one(spark, "a longer sentence。\n截止 b", lambda c: text.evidence_window(c, ["截止"])) == "截止 b"  # a line end right before the marker
+    assert one(spark, "before it\n截止 b", lambda c: text.evidence_window(c, ["截止"])) == "截止 b"
     assert one(spark, "b,a;a，c", text.keyword_list) == ["a", "b", "c"]
     assert one(spark, "A long title | site", text.clean_title) == "A long title"
 

@@ -82,7 +82,7 @@ def evidence_at(c: Column, at: Column) -> Column:
     """The sentence part around the character position ``at``."""
     before = F.substring(c, F.greatest(at - EVIDENCE_BEFORE, F.lit(1)), F.least(F.lit(EVIDENCE_BEFORE), at - 1))
     after = F.substring(c, at, F.lit(EVIDENCE_SPAN))
-    return normalize_ends(F.concat(F.regexp_extract(before, f"([^{SENTENCE_ENDS}]*)$", 1), F.regexp_extract(after, f"^([^{SENTENCE_ENDS}]*)", 1)))
+    return normalize_ends(F.concat(F.regexp_extract(before, rf"([^{SENTENCE_ENDS}]*)\z", 1), F.regexp_extract(after, f"^([^{SENTENCE_ENDS}]*)", 1)))
 
 
 def normalize_ends(c: Column) -> Column:
