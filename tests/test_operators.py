@@ -1,5 +1,7 @@
 """Operators on small tables, where the fixtures don't reach a case."""
 
+import time
+
 from tidemark.operators import consensus, health, match, resolve
 
 
@@ -36,6 +38,16 @@ def test_quotes_of_any_length(spark):
     assert sorted((r.quote_id, r.text_id) for r in consensus.quoted(q, t).collect()) == want and len(want) == 6
 
 
+def test_quotes_in_a_long_text(spark):
+    """A text is split once, not once at each of its words; that took minutes for this one."""
+    words = [f"w{i % 7919}" for i in range(40_000)]
+    q = spark.createDataFrame([(1, " ".join(words[30_000:30_012])), (2, "w1 w2 w3 w5 w6")], "quote_id long, quote string")
+    t = spark.createDataFrame([(1, " ".join(words))], "text_id long, text string")
+    began = time.monotonic()
+    assert [tuple(r) for r in consensus.quoted(q, t).collect()] == [(1, 1)]
+    assert time.monotonic() - began < 45
+
+
 def plain_consensus(votes):
     """Votes of one field by a plain loop: value, edition, conflict and what was refused."""
     import re

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lifecycle import TRUST, rank
-from tidemark.functions.text import identity_norm, normalize_space
+from tidemark.functions.text import identity_norm, let, normalize_space
 from tidemark.operators.match import contained_forms
 
 
@@ -95,8 +95,8 @@ def quoted(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     short = q.where(F.size(words) < 5).select(F.col("quote_id").alias("key"), F.col("quote").alias("form"))
     q = q.where(F.size(words) >= 5).withColumn("key", F.array_join(F.slice(words, 2, 3), " "))
     t = texts.select("text_id", normalize_space(F.col("text")).alias("body"))
-    w = F.split("body", " ")
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
+    # a text is split once: inside the inner function it would be split anew at each of its words
+    keys = let(F.split("body", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))))
     found = t.select("text_id", F.explode(F.array_distinct(keys)).alias("key")).join(q.select("quote_id", "key"), "key").select("text_id", "quote_id").distinct()
     met = found.join(q.select("quote_id", "quote"), "quote_id").join(t, "text_id")
     long = met.where(F.contains("body", F.col("quote"))).select("quote_id", "text_id")
