@@ -21,6 +21,16 @@ def test_ranges(spark):
     assert one(spark, "2026年3月1日 24:00", dates.parse_date) == dt.datetime(2026, 3, 1, 23, 59)
 
 
+def test_dates_read_their_text_once(spark):
+    """Each date is matched once, not once for each of its parts at each use."""
+    for read in (dates.registration_dates, dates.competition_dates, dates.date_range):
+        plan = spark.range(1).select(F.lit("x").alias("said")).select(read(F.concat("said", F.lit("y"))))._jdf.queryExecution().analyzed().toString()
+        assert plan.splitlines()[0].count("said#") == 1, read
+    assert one(spark, "报名时间：2026年6月1日至9月19日", dates.registration_dates).end == dt.datetime(2026, 9, 19)
+    assert one(spark, "2026年2月1日 9时至3月2日", dates.date_range) == (dt.datetime(2026, 2, 1, 9), dt.datetime(2026, 3, 2))
+    assert one(spark, "2026年2月1日至2026年1月2日", dates.date_range) == (None, None) == one(spark, "", dates.date_range)
+
+
 def test_next_delivery(spark):
     now = F.lit("2026-08-03 01:30:00").cast("timestamp")
     due = spark.range(1).select(dates.next_delivery(now, F.lit("daily"), F.lit(8), F.lit(0), F.lit(1), F.lit("Asia/Shanghai")).alias("r")).first().r

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 #: A date with its year, one that may inherit its year, and their parts.
 TOKEN = r"20\d{2}\s*[年./-]\s*\d{1,2}\s*[月./-]\s*\d{1,2}\s*日?(?:\s*\d{1,2}\s*(?::|：|时)\s*\d{0,2}\s*分?)?"
 SHORT_TOKEN = r"(?:(?:20\d{2})\s*[年./-]\s*)?\d{1,2}\s*[月./-]\s*\d{1,2}\s*日?(?:\s*\d{1,2}\s*(?::|：|时)\s*\d{0,2}\s*分?)?"
@@ -33,8 +35,19 @@ CLAUSE_ENDS = "[。！？!?；;\n]"
 BACKOFF_FIRST, BACKOFF_MOST = 300, 86_400
 
 
-def _made(text: Column, pattern: str, year: Column, base: int = 1) -> Column:
-    part = lambda k: F.regexp_extract(text, pattern, base + k).try_cast("int")
+def _parts(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of the first match as one array; null where there's none."""
+    listed = ",".join(f"${k}" for k in range(1, groups + 1))
+    return let(F.regexp_extract(text, pattern, 0), lambda w: F.when(w != "", F.split(F.regexp_replace(w, pattern, listed), ",")))
+
+
+def _number(parts: Column, at: int) -> Column:
+    """A group as a number; null, without a failed cast (which is an exception inside), where it's empty."""
+    return F.nullif(F.get(parts, F.lit(at)), F.lit("")).try_cast("int")
+
+
+def _made(parts: Column, year: Column, base: int = 0) -> Column:
+    part = lambda k: _number(parts, base + k)
     hour, minute = F.coalesce(part(3), F.lit(0)), F.coalesce(part(4), F.lit(0))
     midnight = (hour == 24) & (minute == 0)
     h, m = F.when(midnight, 23).otherwise(hour), F.when(midnight, 59).otherwise(minute)
@@ -43,17 +56,21 @@ def _made(text: Column, pattern: str, year: Column, base: int = 1) -> Column:
 
 def parse_date(text: Column) -> Column:
     """The first explicit-year date as a timestamp; null where there's none or it isn't valid."""
-    return _made(text, DATE, F.regexp_extract(text, DATE, 1).try_cast("int"))
+    return let(_parts(text, DATE, 5), lambda p: _made(p, _number(p, 0)))
 
 
 def date_range(text: Column) -> Column:
     """Struct (start, end): both or neither; the end takes the start's year if it has none."""
-    pattern = DATE + BETWEEN + SHORT
-    start = _made(text, pattern, F.regexp_extract(text, pattern, 1).try_cast("int"))
-    year = F.coalesce(F.regexp_extract(text, pattern, 6).try_cast("int"), F.year(start))
-    end = _made(text, pattern, year, 6)
-    valid = start.isNotNull() & end.isNotNull() & (end >= start)
-    return F.struct(F.when(valid, start).alias("start"), F.when(valid, end).alias("end"))
+
+    def read(p: Column) -> Column:
+        start = _made(p, _number(p, 0))
+        return let(F.struct(start.alias("start"), _made(p, F.coalesce(_number(p, 5), F.year(start)), 5).alias("end")), ordered)
+
+    def ordered(r: Column) -> Column:
+        valid = r["start"].isNotNull() & r["end"].isNotNull() & (r["end"] >= r["start"])
+        return F.struct(F.when(valid, r["start"]).alias("start"), F.when(valid, r["end"]).alias("end"))
+
+    return let(_parts(text, DATE + BETWEEN + SHORT, 10), read)
 
 
 def day_start(ts: Column, zone: Column) -> Column:
@@ -85,25 +102,29 @@ def _span(start: Column, start_raw: Column, end: Column, end_raw: Column) -> Col
     return F.struct(start.alias("start"), start_raw.alias("start_raw"), end.alias("end"), end_raw.alias("end_raw"))
 
 
+def _trim(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def _dated(text: Column, between: str, first: str, last: str) -> Column:
     """Struct (start, start_raw, end, end_raw): a range if one is written, else the dates apart.
 
     The end of a range may inherit its year; a range that isn't valid gives no dates.
     """
     nothing = _span(*(F.lit(None).cast(t) for t in ("timestamp", "string", "timestamp", "string")))
-    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-    def ranged(left: Column, right: Column) -> Column:
-        start = parse_date(left)
-        end = F.coalesce(parse_date(right), _made(right, SHORT, F.coalesce(F.regexp_extract(right, SHORT, 1).try_cast("int"), F.year(start))))
-        return F.when(end >= start, _span(start, trim(left), end, trim(right))).otherwise(nothing)
+    def ranged(whole: Column) -> Column:
+        left, right = F.regexp_extract(whole, between, 1), F.regexp_extract(whole, between, 2)
+        later = lambda e: let(_parts(e["right"], SHORT, 5), lambda p: _made(p, F.coalesce(_number(p, 0), F.year(e["start"]))))
+        ended = lambda e: let(F.coalesce(parse_date(e["right"]), later(e)), lambda end: F.when(end >= e["start"], _span(e["start"], _trim(e["left"]), end, _trim(e["right"]))).otherwise(nothing))
+        return let(F.struct(parse_date(left).alias("start"), left.alias("left"), right.alias("right")), ended)
 
-    def alone(pattern: str) -> tuple[Column, Column]:
-        raw = F.regexp_extract(text, pattern, 1)
-        return parse_date(raw), F.nullif(trim(raw), F.lit(""))
+    def apart(t: Column) -> Column:
+        raw = F.struct(F.regexp_extract(t, first, 1).alias("first"), F.regexp_extract(t, last, 1).alias("last"))
+        alone = lambda c: (parse_date(c), F.nullif(_trim(c), F.lit("")))
+        return let(raw, lambda r: _span(*alone(r["first"]), *alone(r["last"])))
 
-    left = F.regexp_extract(text, between, 1)
-    return F.when(left != "", ranged(left, F.regexp_extract(text, between, 2))).otherwise(_span(*alone(first), *alone(last)))
+    return let(F.regexp_extract(text, between, 0), lambda whole: F.when(whole != "", ranged(whole)).otherwise(apart(text)))
 
 
 def registration_dates(text: Column) -> Column:
@@ -111,18 +132,19 @@ def registration_dates(text: Column) -> Column:
 
     One loose deadline replaces the end, several different ones clear it.
     """
-    strict = _dated(text, REGISTRATION_RANGE, REGISTRATION_START, REGISTRATION_END)
-    hints = F.transform(F.regexp_extract_all(text, F.lit(LOOSE_END), F.lit(1)), lambda h: F.struct(parse_date(h).alias("at"), F.regexp_replace(h, r"(?U)^\s+|\s+$", "").alias("raw")))
-    dated = F.filter(hints, lambda h: h["at"].isNotNull())
+    hinted = lambda h: F.struct(parse_date(h).alias("at"), _trim(h).alias("raw"))
 
     def settled(both: Column) -> Column:
         span, ends = both["span"], both["ends"]
         n = F.size(F.array_distinct(F.transform(ends, lambda h: h["at"])))
-        end = F.when(n == 1, ends[0]["at"]).when(n == 0, span["end"])
-        raw = F.when(n == 1, ends[0]["raw"]).when(n == 0, span["end_raw"])
-        return _span(span["start"], span["start_raw"], end, raw)
+        return let(n, lambda n: _span(span["start"], span["start_raw"], F.when(n == 1, ends[0]["at"]).when(n == 0, span["end"]), F.when(n == 1, ends[0]["raw"]).when(n == 0, span["end_raw"])))
+
+    def read(t: Column) -> Column:
+        strict = _dated(t, REGISTRATION_RANGE, REGISTRATION_START, REGISTRATION_END)
+        hints = F.transform(F.regexp_extract_all(t, F.lit(LOOSE_END), F.lit(1)), hinted)
+        return let(F.struct(strict.alias("span"), F.filter(hints, lambda h: h["at"].isNotNull()).alias("ends")), settled)
 
-    return F.transform(F.array(F.struct(strict.alias("span"), dated.alias("ends"))), settled)[0]
+    return let(text, read)
 
 
 def registration_deadlines(text: Column) -> Column:
@@ -135,24 +157,23 @@ def day_range(text: Column) -> Column:
 
     An end with a time of its own, before the start or not in the calendar is passed over.
     """
-    has = lambda c, terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(c, t))
-    about = F.filter(F.split(text, CLAUSE_ENDS), lambda c: has(c, DAY_RANGE_ABOUT) & ~has(c, DAY_RANGE_NOT))
+    about = F.filter(F.split(text, CLAUSE_ENDS), lambda c: c.rlike("|".join(DAY_RANGE_ABOUT)) & ~c.rlike("|".join(DAY_RANGE_NOT)))
     matches = F.flatten(F.transform(about, lambda c: F.regexp_extract_all(c, F.lit(DAY_RANGE), F.lit(0))))
 
     def read(whole: Column) -> Column:
         left, day, time = (F.regexp_extract(whole, DAY_RANGE, k) for k in (1, 2, 3))
-        start = parse_date(left)
-        end = F.try_make_timestamp(years=F.year(start), months=F.month(start), days=day.try_cast("int"), hours=F.lit(0), mins=F.lit(0), secs=F.lit(0))
-        return F.when((time == "") & (end >= start), _span(start, F.regexp_replace(left, r"(?U)^\s+|\s+$", ""), end, day))
+        ended = lambda s: F.try_make_timestamp(years=F.year(s["at"]), months=F.month(s["at"]), days=F.nullif(s["day"], F.lit("")).try_cast("int"), hours=F.lit(0), mins=F.lit(0), secs=F.lit(0))
+        spanned = lambda s: let(ended(s), lambda end: F.when((s["time"] == "") & (end >= s["at"]), _span(s["at"], _trim(s["left"]), end, s["day"])))
+        return let(F.struct(parse_date(left).alias("at"), left.alias("left"), day.alias("day"), time.alias("time")), spanned)
 
     return F.try_element_at(F.filter(F.transform(matches, read), lambda s: s.isNotNull()), F.lit(1))
 
 
 def competition_dates(text: Column) -> Column:
     """Struct (start, start_raw, end, end_raw) of the competition; a day range where no whole one is written."""
-    strict = _dated(text, COMPETITION_RANGE, COMPETITION_START, COMPETITION_END)
-    both = F.struct(strict.alias("span"), day_range(text).alias("days"))
-    return F.transform(F.array(both), lambda b: F.when(b["span"]["start"].isNotNull() & b["span"]["end"].isNotNull(), b["span"]).otherwise(F.coalesce(b["days"], b["span"])))[0]
+    whole = lambda s: s["start"].isNotNull() & s["end"].isNotNull()
+    strict = lambda t: _dated(t, COMPETITION_RANGE, COMPETITION_START, COMPETITION_END)
+    return let(text, lambda t: let(strict(t), lambda s: F.when(whole(s), s).otherwise(F.coalesce(day_range(t), s))))
 
 
 def only_day_range(start: Column, end: Column, start_raw: Column, end_raw: Column) -> Column:
