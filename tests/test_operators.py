@@ -2,7 +2,9 @@
 
 import time
 
-from tidemark.operators import consensus, health, match, resolve
+from pyspark.sql import functions as F
+
+from tidemark.operators import consensus, health, match, pages, resolve
 
 
 def test_identity_of_contained_names(spark):
@@ -48,6 +50,14 @@ def test_quotes_in_a_long_text(spark):
     assert time.monotonic() - began < 45
 
 
+def test_equal_pages_are_read_once(spark):
+    rows = spark.createDataFrame([(1, "a", "t"), (2, "a", None), (3, "a", "t"), (4, "a", None), (5, None, "t"), (6, "b", "t")], "id long, title string, text string")
+    found = pages.once_each(rows, ("title", "text"), lambda r: r.withColumn("work", F.expr("uuid()"))).collect()
+    assert sorted(r.id for r in found) == [1, 2, 3, 4, 5, 6]
+    by = {r.id: r.work for r in found}
+    assert by[1] == by[3] and by[2] == by[4] and len(set(by.values())) == 4
+
+
 def plain_consensus(votes):
     """Votes of one field by a plain loop: value, edition, conflict and what was refused."""
     import re

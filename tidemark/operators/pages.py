@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.common import written
 from tidemark.functions import analysis, dates
 from tidemark.functions import markers as m
 from tidemark.functions.lifecycle import composite_status, fact_confidence, phases
@@ -69,6 +73,23 @@ def analyse(pages: DataFrame, now: Column, lexicon: Lexicon = FIELD) -> DataFram
     return out.drop("_s", "_r", "_c", "_f", "_ends", "_said")
 
 
+#: What ``analyse`` and, beside it, ``decide`` read.
+ANALYSED = ("title", "candidate_title", "text")
+DECIDED = (*ANALYSED, "url", "is_listing")
+
+
+def once_each(rows: DataFrame, read: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``work`` adds to those of ``read``, done once for all rows that agree in these.
+
+    ``work`` keeps the rows and columns that it gets and reads no others.  What it
+    adds is written, so that its true size decides how it's joined.
+    """
+    found = written(work(rows.select(*read).distinct()))
+    own = found.select(*(F.col(c).alias(f"_{c}") if c in read else F.col(c) for c in found.columns))
+    alike = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in read))
+    return rows.join(own, alike).drop(*(f"_{c}" for c in read))
+
+
 def decide(analysed: DataFrame) -> DataFrame:
     """Add ``low_value`` and ``decision`` to rows of ``analyse``.
 
