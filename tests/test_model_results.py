@@ -3,10 +3,12 @@
 import datetime as dt
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let, normalize_ends
 from tidemark.operators import validate as v
 
 NOW = dt.datetime(2026, 8, 4, 20)
@@ -146,3 +148,45 @@ def test_audit(spark):
     got = v.audit(rows, "m", F.lit(NOW)).first().audit
     other = v.audit(rows, "m", F.lit(NOW), lambda: F.array(F.struct(F.lit("s1").alias("id"), F.lit("x").alias("text")))).first().audit
     assert got.accepted_fields == ["fee"] and got.rejections[0].reason == "r" and got.raw_responses == ["raw"] and got.input_hash != other.input_hash and other.segment_ids == ["s1"]
+
+
+def hostile_results(n):
+    """Results of facts of all kinds, some of them not strict, some with more behind them."""
+    rng = random.Random(5)
+    good = [None, "x", "", {}, {"value": "x"}, fact("v", "e"), {"value": "é\n\"q", "evidence": "e", "edition": None}]
+    odd = [3, True, 1.5, [], ["a"], {"Value": "u", "value": "l"}, {"value": 3}, {"value": {"a": 1}}, {"more": "x"}, {"a: STRING, value": "x"}]
+    events = [event("rules_released", "e"), {}, {"type": None}]
+    for _ in range(n):
+        p = rng.choice([0, 0, 0.05, 0.3])
+        one = lambda: rng.choice(odd if rng.random() < p else good)  # noqa: E731, B023
+        said = {**GOOD, "recommendation": one(), "identity": {f: one() for f in rng.sample(v.IDENTITY_FIELDS, rng.randint(0, 8))}, "facts": {f: one() for f in rng.sample(v.FACT_FIELDS, rng.randint(0, 9))}}
+        said["events"] = [rng.choice([None, "x", {"type": 1}, {"value": "x"}] if rng.random() < p else events) for _ in range(rng.randint(0, 3))]
+        for k in list(said):
+            if rng.random() < p / 3:
+                said[k] = rng.choice([*odd, *good, 2**40, 2**70, -1])
+            if rng.random() < p / 4:
+                said[k.capitalize()] = said.pop(k)
+        text = json.dumps(said, ensure_ascii=rng.random() < 0.5)
+        yield rng.choice([text + " x", text + "]", text + "} {}", text[:-1], f"[{text}]", f" {text}\n", text[:-1] + ',"facts":{}}', text + '}, "w":[1']) if rng.random() < 0.1 else text
+
+
+def test_all_at_once_or_field_by_field(spark):
+    """A result of plain shape, which is decoded in one cast, reads as it does field by field."""
+    rows = spark.createDataFrame(list(enumerate(hostile_results(600))), "id int, raw string")
+    names = ["error", *v._TEXTS, *v._FLAGS, "fit_score", "facts", "events"]
+    whole = {r.id: r.asDict() for r in v.decode(rows).select("id", *names).collect()}
+    slow = {r.id: {"id": r.id, **r.r.asDict()} for r in rows.select("id", let(v.one_value(F.col("raw")), v._read).alias("r")).collect()}
+    assert whole == slow and 50 < sum(r["error"] is None for r in slow.values()) < 550
+
+
+def test_the_kind_of_a_value_is_asked_once(spark):
+    """Each asking walks the whole value: once for the fact, once for each of its parts."""
+    rows = spark.createDataFrame([('"x"',)], "raw string").select(v.decode_fact(F.col("raw")).alias("f"))
+    plan = rows._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("schema_of_variant") == 2
+
+
+def test_white_space_at_ends(spark):
+    """Trimming takes what the pattern of white space takes, for every character of the first plane."""
+    c = spark.createDataFrame([(chr(i),) for i in range(0x10000) if not 0xD800 <= i < 0xE000], "c string").select(F.concat("c", F.lit("a b"), "c", F.lit("\n"), "c").alias("t"))
+    assert c.where(F.regexp_replace("t", r"(?U)^\s+|\s+$", "") != normalize_ends(F.col("t"))).count() == 0

@@ -12,6 +12,8 @@ from tidemark.functions.markers import IGNORED, LONG_REGIONS, NOT_PUBLISHED, REG
 #: Characters that end an evidence sentence, and its reach.
 SENTENCE_ENDS = "。！？!?；;\n"
 EVIDENCE_BEFORE, EVIDENCE_SPAN = 80, 160
+#: All that Unicode calls white space.
+WHITE_SPACE = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalize_space(c: Column) -> Column:
@@ -87,7 +89,7 @@ def evidence_at(c: Column, at: Column) -> Column:
 
 def normalize_ends(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def evidence_window(c: Column, markers: list[str]) -> Column:

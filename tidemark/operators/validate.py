@@ -88,9 +88,9 @@ def year_in(c: Column) -> Column:
 
 
 def same_edition(left: Column, right: Column) -> Column:
-    a, b = year_in(left), year_in(right)
     folded = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
-    return F.when((a != "") & (b != ""), a == b).otherwise(folded(left) == folded(right))
+    years = F.struct(year_in(left).alias("a"), year_in(right).alias("b"))
+    return let(years, lambda y: F.when((y["a"] != "") & (y["b"] != ""), y["a"] == y["b"]).otherwise(folded(left) == folded(right)))
 
 
 def confidence(c: Column) -> Column:
@@ -106,10 +106,8 @@ def one_value(raw: Column) -> Column:
 
     The parser passes over what follows a value, so the value has to close both a list and an object around it.
     """
-    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
-    held = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
-    alone = (F.size(listed) == 1) & (F.size(F.map_keys(F.try_variant_get(held, "$", "map<string,variant>"))) == 1)
-    return F.when(alone, listed[0])
+    alone = (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"v":'), raw, F.lit("}")))) == 1)
+    return F.when(alone, F.try_parse_json(raw))
 
 
 def _strict(value: Column, names: list[str]) -> Column:
@@ -126,9 +124,8 @@ def _strict(value: Column, names: list[str]) -> Column:
 
 def fact_of(value: Column) -> Column:
     """A fact from a variant: null says nothing, a text is a value without evidence, an object is strict; else null."""
-    kind = F.schema_of_variant(value)
-    plain = lambda c: F.struct(c.alias("value"), *(F.lit("").alias(n) for n in ("evidence", "edition", "confidence")))
-    return F.when(value.isNull() | (kind == "VOID"), plain(F.lit(""))).when(kind == "STRING", plain(F.try_variant_get(value, "$", "string"))).when(kind.startswith("OBJECT"), _strict(value, ["value", "evidence", "edition", "confidence"]))
+    made = lambda kind: F.when(value.isNull() | (kind == "VOID"), _plain(F.lit(""))).when(kind == "STRING", _plain(F.try_variant_get(value, "$", "string"))).when(kind.startswith("OBJECT"), _strict(value, list(_PARTS)))
+    return let(F.schema_of_variant(value), made)
 
 
 def decode_fact(raw: Column) -> Column:
@@ -138,12 +135,71 @@ def decode_fact(raw: Column) -> Column:
 
 def decode(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """``rows`` with the result of ``raw``: its columns, ``facts`` by field, ``events``, and ``error`` where it can't be read."""
-    read = rows.withColumn("_read", let(one_value(F.col(raw)), _read))
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    read = lambda v: let(kind(v), lambda k: F.when(k.rlike(_shape(f"(?:{_OBJECT}|VOID)")), _read_objects(v)).when(k.rlike(_shape(f"(?:{_OBJECT}|STRING|VOID)")), _read_plain(v)).otherwise(_read(v)))
+    read = rows.withColumn("_read", let(one_value(F.col(raw)), read))
     names = ("error", *_TEXTS, *_FLAGS, "fit_score", "facts", "events")
     return read.withColumns({c: F.col(f"_read.{c}") for c in names}).drop("_read")
 
 
 _TEXTS, _FLAGS = ("schema_version", "document_type", "source_role", "rejection_reason"), ("computer_related", "competition_announcement")
+_PARTS = ("value", "evidence", "edition", "confidence")
+
+
+def _object(fields: dict[str, str]) -> str:
+    """Pattern of the schema, as the variant tells it, of an object that has no other fields than these, of these kinds.
+
+    Objects have a name once, so the repetition is as long as the list at most.
+    """
+    return f"OBJECT<(?:(?:{'|'.join(f'{n}: {kind}' for n, kind in fields.items())})(?:, (?=[a-z])|(?=>)))*+>"
+
+
+_OBJECT = _object(dict.fromkeys(_PARTS, "(?:STRING|VOID)"))
+
+
+def _shape(fact: str) -> str:
+    """Pattern of the schema of a strict result, all of whose names are in lower case and whose facts are of the kind ``fact``."""
+    held = lambda names: f"(?:{_object(dict.fromkeys(names, fact))}|VOID)"
+    event = _object(dict.fromkeys(["type", *_PARTS[1:]], "(?:STRING|VOID)"))
+    scalars = {**dict.fromkeys(_TEXTS, "(?:STRING|VOID)"), **dict.fromkeys(_FLAGS, "(?:BOOLEAN|VOID)"), "fit_score": "(?:BIGINT|VOID)"}
+    return f"^{_object({**scalars, 'recommendation': fact, 'identity': held(IDENTITY_FIELDS), 'facts': held(FACT_FIELDS), 'events': f'(?:ARRAY<(?:{event}|VOID)>|VOID)'})}$"
+
+
+def _plain(text: Column) -> Column:
+    """A fact that is a value without evidence."""
+    return F.struct(text.alias("value"), *(F.lit("").alias(n) for n in _PARTS[1:]))
+
+
+def _read_typed(v: Column, kind: str, fact: Callable[[Column], Column]) -> Column:
+    """``_read`` of a variant whose schema is ``_shape``: all of it in one cast, facts as ``kind`` and made by ``fact``."""
+    texts = [*_TEXTS, *(f"{f}:boolean" for f in _FLAGS)]
+    schema = ",".join([t if ":" in t else f"{t}:string" for t in texts] + ["fit_score:int", f"recommendation:{kind}", f"identity:map<string,{kind}>", f"facts:map<string,{kind}>", "events:array<map<string,string>>"])
+    given = lambda r: [r["recommendation"], *(F.try_element_at(r["identity"], F.lit(f)) for f in IDENTITY_FIELDS), *(F.try_element_at(r["facts"], F.lit(f)) for f in FACT_FIELDS)]
+    event = lambda e: F.when(e.isNotNull(), F.struct(*(_text(F.try_element_at(e, F.lit(n))).alias(n) for n in ("type", *_PARTS[1:]))))
+
+    def made(r: Column) -> Column:
+        # an event that is null isn't strict
+        ok = F.coalesce(F.forall(r["events"], lambda e: e.isNotNull()), F.lit(True))
+        return let(ok, lambda ok: F.struct(
+            F.when(~ok, "invalid json").alias("error"),
+            *(F.when(ok, _text(r[t])).alias(t) for t in _TEXTS),
+            *(F.when(ok, F.coalesce(r[t], F.lit(False))).alias(t) for t in _FLAGS),
+            F.when(ok, F.coalesce(r["fit_score"], F.lit(0))).alias("fit_score"),
+            F.when(ok, F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.transform(F.array(*given(r)), fact))).alias("facts"),
+            F.when(ok, F.coalesce(F.transform(r["events"], event), F.array().cast(f"array<{EVENT}>"))).alias("events"),
+        ))
+
+    return let(F.try_variant_get(v, "$", f"struct<{schema}>"), made)
+
+
+def _read_objects(v: Column) -> Column:
+    """``_read`` of a result whose facts are objects or null."""
+    return _read_typed(v, "map<string,string>", lambda m: F.struct(*(_text(F.try_element_at(m, F.lit(n))).alias(n) for n in _PARTS)))
+
+
+def _read_plain(v: Column) -> Column:
+    """``_read`` of a result some of whose facts are plain texts."""
+    return _read_typed(v, "variant", fact_of)
 
 
 def _read(v: Column) -> Column:
@@ -244,13 +300,12 @@ def _as_fact(fact: Column, edition: Column | None = None) -> Column:
     return F.struct(fact["value"].alias("value"), fact["evidence"].alias("evidence"), (fact["edition"] if edition is None else edition).alias("edition"), fact["confidence"].alias("confidence"))
 
 
-def _cleaned(field: Column, error: Column, text: Column) -> Column:
-    """A fact of the result, trimmed, and whether its evidence stands in the text."""
+def _cleaned(given: Column, text: Column) -> Column:
+    """A fact (field, fact) of the result, trimmed, and whether its evidence stands in the text."""
     trimmed = lambda f: F.struct(normalize_ends(_text(f["value"])).alias("value"), normalize_space(_text(f["evidence"])).alias("evidence"), normalize_ends(_text(f["edition"])).alias("edition"), confidence(f["confidence"]).alias("confidence"))
     there = lambda t: (t["value"] != "") & (t["evidence"] != "") & F.contains(text, t["evidence"])
-    marked = lambda t: F.struct(field.alias("field"), t.alias("fact"), there(t).alias("ok"), ((t["value"] != "") | (t["evidence"] != "")).alias("said"))
-    given = F.when(error.isNull(), F.coalesce(F.try_element_at("facts", field), F.lit(None).cast(FACT)))
-    return let(given, lambda f: let(trimmed(f), marked))
+    marked = lambda t: F.struct(given["field"].alias("field"), t.alias("fact"), there(t).alias("ok"), ((t["value"] != "") | (t["evidence"] != "")).alias("said"))
+    return let(trimmed(given["fact"]), marked)
 
 
 def _bound(field: Column, kept: Column, edition: Column) -> Column:
@@ -258,11 +313,10 @@ def _bound(field: Column, kept: Column, edition: Column) -> Column:
     own = lambda fact: F.when(_text(fact["edition"]) != "", fact["edition"]).otherwise(year_in(fact["evidence"]))
 
     def judged(x: Column) -> Column:
-        fact, own = x["fact"], x["own"]
-        free = fact.isNull() | (edition == "")
+        fact, own, free = x["fact"], x["own"], edition == ""
         reason = F.when(free, None).when((own == "") & (field != BOUND[0]), UNBOUND).when((own != "") & ~same_edition(edition, own), OTHER_EDITION)
         named = F.when(free | (own == ""), fact["edition"]).otherwise(own)
-        return F.struct(field.alias("field"), _as_fact(fact, named).alias("fact"), fact.isNotNull().alias("there"), reason.alias("reason"), own.alias("own"))
+        return F.struct(field.alias("field"), _as_fact(fact, named).alias("fact"), reason.alias("reason"), own.alias("own"))
 
     return let(F.try_element_at(kept, field), lambda fact: let(F.struct(fact.alias("fact"), own(fact).alias("own")), judged))
 
@@ -318,11 +372,11 @@ def _outcome(error: Column, text: Column, now: Column) -> Column:
 
     def with_kept(facts: Column, kept: Column) -> Column:
         known = F.array(value(kept, "identity.edition"), value(kept, "identity.name", "edition"), value(kept, "identity.series", "edition"), F.when(error.isNull(), year_in(F.col("title"))).otherwise(""))
-        return let(_text(F.try_element_at(F.filter(known, lambda e: normalize_ends(e) != ""), F.lit(1))), lambda ed: let(F.transform(F.array(*map(F.lit, BOUND)), lambda f: _bound(f, kept, ed)), lambda bound: with_bound(facts, kept, ed, bound)))
+        return let(_text(F.try_element_at(F.filter(known, lambda e: normalize_ends(e) != ""), F.lit(1))), lambda ed: let(F.transform(F.filter(F.array(*map(F.lit, BOUND)), lambda f: F.map_contains_key(kept, f)), lambda f: _bound(f, kept, ed)), lambda bound: with_bound(facts, kept, ed, bound)))
 
     def with_bound(facts: Column, kept: Column, edition: Column, bound: Column) -> Column:
         free = F.map_filter(kept, lambda k, _: ~k.isin(*BOUND))
-        of_edition = F.map_from_entries(F.transform(F.filter(bound, lambda b: b["there"] & b["reason"].isNull()), lambda b: F.struct(b["field"], b["fact"])))
+        of_edition = F.map_from_entries(F.transform(F.filter(bound, lambda b: b["reason"].isNull()), lambda b: F.struct(b["field"], b["fact"])))
         named = [value(kept, f"identity.{f}") for f in ("edition", "name", "series")]
         looked = lambda own: F.transform(events, lambda e: _looked_at(e, text, edition, named, F.try_element_at(own, F.lit("facts.published_at"))["value"], now))
         return let(F.map_concat(free, of_edition), lambda own: let(_settled(looked(own)), lambda settled: with_events(facts, edition, bound, own, settled)))
@@ -342,7 +396,9 @@ def _outcome(error: Column, text: Column, now: Column) -> Column:
             F.concat(first, second, settled["rejections"], last(u)).alias("rejections"),
         ))
 
-    return let(F.transform(F.array(*map(F.lit, FIELDS)), lambda f: _cleaned(f, error, text)), with_facts)
+    # what says nothing, of which there's much, is left out before anything is made of it
+    told = F.filter(F.transform(F.array(*map(F.lit, FIELDS)), lambda f: F.struct(f.alias("field"), F.try_element_at("facts", f).alias("fact"))), lambda f: (f["fact"]["value"] != "") | (f["fact"]["evidence"] != ""))
+    return let(F.transform(F.when(error.isNull(), told).otherwise(F.array().cast(f"array<struct<field:string,fact:{FACT}>>")), lambda f: _cleaned(f, text)), with_facts)
 
 
 # ---- phases and merging
