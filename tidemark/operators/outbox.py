@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import backoff_seconds
-from tidemark.operators.match import deliverable, event_enabled, fits_user, with_forms
+from tidemark.operators.match import LISTS, deliverable, event_enabled, fits_user, with_forms
 
 OPEN = ("pending", "failed")
 KEY = ["user_id", "competition_id", "event_key"]
@@ -114,15 +114,20 @@ def revalidate(queue: DataFrame, users: DataFrame, entities: DataFrame, decision
     """``queue`` (user_id, id, event_type, ...) with ``valid``: whether an item still fits its user as things stand.
 
     What doesn't is to be cancelled, not sent.  Each item meets its own user and
-    entity only, so the work is in proportion to the queue.
+    entity only, so the work is in proportion to the queue.  What the state of the
+    entity rules out by itself doesn't carry the entity on to its user, so only the
+    items that are left are moved with all that is compared.
     """
     state = ("registration_phase", "competition_phase", "registration_end", "competition_end", "problem_released")
     chosen = decisions.select("user_id", F.col("competition_id").alias("id"), "decision")
     users = with_forms(users)
-    prefs = users.select("user_id", F.struct(*(c for c in users.columns if c != "user_id")).alias("_u"))
-    rows = entities.select("id", F.struct(*(c for c in entities.columns if c != "id")).alias("_e"))
-    met = queue.join(prefs, "user_id", "left").join(rows, "id", "left").join(chosen, ["user_id", "id"], "left")
-    decision = F.coalesce("decision", F.lit("undecided"))
-    enabled = event_enabled(F.col("event_type"), lambda c: F.col(f"_u.{c}"))
-    ok = fits_user(lambda c: F.col(f"_u.{c}"), lambda c: F.col(f"_e.{c}")) & enabled & deliverable(F.col("event_type"), decision, *(F.col(f"_e.{c}") for c in state), now)
-    return met.select(*queue.columns, F.coalesce(ok, F.lit(False)).alias("valid"))
+    prefs = users.select(F.lit(True).alias("_open"), "user_id", F.struct(*(c for c in users.columns if c != "user_id")).alias("_u"))
+    seen = ("eligible", "search_text", "trust", "eligibility_note", *LISTS)
+    rows = entities.select("id", F.struct(*state, *seen).alias("_e"))
+    met = queue.join(chosen, ["user_id", "id"], "left").join(rows, "id", "left")
+    still = F.coalesce(deliverable(F.col("event_type"), F.coalesce("decision", F.lit("undecided")), *(F.col(f"_e.{c}") for c in state), now), F.lit(False))
+    # the flag is a part of the key: what is ruled out meets no user, and is dealt over all tasks
+    left = met.withColumn("_open", still).select(*queue.columns, "_open", F.when(F.col("_open"), F.struct(*(F.col(f"_e.{c}").alias(c) for c in seen))).alias("_e"))
+    both = left.join(prefs, ["_open", "user_id"], "left")
+    ok = F.col("_open") & event_enabled(F.col("event_type"), lambda c: F.col(f"_u.{c}")) & fits_user(lambda c: F.col(f"_u.{c}"), lambda c: F.col(f"_e.{c}"))
+    return both.select(*queue.columns, F.coalesce(ok, F.lit(False)).alias("valid"))
