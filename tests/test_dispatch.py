@@ -1,5 +1,6 @@
 """Dispatch, commit and opting in on small tables."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -77,3 +78,19 @@ def test_age_of_evidence(spark):
     midnight = F.to_timestamp(F.lit("2026-06-15 00:00:00"))
     got = rows.select("i", gates.evidence_is_current([F.col(c) for c in "abc"], [F.col("p"), F.col("q")], midnight).alias("ok")).collect()
     assert [r.ok for r in sorted(got)] == [ok for _, _, ok in cases]
+
+
+def test_tasks_of_a_commit_grow_as_told(spark):
+    """Each sort of a commit is over as many tasks as its caller asks for, whatever the session's number."""
+    rows = spark.range(50).select(F.pmod("id", F.lit(7)).alias("user_id"), "id", F.concat(F.lit("t"), F.col("id") % 3).alias("event_type"), F.concat(F.lit("k"), F.col("id") % 2).alias("event_key"), F.lit(datetime(2026, 6, 15)).alias("due_at"), F.lit("g").alias("delivery_group"))
+    events = rows.select(*dispatch.EVENT)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        log, outbox = dispatch.commit(events.where("id < 10"), rows.where("id < 5").withColumn("status", F.lit("sent")), events, rows, tasks=11)
+        assert log.count() == 50 and outbox.count() == 45 and outbox.where("status = 'sent'").count() == 5
+        for df in (log, outbox):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("hashpartitioning") == len(re.findall(r"hashpartitioning\([^()]*, 11\)", plan)) > 0, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)

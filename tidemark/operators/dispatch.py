@@ -18,34 +18,40 @@ PAGE = ["source_id", "url"]
 PARTICIPATION_KEYS = {"competition_upcoming": "upcoming", "competition_started": "started", RELEASED: "problem_released"}
 
 
-def dispatches(matched: DataFrame, users: DataFrame, now: Column, origin: str = "") -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *key: str) -> DataFrame:
+    """``df`` shuffled by ``key`` into so many tasks, if a number is given."""
+    return df.repartition(tasks, *key) if tasks else df
+
+
+def dispatches(matched: DataFrame, users: DataFrame, now: Column, origin: str = "", tasks: int | None = None) -> DataFrame:
     """``matched`` (user_id, id, event_type, event_key, place) with ``due_at`` and ``delivery_group``.
 
     Immediate groups are named after ``origin`` and the event of the smallest
     ``place`` that the user is told of this entity; a user and an entity have no
     more events than there are kinds, so their window is short.  ``users`` has the
-    delivery preferences; their zones must be valid.
+    delivery preferences; their zones must be valid.  ``tasks`` should grow with
+    ``matched``, so that what a task sorts doesn't.
     """
     own = users.select("user_id", "frequency", "hour", "minute", "weekday", "zone")
     head = F.min(F.struct("place", "event_type", "event_key")).over(Window.partitionBy("user_id", "id"))
-    met = matched.withColumn("_first", head).join(own, "user_id")
+    met = dealt(dealt(matched, tasks, "user_id", "id").withColumn("_first", head), tasks, "user_id").join(own, "user_id")
     due = next_delivery(now, *(F.col(c) for c in ("frequency", "hour", "minute", "weekday", "zone")))
     nonce = F.concat(F.lit(origin), "_first.event_type", F.lit(":"), "_first.event_key")
     timed = met.withColumn("due_at", due)
     return timed.select("user_id", *EVENT, "due_at", group_key(F.col("user_id"), F.col("id"), F.col("frequency"), F.col("due_at"), nonce).alias("delivery_group"))
 
 
-def commit(log: DataFrame, outbox: DataFrame, events: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def commit(log: DataFrame, outbox: DataFrame, events: DataFrame, rows: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The log and the outbox after ``events`` and their dispatches ``rows``.
 
     Only events that the log didn't hold are dispatched, and a row that the
     outbox holds stays as it is.  Both results read the same two tables, so they
-    are to be written as one version.
+    are to be written as one version.  ``tasks`` as in ``dispatches``.
     """
     key = ["user_id", *EVENT]
-    fresh = events.select(*EVENT).join(log, EVENT, "left_anti").dropDuplicates()
-    told = rows.select(*key, "due_at", "delivery_group").join(fresh, EVENT, "left_semi")
-    new = first_by(told, key, ["due_at", "delivery_group"]).join(outbox, key, "left_anti").withColumn("status", F.lit("pending"))
+    fresh = dealt(events.select(*EVENT), tasks, *EVENT).dropDuplicates().join(dealt(log, tasks, *EVENT), EVENT, "left_anti")
+    told = dealt(rows.select(*key, "due_at", "delivery_group"), tasks, *EVENT).join(fresh, EVENT, "left_semi")
+    new = dealt(first_by(told, key, ["due_at", "delivery_group"]), tasks, *key).join(dealt(outbox, tasks, *key), key, "left_anti").withColumn("status", F.lit("pending"))
     return log.unionByName(fresh.select(*log.columns)), outbox.unionByName(new.select(*outbox.columns))
 
 

@@ -22,8 +22,18 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("user_id"), F.col("l_orderkey").alias("id"), kind.alias("event_type"), F.concat(F.lit("k"), "l_linenumber").alias("event_key"), F.col("l_linenumber").alias("place"))
 
 
-def _dispatches(spark: SparkSession, d: str) -> DataFrame:
-    return dispatch.dispatches(_matched(spark, d), fx.audience(spark, d).withColumn("minute", F.lit(0)), fx.now())
+#: Order lines of one task.
+ROWS_A_TASK = 500_000
+
+
+def _tasks(spark: SparkSession, d: str) -> int:
+    """As many tasks as the session has, and more for a large table; the count is read from the file's footer."""
+    rows = fx.table(spark, d, "lineitem").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
+def _dispatches(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
+    return dispatch.dispatches(_matched(spark, d), fx.audience(spark, d).withColumn("minute", F.lit(0)), fx.now(), tasks=tasks)
 
 
 @query(f"""SELECT user_id, id, event_type, event_key, due_at, CASE user_id % 3 WHEN 2 THEN user_id || ':immediate:' || id || ':' || nonce WHEN 0 THEN user_id || ':daily:' || due_at ELSE user_id || ':weekly:' || due_at END AS delivery_group
@@ -34,8 +44,9 @@ def event_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 def _committed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     # the table has repeated order lines; an outbox holds a key once
-    events, rows = _matched(spark, d).select(*dispatch.EVENT), _dispatches(spark, d).dropDuplicates(["user_id", *dispatch.EVENT])
-    return dispatch.commit(events.where("id % 3 = 0").distinct(), rows.where("user_id % 4 = 0").withColumn("status", F.lit("sent")), events, rows)
+    tasks = _tasks(spark, d)
+    events, rows = _matched(spark, d).select(*dispatch.EVENT), _dispatches(spark, d, tasks).dropDuplicates(["user_id", *dispatch.EVENT])
+    return dispatch.commit(events.where("id % 3 = 0").distinct(), rows.where("user_id % 4 = 0").withColumn("status", F.lit("sent")), events, rows, tasks)
 
 
 @query(f"SELECT DISTINCT id, event_type, event_key FROM {_M}")
