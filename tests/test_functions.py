@@ -1,11 +1,13 @@
 """Golden cases of the functions."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import analysis, dates, lifecycle, text, urls
+from tidemark.functions import analysis, dates, lifecycle, markers, text, urls
 from tidemark.operators import scoring
+from tidemark.sources import announcements
 
 
 def one(spark, value, function):
@@ -31,6 +33,40 @@ def test_dates_read_their_text_once(spark):
     assert one(spark, "2026年2月1日至2026年1月2日", dates.date_range) == (None, None) == one(spark, "", dates.date_range)
 
 
+def test_labels_and_gate_read_their_text_once(spark):
+    """A text is searched for all terms in one pass, not once for each list of them."""
+    row = spark.range(1).select(F.lit("x").alias("said"), F.lit("high").alias("trust"), F.lit(None).cast("timestamp").alias("ends"))
+    plan = lambda c: row.select(c)._jdf.queryExecution().analyzed().toString().split("\n+- ")[0]
+    assert plan(analysis.profile(F.concat("said", F.lit("y")), F.lit(""))).count("said#") == 1
+    gate = analysis.catalogue_eligible(F.lit(""), F.concat("said", F.lit("y")), F.lit(""), F.col("ends"), F.lit(""), F.col("trust"))
+    assert plan(gate).count("said#") == 1
+
+
+def test_terms_of_a_text(spark):
+    """All terms are found that plain Python finds, also overlapping ones and those within others."""
+    rng = random.Random(16)
+    lists = [analysis.LABEL_TERMS, analysis.GATE_TITLE_TERMS, analysis.GATE_TEXT_TERMS, markers.REGIONS, ["a", "ab", "abc", "bc", "c.", "\\E", "[", "^", "𠮷b", "𠮷"]]
+    for terms in lists:
+        letters = sorted({c for t in terms for c in t})
+        cut = lambda t: t[rng.randrange(len(t)) :] if rng.random() < 0.3 else t[: rng.randrange(len(t)) + 1]
+        texts = ["".join(rng.choice([rng.choice(terms), cut(rng.choice(terms)).upper(), rng.choice(letters), " ", "\n", "𠮷"]) for _ in range(rng.randrange(12))) for _ in range(400)] + ["", *terms]
+        got = spark.createDataFrame([(x,) for x in [*texts, None]], "v string").select("v", text.terms_in(F.col("v"), terms).alias("f"), text.has_any(text.terms_in(F.col("v"), terms), terms[:3]).alias("h")).collect()
+        assert len(got) == len(texts) + 1
+        for r in got:
+            want = {t.lower() for t in terms if t.lower() in (r.v or "").lower()}
+            assert set(r.f) == want and r.h is bool(want & {t.lower() for t in terms[:3]}), r
+
+
+def test_keys_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks grow with the table, whatever number of cores the session knows of."""
+    monkeypatch.setattr(announcements, "KEYS_A_TASK", 10)
+    spark.range(95).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    keys = announcements._keys(spark, str(tmp_path), "orders", "o_orderkey")
+    assert keys.rdd.getNumPartitions() == 10 and keys.count() == keys.distinct().count() == 95
+    spark.range(0).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/none/orders.parquet")
+    assert announcements._keys(spark, f"{tmp_path}/none", "orders", "o_orderkey").count() == 0
+
+
 def test_next_delivery(spark):
     now = F.lit("2026-08-03 01:30:00").cast("timestamp")
     due = spark.range(1).select(dates.next_delivery(now, F.lit("daily"), F.lit(8), F.lit(0), F.lit(1), F.lit("Asia/Shanghai")).alias("r")).first().r
