@@ -76,6 +76,8 @@ def merge_rows(old: DataFrame, new: DataFrame) -> DataFrame:
             cleared = F.lit(None).cast("timestamp") if c in DATES else F.lit("")
             step[c] = F.when(differ & (ours > theirs), was(c)).when(differ & (ours == theirs), cleared).otherwise(now(c))
         gone = F.concat(gone, F.when(differ & (ours == theirs), F.array(F.lit(fact))).otherwise(F.array()))
-    step["facts"] = F.map_filter("facts", lambda k, _: ~F.array_contains(gone.cast("array<string>"), k))
+    # told beforehand: in a lambda the names of columns that the same step sets would mean what it sets
+    pair = pair.withColumn("_gone", gone.cast("array<string>"))
+    step["facts"] = F.map_filter("facts", lambda k, _: ~F.array_contains("_gone", k))
     merged = normalized(pair.withColumns(step)).select("id", *ENTITY)
     return merged.unionByName(alone("_has", "_")).unionByName(alone("_had", ""))
