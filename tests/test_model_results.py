@@ -190,3 +190,51 @@ def test_white_space_at_ends(spark):
     """Trimming takes what the pattern of white space takes, for every character of the first plane."""
     c = spark.createDataFrame([(chr(i),) for i in range(0x10000) if not 0xD800 <= i < 0xE000], "c string").select(F.concat("c", F.lit("a b"), "c", F.lit("\n"), "c").alias("t"))
     assert c.where(F.regexp_replace("t", r"(?U)^\s+|\s+$", "") != normalize_ends(F.col("t"))).count() == 0
+
+
+def canonical(said):
+    """A result with its names in the order in which they are asked for."""
+    order = [*v._TEXTS[:3], *v._FLAGS, "fit_score", "recommendation", v._TEXTS[3], "identity", "facts", "events"]
+    inner = {"identity": v.IDENTITY_FIELDS, "facts": v.FACT_FIELDS}
+    return {k: {f: said[k][f] for f in inner[k] if f in said[k]} if k in inner and isinstance(said[k], dict) else said[k] for k in order if k in said} | {k: x for k, x in said.items() if k not in order}
+
+
+def test_results_that_say_all_in_order(spark):
+    """Those in the order of the names are read at once, odd ones aren't, and all read as they do field by field."""
+    texts = []
+    for raw in hostile_results(400):
+        try:
+            said = json.loads(raw)
+        except ValueError:
+            said = None
+        if not isinstance(said, dict):
+            texts.append(raw)
+            continue
+        full = {k: {f: x for f, x in e.items() if x is not None} if isinstance(e, dict) else e for k, e in canonical(said).items() if e is not None}
+        texts += [json.dumps(full, ensure_ascii=False, separators=(",", ":")), json.dumps(full, ensure_ascii=False, indent=1), json.dumps(full, ensure_ascii=False)[:-1] + ',"fee ":""}', json.dumps(full, separators=(",", ":")) + " {}"]
+    texts += ['{"fit_score":1,"fit_score":2}', '{"fit_score":"1"}', '{"fit_score":1099511627776}', '{"events":[null]}', '{"facts":{"fe e":{"value":"x"}}}', '{"schema_version":1}', '{"schema_version":"a\\nb"}', "[]", "1", "", "{}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+    names = ["error", *v._TEXTS, *v._FLAGS, "fit_score", "facts", "events"]
+    whole = {r.id: r.asDict() for r in v.decode(rows).select("id", *names).collect()}
+    slow = {r.id: {"id": r.id, **r.r.asDict()} for r in rows.select("id", let(v.one_value(F.col("raw")), v._read).alias("r")).collect()}
+    assert whole == slow
+    assert rows.where(v._says_all(F.col("raw"), F.from_json("raw", v._typed(v.FACT), v._PARSER))).count() > 10
+
+
+def test_equal_results_are_read_once(spark, monkeypatch):
+    """Results that differ by their score alone are one content; what comes of each is what comes of it alone."""
+    name = "2026测试大赛"
+    said = {"recommendation": fact("适合", name), "identity": {"edition": fact("2026", name)}, "facts": {"fee": fact("x", "absent")}, "events": [event("rules_released", name)]}
+    dumped = lambda **more: json.dumps({**GOOD, **said, **more}, ensure_ascii=False, separators=(",", ":"))
+    scored = [dumped(fit_score=i) for i in (-7, 0, 3, 55, 100, 999_999_999, 10**10)]
+    odd = [dumped(fit_score="5"), dumped(fit_score=1.5), dumped(fit_score=None), dumped(schema_version="v4"), dumped(schema_version="v4", fit_score=12), dumped(facts={"fee": fact('"fit_score":3,', name)}), dumped() + " {}", dumped()[:-1] + ',"fit_score":4}', dumped().replace(":90", ":090"), dumped().replace(":90", ":9 0"), dumped().replace(":90,", ":90}"), '{"fit_score":', "", None]
+    texts = [*scored, *odd, *scored]
+    rows = spark.createDataFrame([(i, name if i % 5 else "", name, None, t) for i, t in enumerate(texts)], "id long, title string, text string, published_at_raw string, raw string")
+    read = []
+    decode = v.decode
+    monkeypatch.setattr(v, "decode", lambda df: read.append(df.count()) or decode(df))
+    once = v.validate_once(rows, lambda ids: rows.join(ids, "id", "left_semi"), F.lit(NOW))
+    want = v.validate(decode(rows), F.lit(NOW)).select(*once.columns)
+    key = lambda r: r.id
+    assert sorted(once.collect(), key=key) == sorted(want.collect(), key=key) and len(texts) == once.count()
+    assert read[0] < len(texts) - 8

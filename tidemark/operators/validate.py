@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.common import written
 from tidemark.functions import markers as m
 from tidemark.functions.dates import day_start, only_day_range, parse_date, registration_deadlines
 from tidemark.functions.lifecycle import DATE_FIELDS, composite_status, fact_confidence
@@ -25,6 +26,8 @@ from tidemark.operators.upsert import FACT as KEPT_FACT
 FACT = "struct<value:string,evidence:string,edition:string,confidence:string>"
 EVENT = "struct<type:string,evidence:string,edition:string,confidence:string>"
 REJECTION = "struct<field:string,reason:string,value:string>"
+#: What validation tells of a result.
+OUTCOME = ("error", "edition", "facts", "events", "rejections")
 
 #: The version of results, and their kinds.
 VERSION = "competition-audit-v10"
@@ -137,9 +140,49 @@ def decode(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """``rows`` with the result of ``raw``: its columns, ``facts`` by field, ``events``, and ``error`` where it can't be read."""
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
     read = lambda v: let(kind(v), lambda k: F.when(k.rlike(_shape(f"(?:{_OBJECT}|VOID)")), _read_objects(v)).when(k.rlike(_shape(f"(?:{_OBJECT}|STRING|VOID)")), _read_plain(v)).otherwise(_read(v)))
-    read = rows.withColumn("_read", let(one_value(F.col(raw)), read))
+    text = F.col(raw)
+    typed = rows.withColumn("_objects", F.from_json(text, _typed(FACT), _PARSER)).withColumn("_whole", _says_all(text, F.col("_objects")))
+    typed = typed.withColumn("_texts", F.when(~F.col("_whole"), F.from_json(text, _typed("string"), _PARSER))).withColumn("_bare", _says_all(text, F.col("_texts")))
+    made = F.when(F.col("_whole"), _of_typed(F.col("_objects"), lambda f: F.struct(*(_text(f[n]).alias(n) for n in _PARTS)))).when(F.col("_bare"), _of_typed(F.col("_texts"), lambda f: _plain(_text(f)))).otherwise(let(one_value(text), read))
     names = ("error", *_TEXTS, *_FLAGS, "fit_score", "facts", "events")
-    return read.withColumns({c: F.col(f"_read.{c}") for c in names}).drop("_read")
+    return typed.withColumn("_read", made).select(*(c for c in rows.columns if c not in names), *(F.col(f"_read.{c}").alias(c) for c in names))
+
+
+#: With options of its own, so that Spark doesn't take the text itself for what is written of what was read.
+_PARSER = {"mode": "PERMISSIVE"}
+
+
+def _typed(fact: str) -> str:
+    """Schema of a result whose facts are of the type ``fact``, in the order in which results are asked for."""
+    held = lambda names: "struct<" + ",".join(f"`{n}`:{fact}" for n in names) + ">"
+    fields = {**dict.fromkeys(_TEXTS[:3], "string"), **dict.fromkeys(_FLAGS, "boolean"), "fit_score": "int", "recommendation": fact, _TEXTS[3]: "string", "identity": held(IDENTITY_FIELDS), "facts": held(FACT_FIELDS), "events": f"array<{EVENT}>"}
+    return "struct<" + ",".join(f"{n}:{t}" for n, t in fields.items()) + ">"
+
+
+def _says_all(raw: Column, read: Column) -> Column:
+    """Whether ``raw`` is strict and ``read`` all of it: written again, but for white space, it is the same text.
+
+    Other names, repeated ones, values of other kinds and what follows a value are
+    lost or changed on that way.  Nulls, which aren't written, and other orders of
+    the names are left to the parser of variants.
+    """
+    blanks = lambda c: F.translate(c, " \t\r\n", "")
+    again = F.to_json(read, {"ignoreNullFields": "true"})
+    spaced = raw.rlike(r"[\[{,:]\s|\s[\]}]") & (blanks(again) == blanks(raw))
+    return F.coalesce(~F.contains(raw, F.lit("null")) & ((again == raw) | spaced), F.lit(False))
+
+
+def _of_typed(read: Column, fact: Callable[[Column], Column]) -> Column:
+    """``_read`` of a result that ``_says_all``; facts are made by ``fact``."""
+    given = [read["recommendation"], *(read["identity"][f] for f in IDENTITY_FIELDS), *(read["facts"][f] for f in FACT_FIELDS)]
+    return F.struct(
+        F.lit(None).cast("string").alias("error"),
+        *(_text(read[t]).alias(t) for t in _TEXTS),
+        *(F.coalesce(read[f], F.lit(False)).alias(f) for f in _FLAGS),
+        F.coalesce(read["fit_score"], F.lit(0)).alias("fit_score"),
+        F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*map(fact, given))).alias("facts"),
+        F.transform(F.coalesce(read["events"], F.array().cast(f"array<{EVENT}>")), lambda e: F.struct(*(_text(e[n]).alias(n) for n in ("type", *_PARTS[1:])))).alias("events"),
+    )
 
 
 _TEXTS, _FLAGS = ("schema_version", "document_type", "source_role", "rejection_reason"), ("computer_related", "competition_announcement")
@@ -401,6 +444,52 @@ def _outcome(error: Column, text: Column, now: Column) -> Column:
     return let(F.transform(F.when(error.isNull(), told).otherwise(F.array().cast(f"array<struct<field:string,fact:{FACT}>>")), lambda f: _cleaned(f, text)), with_facts)
 
 
+# ---- results that are equal but for their score
+
+#: What comes before the score of a result: inside of a text its quotes would be escaped.
+SCORE = '"fit_score":'
+#: Contents of one task.
+CONTENTS_A_TASK = 5_000
+
+
+def without_score(raw: Column) -> Column:
+    """Struct (head, score, tail) of a result: what is written before and after its score, as both may be put around another number.
+
+    ``score`` is null, and ``head`` all of the text, where it isn't said once, or isn't a whole number of nine digits at most.
+    """
+    head = F.substring_index(raw, SCORE, 1)
+    rest = lambda h: F.substr(raw, F.char_length(h) + (len(SCORE) + 1))
+    number = lambda r: F.when(~F.contains(r, F.lit(SCORE)), F.regexp_extract(F.left(r, F.lit(11)), r"^(-?(?:0|[1-9][0-9]{0,8}))[,}]", 1))
+    cut = lambda p, n: F.when(n != "", F.struct(p["head"].alias("head"), n.cast("int").alias("score"), F.substr(p["rest"], F.char_length(n) + 1).alias("tail")))
+    whole = F.struct(raw.alias("head"), F.lit(None).cast("int").alias("score"), F.lit("").alias("tail"))
+    return let(F.struct(head.alias("head"), let(head, rest).alias("rest")), lambda p: F.coalesce(let(number(p["rest"]), lambda n: cut(p, n)), whole))
+
+
+def validate_once(rows: DataFrame, again: Callable[[DataFrame], DataFrame], now: Column, carry: tuple[str, ...] = (), shown: Callable[[DataFrame], DataFrame] = lambda valid: valid.select("_content", "_sound", "fit_score", *OUTCOME)) -> DataFrame:
+    """``rows`` (id, title, text, published_at_raw, raw) decoded and validated: id, *carry, fit_score and what is ``shown``.
+
+    Results that are equal, but for their score, of pages that are equal are read
+    once.  ``shown`` makes of what is valid of each what is told of all of its
+    rows; it keeps ``_content``, ``_sound`` and ``fit_score``, and may have no row
+    or several for a content.  What is shuffled of all rows is a digest; the first
+    rows of each content are had ``again`` from a table of their ids.
+    """
+    def told(df: DataFrame) -> DataFrame:
+        cut = df.withColumn("_cut", without_score(F.col("raw")))
+        parts = [F.coalesce(F.sha2(c, 256), F.lit("-")) for c in (*map(F.col, ("title", "text", "published_at_raw")), F.col("_cut.head"), F.col("_cut.tail"))]
+        return cut.withColumn("_content", F.unhex(F.sha2(F.concat_ws(",", *parts, F.col("_cut.score").isNull().cast("string")), 256)))
+
+    members = written(told(rows).select("id", *carry, "_content", F.col("_cut.score").alias("_score")))
+    firsts = written(members.groupBy("_content").agg(F.min("id").alias("id")).select("id"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-firsts.count() // CONTENTS_A_TASK))
+    bare = F.when(F.col("_cut.score").isNotNull(), F.concat("_cut.head", F.lit(f"{SCORE}0"), "_cut.tail")).otherwise(F.col("_cut.head"))
+    contents = told(again(firsts.repartition(tasks))).select("_content", "title", "text", "published_at_raw", bare.alias("raw"))
+    valid = validate(decode(contents).withColumn("_sound", F.col("fit_score").isNotNull()), now)
+    each = members.hint("merge").join(shown(valid), "_content")
+    fit = F.when(F.col("_sound") & F.col("_score").isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), "_score"))).otherwise(F.col("fit_score"))
+    return each.withColumn("fit_score", fit).drop("_content", "_score", "_sound")
+
+
 # ---- phases and merging
 
 

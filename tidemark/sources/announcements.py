@@ -83,8 +83,11 @@ def _keys(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _keys(spark, sf_dir, "orders", "o_orderkey")
-    return orders.select(
+    return pages_of(_keys(spark, sf_dir, "orders", "o_orderkey"))
+
+
+def pages_of(keys: DataFrame) -> DataFrame:
+    return keys.select(
         F.col("o_orderkey").alias("id"),
         F.concat(*(pick(v, t) for v, t in _NAME)).alias("title"),
         F.lit("").alias("candidate_title"),
@@ -272,23 +275,27 @@ def _moved_sql(values: list[str], times: int, every: int) -> str:
 
 
 def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results_of(pages(spark, sf_dir))
+
+
+def results_of(pages: DataFrame) -> DataFrame:
     """Pages (id, title, text, url, published_at_raw) with ``raw``, the JSON of what a model says of each.
 
     Some say a fact as plain text, some are of another version or kind, some go on after the value.
     """
-    rows = pages(spark, sf_dir).withColumn("o_orderkey", F.col("id"))
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    plain = F.pmod("o_orderkey", F.lit(17)) == 0
-    struct = lambda v, e, ed: F.struct(v.alias("value"), e.alias("evidence"), ed.alias("edition"), pick(SURE).alias("confidence"))
-    facts = {f: F.when(plain, quoted(pick(*v))).otherwise(F.to_json(struct(pick(*v), _moved(*e, 5), pick(*ed)))) for f, (v, e, ed) in SAID.items()}
-    part = lambda prefix: F.concat_ws(",", *(F.concat(F.lit(f'"{f.split(".")[1]}":'), c) for f, c in facts.items() if f.startswith(prefix)))
-    events = F.to_json(F.array(*(F.struct(pick(*k).alias("type"), _moved(*e, 7).alias("evidence"), pick(*ed).alias("edition"), pick(SURE).alias("confidence")) for k, e, ed in HAPPENED)))
-    version = F.when(F.pmod("o_orderkey", F.lit(31)) == 0, "v4").otherwise("competition-audit-v10")
-    kind = F.when(F.pmod("o_orderkey", F.lit(29)) == 0, "diary").otherwise("official_announcement")
-    raw = F.concat(
-        F.lit('{"schema_version":'), quoted(version), F.lit(',"document_type":'), quoted(kind), F.lit(',"source_role":"official_primary","computer_related":true,"competition_announcement":true,"fit_score":'), (F.pmod(F.col("o_orderkey") * 7, F.lit(131)) - 10).cast("string"),
-        F.lit(',"recommendation":'), facts["recommendation"], F.lit(',"identity":{'), part("identity."), F.lit('},"facts":{'), part("facts."), F.lit('},"events":'), events, F.lit("}"), F.when(F.pmod("o_orderkey", F.lit(53)) == 0, " {}").otherwise(""),
-    )
+    rows = pages.withColumn("o_orderkey", F.col("id"))
+    sure = pick(SURE).alias("confidence")
+    bare = {f: pick(*v) for f, (v, _, _) in SAID.items()}
+    full = {f: F.struct(pick(*v).alias("value"), _moved(*e, 5).alias("evidence"), pick(*ed).alias("edition"), sure) for f, (v, e, ed) in SAID.items()}
+    part = lambda facts, prefix: F.struct(*(c.alias(f.removeprefix(prefix)) for f, c in facts.items() if f.startswith(prefix)))
+    # a function over an array keeps all this out of whole-stage code, in which it is one method, too long to be compiled
+    events = F.transform(F.array(*(F.struct(pick(*k).alias("type"), _moved(*e, 7).alias("evidence"), pick(*ed).alias("edition")) for k, e, ed in HAPPENED)), lambda x: F.struct(x["type"].alias("type"), x["evidence"].alias("evidence"), x["edition"].alias("edition"), sure))
+    said = lambda facts: F.to_json(F.struct(
+        F.when(F.pmod("o_orderkey", F.lit(31)) == 0, "v4").otherwise("competition-audit-v10").alias("schema_version"), F.when(F.pmod("o_orderkey", F.lit(29)) == 0, "diary").otherwise("official_announcement").alias("document_type"), F.lit("official_primary").alias("source_role"),
+        F.lit(True).alias("computer_related"), F.lit(True).alias("competition_announcement"), (F.pmod(F.col("o_orderkey") * 7, F.lit(131)) - 10).alias("fit_score"),
+        facts["recommendation"].alias("recommendation"), part(facts, "identity.").alias("identity"), part(facts, "facts.").alias("facts"), events.alias("events"),
+    ))
+    raw = F.concat(F.when(F.pmod("o_orderkey", F.lit(17)) == 0, said(bare)).otherwise(said(full)), F.when(F.pmod("o_orderkey", F.lit(53)) == 0, " {}").otherwise(""))
     return rows.select("id", "title", "text", "url", F.col("published").alias("published_at_raw"), "trust", raw.alias("raw"))
 
 
